@@ -45,8 +45,10 @@ def instant(value, src, flight_date, sources):
     if m:
         digits = m[1][1:].replace(":", "")
         h, mi = (digits, "0") if len(digits) < 3 else (digits[:-2], digits[-2:])
+        if int(mi) > 59 or int(h) * 60 + int(mi) > 18 * 60:
+            return None
         zone, v = (1 if m[1][0] == "+" else -1) * timedelta(hours=int(h), minutes=int(mi)), v[: m.start()]
-    elif re.search(r"\d[zZ]$", v):
+    elif re.search(r"(\d|[Mm]\.?)[zZ]$", v):
         zone, v = timedelta(0), v[:-1]
     else:
         m = re.search(r" \(?([A-Za-z]{2,5})\)?$", v)
