@@ -98,7 +98,12 @@ def row_cluster(cell: Column) -> Column:
 def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
     """All n-grams of the lower-cased text with single blanks, as one array."""
     t = F.lower(collapse_blanks(text))
-    return F.flatten(F.array(*(F.transform(F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i, n=n: F.substring(t, i, F.lit(n))) for n in range(low, high + 1))))
+
+    def of(n: int) -> Column:
+        starts = F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(t, i, F.lit(n)))
+
+    return F.flatten(F.array(*map(of, range(low, high + 1))))
 
 
 def exact_units(value: Column, scale: int = 15) -> Column:

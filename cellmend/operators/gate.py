@@ -49,18 +49,20 @@ class UpliftGate:
             raise ValueError("a feature tells the right value")
         self.numeric, self.categorical, self.family, self.preset, self.linear, self.seed, self.max_families = numeric, categorical, family, preset, linear, seed, max_families
 
-    def _head(self, train: DataFrame, test: DataFrame, label: str, out: str) -> DataFrame:
-        low, high = train.agg(F.min(label), F.max(label)).first()
-        if low is None or low == high:
-            return test.withColumn(out, F.lit(float(low or 0)))
+    def _features(self, train: DataFrame):
         steps = [Imputer(strategy="median", inputCols=self.numeric, outputCols=[f"_i_{c}" for c in self.numeric])] if self.numeric else []
         if self.categorical:
             steps.append(StringIndexer(inputCols=self.categorical, outputCols=[f"_c_{c}" for c in self.categorical], handleInvalid="keep"))
         steps.append(VectorAssembler(inputCols=[*(f"_i_{c}" for c in self.numeric), *(f"_c_{c}" for c in self.categorical)], outputCol="_x"))
-        model = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=0.01) if self.linear else GBTClassifier(featuresCol="_x", labelCol="_y", seed=self.seed, **PRESETS[self.preset])
-        fitted = Pipeline(stages=[*steps, model]).fit(train.withColumn("_y", F.col(label).cast("double")))
-        made = {c for c in ("_x", "rawPrediction", "probability", "prediction", *(f"_i_{c}" for c in self.numeric), *(f"_c_{c}" for c in self.categorical))}
-        return fitted.transform(test).withColumn(out, vector_to_array("probability")[1]).drop(*made)
+        return Pipeline(stages=steps).fit(train)
+
+    def _head(self, train: DataFrame, test: DataFrame, label: str, out: str) -> DataFrame:
+        low, high = train.agg(F.min(label), F.max(label)).first()
+        if low is None or low == high:
+            return test.withColumn(out, F.lit(float(low or 0)))
+        model = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=0.01, maxIter=25) if self.linear else GBTClassifier(featuresCol="_x", labelCol="_y", seed=self.seed, **PRESETS[self.preset])
+        scored = model.fit(train.select("_x", F.col(label).cast("double").alias("_y"))).transform(test)
+        return scored.withColumn(out, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
     def predict(self, train: DataFrame, test: DataFrame) -> DataFrame:
         """test with replica, p_helpful and p_harmful, one row per replica."""
@@ -70,5 +72,9 @@ class UpliftGate:
             raise ValueError("too many families")
         parts = []
         for name, rows in [("full", train), *((f, train.where(F.col(self.family) != f)) for f in (families if len(families) > 1 else []))]:
-            parts.append(self._head(rows, self._head(rows, test, "helpful", "p_helpful"), "harmful", "p_harmful").withColumn("replica", F.lit(name)))
+            features = self._features(rows)
+            own, x = features.transform(rows).select("_x", "helpful", "harmful").persist(), features.transform(test)
+            x = self._head(own, self._head(own, x, "helpful", "p_helpful"), "harmful", "p_harmful")
+            parts.append(x.select(*test.columns, "p_helpful", "p_harmful").withColumn("replica", F.lit(name)))
+            own.unpersist()
         return reduce(DataFrame.unionByName, parts)

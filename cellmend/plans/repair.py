@@ -172,21 +172,25 @@ def base_majority(spark, d):
 @query(_with(O.BASE, """, c AS (SELECT f.cell_id, v.dirty_value candidate, count(*)*1.0 support FROM found f JOIN sound v ON v.dataset=f.dataset AND v.col_idx=f.col_idx WHERE f.dataset='part' AND f.col_idx=1 GROUP BY ALL),
 x AS (SELECT f.cell_id, s.ptype candidate, count(*) n FROM found f JOIN dirty_part t USING (row_idx) JOIN dirty_part s ON s.brand=t.brand JOIN sound o ON o.dataset='part' AND o.col_idx=1 AND o.row_idx=s.row_idx WHERE f.dataset='part' AND f.col_idx=1 GROUP BY ALL),
 t AS (SELECT cell_id, candidate, support/sum(support) OVER (PARTITION BY cell_id) dom, coalesce(n,0)/greatest(1,sum(coalesce(n,0)) OVER (PARTITION BY cell_id)) vic FROM c LEFT JOIN x USING (cell_id, candidate))
-SELECT cell_id, candidate, round((dom+vic)/2, 9) support, CAST(dom>0 AS INT)+CAST(vic>0 AS INT) source_count, CAST(row_number() OVER (PARTITION BY cell_id ORDER BY round((dom+vic)/2, 9) DESC, candidate) AS INT) AS rank FROM t"""))
+SELECT cell_id, candidate, round((dom+vic)/2, 9) support, CAST(dom>0 AS INT)+CAST(vic>0 AS INT) source_count, CAST(row_number() OVER (PARTITION BY cell_id ORDER BY round((dom+vic)/2, 9) DESC, candidate) AS INT) AS rank FROM t QUALIFY rank <= 10"""))
 def candidate_support_rank(spark, d):
     """Two published sources of base candidates: how frequent a value is in the column, and given the neighbour's value."""
     bad = O.found(spark, d).where("dataset = 'part' and col_idx = 1").select("cell_id", "row_idx")
     good = O.sound(spark, d).where("dataset = 'part' and col_idx = 1").select("row_idx", F.col("dirty_value").alias("candidate"))
     part = O.dirty_part(spark, d).select("row_idx", "brand")
     domain = good.groupBy("candidate").agg(F.count("*").alias("n"))
+    total = domain.agg(F.sum("n").alias("total"))  # one row
+    domain = domain.join(F.broadcast(total)).select("candidate", (F.col("n") / F.col("total")).alias("dom"))
     vicinity = good.join(part, "row_idx").groupBy("brand", "candidate").agg(F.count("*").alias("v"))
-    # both sides are counts per distinct value, not rows; each cell is paired with the column's candidates by definition
-    c = bad.join(part, "row_idx").withColumn("_all", F.lit(1)).join(domain.withColumn("_all", F.lit(1)), "_all").join(vicinity, ["brand", "candidate"], "left")
-    w = Window.partitionBy("cell_id")
-    dom = F.col("n") / F.sum("n").over(w)
-    vic = F.coalesce("v", F.lit(0)) / F.greatest(F.lit(1), F.sum(F.coalesce("v", F.lit(0))).over(w))
-    c = c.withColumns({"support": F.round((dom + vic) / 2, 9), "source_count": (F.lit(1) + (F.coalesce("v", F.lit(0)) > 0).cast("int"))})
-    return c.select("cell_id", "candidate", "support", "source_count", F.row_number().over(w.orderBy(F.desc("support"), "candidate")).alias("rank"))
+    sums = vicinity.groupBy("brand").agg(F.sum("v").alias("all_v"))
+    near = vicinity.join(sums, "brand").join(domain, "candidate").select("brand", "candidate", "dom", (F.col("v") / F.col("all_v")).alias("vic"))
+    # a value never met beside this brand can be among the ten best only if it is among the ten most frequent
+    frequent = domain.orderBy(F.desc(F.round("dom", 9)), "candidate").limit(10)
+    far = bad.join(part, "row_idx").select("brand").distinct().join(F.broadcast(frequent)).join(near.select("brand", "candidate"), ["brand", "candidate"], "left_anti").withColumn("vic", F.lit(0.0))
+    support = F.round((F.col("dom") + F.col("vic")) / 2, 9)
+    by_brand = near.unionByName(far.select("brand", "candidate", "dom", "vic")).select("brand", "candidate", support.alias("support"), (F.lit(1) + (F.col("vic") > 0).cast("int")).alias("source_count"))
+    by_brand = by_brand.withColumn("rank", F.row_number().over(Window.partitionBy("brand").orderBy(F.desc("support"), "candidate"))).where("rank <= 10")
+    return bad.join(part, "row_idx").join(by_brand, "brand").select("cell_id", "candidate", "support", "source_count", "rank")
 
 
 # ---- verification
