@@ -140,11 +140,11 @@ def sigma_ell(spark, d):
 
 @query()
 def uplift_gate(spark, d):
-    """Two linear heads with one replica per kind of data set; held-out behaviour is tested."""
-    e = table(spark, d, "evidence_cells").withColumns({"executable": F.coalesce(F.col("llm_status") == "completed", F.lit(False)), "kind": F.regexp_extract("dataset", r"^\s*([A-Za-z]+)", 1)})
+    """Two linear heads with one replica per suite left out; held-out behaviour is tested."""
+    e = table(spark, d, "evidence_cells").withColumns({"executable": F.coalesce(F.col("llm_status") == "completed", F.lit(False))})
     e = gate.uplift_targets(e, "baran_correct", "llm_correct", "executable").withColumns({"value_type": S.value_type(F.coalesce("dirty_value", F.lit(""))), "length": F.length(F.coalesce("dirty_value", F.lit(""))), "tokens": F.col("llm_observed_total_tokens")})
-    e = e.select("suite", "cell_id", "kind", "value_type", "length", "tokens", "helpful", "harmful")
-    p = gate.UpliftGate(["length", "tokens"], ["value_type", "suite"], "kind", linear=True).predict(e, e.select("cell_id", "value_type", "length", "tokens", "suite"))
+    e = e.select("suite", "cell_id", "column_name", "value_type", "length", "tokens", "helpful", "harmful")
+    p = gate.UpliftGate(["length", "tokens"], ["value_type", "column_name"], "suite", linear=True).predict(e, e.select("cell_id", "value_type", "column_name", "length", "tokens"))
     return gate.gain_and_spread(p, ["cell_id"])
 
 
