@@ -58,7 +58,7 @@ def append_ledger(df: DataFrame, path: str, batch: str) -> None:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of every file below a folder."""
+    """(path, bytes, sha256) of every file below a folder that holds at least a byte; the reader passes over empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
