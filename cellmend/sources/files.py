@@ -85,7 +85,7 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.option("wholetext", True).text(path)
     each = text.select(F.explode(F.from_json("value", shape)).alias("dataset", "rules")).select("dataset", F.posexplode("rules").alias("at", "r"))
     names = F.when(F.col("r.determinant").startswith("["), F.from_json("r.determinant", "array<string>")).otherwise(F.array("r.determinant"))
-    each = each.select("dataset", F.coalesce("r.rule_id", F.concat_ws("_", "dataset", F.lit("fd"), (F.col("at") + 1).cast("string"))).alias("rule_id"), names.alias("determinant"), F.col("r.dependent").alias("dependent"))
+    each = each.select("dataset", F.coalesce("r.rule_id", F.concat("dataset", F.lit("_fd"), (F.col("at") + 1).cast("string"))).alias("rule_id"), names.alias("determinant"), F.col("r.dependent").alias("dependent"))
     wrong = F.col("dependent").isNull() | (F.size(F.filter("determinant", lambda x: x.isNull() | (x == ""))) > 0) | F.array_contains("determinant", F.col("dependent"))
     return each.withColumn("dependent", F.when(wrong, F.raise_error(F.concat(F.lit("not a rule: "), F.col("rule_id")))).otherwise(F.col("dependent")))
 
