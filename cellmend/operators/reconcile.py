@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellmend.functions import field61 as gf
-from cellmend.session import Stages, shuffle_width
+from cellmend.session import Stages, broadcast_if_small, shuffle_width
 
 CHECKS = 2
 _SKETCH = "bucket long, side int, n long, values array<long>"
@@ -217,6 +217,7 @@ class SetReconciliation:
         sides = []
         for df, whole, p in zip(latest, prepared, "pq"):
             wanted = df.join(polynomials.select("bucket", "state", p), "bucket").mapInArrow(_root_finder(p), "k1 long, k2 long, place long, element long")
+            wanted = broadcast_if_small(stages.keep(wanted))
             sides.append(whole.join(wanted, ["k1", "k2", "place", "element"], "left_semi").dropDuplicates(["k1", "k2"]).drop("place", "element"))
         return sides[0], sides[1]
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "cellmend", master: str | None = None, **conf: str) -> SparkSession:
@@ -71,3 +72,12 @@ class Stages:
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: rows of a few numbers that may be broadcast, about 16 MB; more are joined by a shuffle
+BROADCAST_ROWS = 300_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df (a written table of narrow rows), marked for broadcast if it has no more rows than `limit`."""
+    return F.broadcast(df) if df.count() <= limit else df
