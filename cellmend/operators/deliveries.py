@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmend.session import Stages, shuffle_width
+from cellmend.session import Stages, broadcast_if_small, shuffle_width
 
 HASHES = 6
+#: messages with more deliveries than this and than a thousandth of all, a thousand at most, are joined by broadcast
+HOT_LEAST = 10_000
 BITS_PER_ID = 16
 
 
@@ -114,13 +116,21 @@ class RepeatedDeliveries:
         bucket = F.when(F.col("_at") == (1 << 63) - 1, F.lit(self.buckets)).otherwise(F.expr(f"(_at - {low or 0}L) div {span}L")).cast("long")
         storage = stages.keep(rows.groupBy(bucket.alias("bucket"), "k1", "k2").agg(F.count("*").alias("n")).sortWithinPartitions("bucket"))
         suspects = storage.repartition(shuffle_width(self.spark), "k1").sortWithinPartitions("bucket").mapInArrow(_screen, "bucket long, k1 long, k2 long")
-        verified = storage.join(suspects.distinct(), ["bucket", "k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.sum("n").alias("n")).where("n > 1")
-        repeated = rows.join(verified.select("k1", "k2"), ["k1", "k2"], "left_semi")
+        verified = stages.keep(storage.join(suspects.distinct(), ["bucket", "k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.sum("n").alias("n")).where("n > 1"))
+        total = storage.agg(F.sum("n")).first()[0] or 0
+        is_hot = F.col("n") > max(HOT_LEAST, total // 1000)
+        hot, rest = F.broadcast(verified.where(is_hot).select("k1", "k2")), verified.where(~is_hot).select("k1", "k2")
+        key = ["k1", "k2"]
+        # hot messages never meet in one task: their rows stay where they are, and so does the search for their first
+        late = [self._late(rows.join(hot, key, "left_semi"), hot=True), self._late(rows.join(hot, key, "left_anti").join(broadcast_if_small(rest), key, "left_semi"), hot=False)]
+        return late[0].unionByName(late[1]).select(F.col("_id").alias(self.delivery)).distinct()
+
+    def _late(self, repeated: DataFrame, hot: bool) -> DataFrame:
+        """Deliveries after the first of their message, the identifiers being compared as they are."""
         names = [f"_{c}" for c in self.identifiers]
         first = repeated.groupBy(*names).agg(F.min(F.struct("_at", "_id")).alias("first"))
         same = [repeated[n].eqNullSafe(first[n]) for n in names]
-        late = repeated.join(first, on=same, how="inner").where("struct(_at, _id) > first")
-        return late.select(F.col("_id").alias(self.delivery)).distinct()
+        return repeated.join(F.broadcast(first) if hot else first, on=same, how="inner").where("struct(_at, _id) > first").select("_id")
 
     def messages(self, df: DataFrame) -> DataFrame:
         """The rows of df without the deliveries to drop."""

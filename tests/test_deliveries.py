@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from cellmend.operators import deliveries
 from cellmend.operators.deliveries import RepeatedDeliveries, _Filter
 
 SCHEMA = "delivery_id long, received_at timestamp, query_id string, prompt_hash string, provider_request_hash string, k1 string"
@@ -42,7 +43,8 @@ def _plain(rows):
 
 
 @pytest.mark.parametrize(("n", "hot"), [(1200, 0.0), (900, 0.4)])
-def test_against_plain_grouping(spark, n, hot):
+def test_against_plain_grouping(spark, n, hot, monkeypatch):
+    monkeypatch.setattr(deliveries, "HOT_LEAST", 50)
     rows = _rows(n, n, hot)
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     expected = _plain(rows)
