@@ -86,8 +86,10 @@ def look_alikes(spark: SparkSession, documents: DataFrame, key: str = "doc_id",
     docs = documents.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_t")).where("_t is not null")
     look = skeleton_column(F.col("_t"))
     docs = docs.select("_id", F.sha2("_t", 256).alias("form"), look.alias("_s")).where(F.col("_s").rlike(r"\S")).select("_id", "form", F.sha2("_s", 256).alias("look"))
-    docs = Stages(spark, "skeleton").keep(docs)
-    forms = docs.select("look", "form").distinct().groupBy("look").agg(F.count("*").alias("forms")).where("forms > 1")
+    stages = Stages(spark, "skeleton")
+    docs = stages.keep(docs)
+    # written tables on both sides let AQE split a look that a third of the documents share
+    forms = stages.keep(docs.select("look", "form").distinct().groupBy("look").agg(F.count("*").alias("forms")).where("forms > 1"))
     return docs.join(forms, "look").select(F.col("_id").alias(key), "look", "form", "forms")
 
 
@@ -101,7 +103,7 @@ def look_alike_pairs(spark: SparkSession, documents: DataFrame, key: str = "doc_
     docs = stages.keep(look_alikes(spark, documents, key, text).select(F.col(key).alias("_id"), "look", "form"))
     forms = docs.select("look", "form").distinct()
     other = forms.withColumnRenamed("form", "other")
-    pairs = forms.join(other, "look").where("form < other")
+    pairs = stages.keep(forms.join(other, "look").where("form < other").select("form", "other"))
     left = pairs.join(docs.select(F.col("_id").alias("_a"), "form"), "form").select("other", "_a")
     both = left.join(docs.select(F.col("_id").alias("_b"), F.col("form").alias("other")), "other")
     return both.select(F.least("_a", "_b").alias(f"{key}_a"), F.greatest("_a", "_b").alias(f"{key}_b"))
