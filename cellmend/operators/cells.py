@@ -9,6 +9,8 @@ from cellmend.functions.scalars import cell_id
 
 TARGET_MASK = "<TARGET_ERROR_MASKED>"
 OTHER_MASK = "<OTHER_DETECTED_ERROR_MASKED>"
+# fixed values: fields that selection must not see
+ORACLE_FIELDS = ["baran_correct", "clean", "clean_path", "clean_value", "constraint", "correct_repair", "error_type", "error_value", "llm_correct", "missing_value", "right_value", "tuple_pairs"]
 # fixed values: columns that may hold a row's own id, in order of preference
 ROW_ID_COLUMNS = ["row_id", "tuple_id", "index", "id"]
 
@@ -34,9 +36,9 @@ def errors(pairs: DataFrame) -> DataFrame:
     return pairs.where("dirty_value <> clean_value")
 
 
-def online_view(cells: DataFrame, forbidden: tuple[str, ...] = ("clean_value", "error_type", "missing_value", "constraint_text", "tuple_pairs", "right_value")) -> DataFrame:
+def online_view(cells: DataFrame) -> DataFrame:
     """The cells without anything that tells the right value."""
-    return cells.drop(*forbidden)
+    return cells.drop(*ORACLE_FIELDS)
 
 
 def row_id(table: DataFrame, row: str):

@@ -11,9 +11,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellmend.operators.cells import ORACLE_FIELDS
+
 # fixed values: presets named after common boosters
 PRESETS = {"boost_a": dict(maxIter=20, maxDepth=5, maxBins=64), "boost_b": dict(maxIter=20, maxDepth=6, maxBins=64), "tree_b": dict(maxIter=10, maxDepth=4)}
-FORBIDDEN = {"clean_value", "right_value", "base_correct", "llm_correct", "error_type"}
+FORBIDDEN = {*ORACLE_FIELDS, "base_correct"}
 
 
 def uplift_targets(df: DataFrame, base: str, llm: str, executable: str) -> DataFrame:

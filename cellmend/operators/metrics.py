@@ -42,6 +42,20 @@ def deltas(summary: DataFrame, baseline: str, fields: list[str]) -> DataFrame:
     return other.select("*", *((F.col(f) - F.col(f"baseline_{f}")).alias(f"{f}_delta") for f in fields))
 
 
+def matched_baseline(rows: DataFrame, baseline: DataFrame, place: list[str], dims: list[str], fields: list[str]) -> DataFrame:
+    """rows with baseline_<field>: of the baseline's slice with equal dimensions, else of its place if all its slices there agree.
+
+    Places where they disagree, or that the baseline lacks, have nulls and state 'ambiguous' or 'missing'.
+    """
+    exact = baseline.select(*place, *(F.col(c).alias(f"_d_{c}") for c in dims), F.struct(*fields).alias("_e")).dropDuplicates([*place, *(f"_d_{c}" for c in dims)])
+    anywhere = baseline.groupBy(*place).agg(F.min(F.struct(*fields)).alias("_lo"), F.max(F.struct(*fields)).alias("_hi"))
+    same = [rows[c] == exact[c] for c in place] + [rows[c].eqNullSafe(exact[f"_d_{c}"]) for c in dims]
+    x = rows.join(exact, same, "left").select(rows["*"], "_e").join(anywhere, place, "left")
+    agree = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))
+    state = F.when(F.col("_e").isNotNull(), "exact").when(F.col("_lo").isNull(), "missing").when(agree.isNotNull(), "place").otherwise("ambiguous")
+    return x.withColumn("state", state).withColumn("_b", F.coalesce("_e", agree)).select(*rows.columns, "state", *(F.col("_b")[f].alias(f"baseline_{f}") for f in fields))
+
+
 def budget_curve_area(points: DataFrame, keys: list[str], budget: str, value: str, anchor: str, top: float) -> DataFrame:
     """Area under value over budget on [0, top] by trapezoids, from the anchor at 0, divided by top. Curves that don't reach top are left out."""
     pts = points.where(F.col(budget) > 0).select(*keys, F.col(budget).alias("x"), F.col(value).alias("y")).unionByName(points.select(*keys, F.lit(0.0).alias("x"), F.col(anchor).alias("y")).distinct())

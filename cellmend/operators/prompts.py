@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 
 from cellmend.functions.scalars import bounded, completion_ceiling, token_estimate
 
-# fixed values: names that would tell the right value
-FORBIDDEN_KEYS = ["clean_value", "right_value", "ground_truth", "error_type", "missing_value", "constraint", "tuple_pairs", "oracle", "label", "is_correct", "correct_repair", "gold"]
+# fixed values: names that must not be keys of a payload
+FORBIDDEN_KEYS = [
+    "baran", "baran_candidate", "baran_confidence", "baran_correct", "baran_prediction", "candidate_support", "clean", "clean_value", "correct_repair", "corrector_support", "error_type", "llm_correct", "missing_value",
+    "right_value", "source_agreement", "tuple_pairs",
+]
+# fixed values: patterns that must not occur in a text
+FORBIDDEN_TEXT = [
+    "baran[_ -]?(candidate|prediction|support|confidence|correct)", "candidate[_ -]?support", "clean[_ -]?value", "correct[_ -]?repair", "corrector[_ -]?support", "error[_ -]?type", "llm[_ -]?correct",
+    "missing[_ -]?value", "right[_ -]?value", "source[_ -]?agreement", "tuple[_ -]?pairs",
+]
 SYSTEM = "Repair the listed cells. Answer with one JSON object holding query_id and repairs."
 
 
@@ -50,6 +58,11 @@ def leaks(payload: Column) -> Column:
     return F.lower(payload).rlike('"(' + "|".join(FORBIDDEN_KEYS) + r')"\s*:')
 
 
+def text_leaks(text: Column) -> Column:
+    """Whether a text has one of the forbidden patterns, in any letter case."""
+    return text.rlike("(?i)" + "|".join(FORBIDDEN_TEXT))
+
+
 def price(tokens: Column, tiers: list[tuple[int | None, float]]) -> Column:
     """The price of the first tier that holds the tokens; the last tier may be open."""
     out = None

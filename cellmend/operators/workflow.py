@@ -13,8 +13,13 @@ from cellmend.operators.grouping import LARGEST_BUCKET, average_linkage_order, d
 from cellmend.operators.prompts import query_id
 from cellmend.operators.statistics import derived_seed
 
-# fixed values: which phases may reuse whose answers
-PHASE_SOURCES = {"selected": ["selected", "calibration", "full_baseline"], "calibration": ["calibration", "full_baseline"], "full_baseline": ["full_baseline"]}
+# fixed values: answers of which other phases a phase may reuse
+REUSABLE = {
+    "bgr_selected_union": ["preliminary_random", "preliminary_singleton", "preliminary_structured"],
+    "offline_group_calibration": ["preliminary_random", "preliminary_singleton", "preliminary_structured"],
+    "online_selected_union": ["offline_group_calibration", "preliminary_random", "preliminary_singleton", "preliminary_structured"],
+    "preliminary_singleton": ["model_preflight"],
+}
 
 
 def sparse_leaf_orders(items: DataFrame, bucket: list[str], key: str, terms: DataFrame, largest: int = LARGEST_BUCKET) -> DataFrame:
@@ -87,7 +92,8 @@ def random_partner(blocks: DataFrame, keys: list[str], seed: int) -> DataFrame:
 
 
 def compatible_phase(target: Column, source: Column) -> Column:
-    return reduce(lambda a, b: a | b, ((target == t) & source.isin(*s) for t, s in PHASE_SOURCES.items()))
+    """A phase may reuse its own answers and those of the phases listed for it."""
+    return reduce(lambda a, b: a | b, ((target == t) & source.isin(*s) for t, s in REUSABLE.items()), target == source)
 
 
 def merged_ledger(segments: list[tuple[str, DataFrame]], identity: list[str]) -> DataFrame:

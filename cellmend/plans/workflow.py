@@ -78,11 +78,23 @@ def forbidden_keys(spark, d):
     return table(spark, d, "group_checkpoint").select("delivery_id", prompts.leaks(F.col("response_text")).alias("leaks"))
 
 
-@query("SELECT t.phase target, s.phase source, t.phase||'' = s.phase OR (t.phase='selected' AND s.phase IN ('calibration','full_baseline')) OR (t.phase='calibration' AND s.phase='full_baseline') compatible FROM (VALUES ('selected'),('calibration'),('full_baseline')) t(phase), (SELECT DISTINCT phase FROM group_checkpoint UNION VALUES ('selected'),('full_baseline')) s WHERE s.phase IS NOT NULL")
+_PHASES = sorted({*workflow.REUSABLE, *(x for v in workflow.REUSABLE.values() for x in v)})
+
+
+@query("WITH p AS (SELECT unnest([" + ", ".join(f"'{p}'" for p in _PHASES) + "]) phase UNION SELECT phase FROM group_checkpoint WHERE phase IS NOT NULL) SELECT t.phase target, s.phase source, t.phase = s.phase OR " + " OR ".join(f"(t.phase='{t}' AND s.phase IN ({', '.join(repr(x) for x in v)}))" for t, v in workflow.REUSABLE.items()) + " compatible FROM p t, p s")
 def phase_compatible(spark, d):
-    own = table(spark, d, "group_checkpoint").where("phase is not null").select(F.col("phase").alias("source")).distinct().union(spark.createDataFrame([("selected",), ("full_baseline",)], "source string")).distinct()
-    # the names of phases on both sides, a handful by design
-    return own.select(F.explode(F.array(*(F.lit(p) for p in workflow.PHASE_SOURCES))).alias("target"), "source").select("target", "source", workflow.compatible_phase(F.col("target"), F.col("source")).alias("compatible"))
+    """All pairs of the phases there are, a handful by design."""
+    own = table(spark, d, "group_checkpoint").where("phase is not null").select("phase").distinct()
+    names = sorted({*_PHASES, *(r[0] for r in own.limit(1001).collect())})
+    if len(names) > 1000:
+        raise ValueError("more than 1,000 phases")
+    pairs = spark.createDataFrame([(t, s) for t in names for s in names], "target string, source string")
+    return pairs.withColumn("compatible", workflow.compatible_phase(F.col("target"), F.col("source")))
+
+
+@query("SELECT doc_id, regexp_matches(coalesce(text,''), '(?i)" + "|".join(prompts.FORBIDDEN_TEXT) + "') leaks FROM documents")
+def forbidden_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", prompts.text_leaks(F.coalesce("text", F.lit(""))).alias("leaks"))
 
 
 _SEG = "CASE WHEN substr(batch_id,2,2) <= '03' THEN 'early' ELSE 'late' END"
