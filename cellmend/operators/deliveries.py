@@ -88,8 +88,8 @@ class RepeatedDeliveries:
     identifiers: columns that name a message. A null or blank value of one in `blank_is_null` equals
     another null or blank; of the others null equals null only. Rows whose column `required` is null
     are never repeats. The first delivery has the earliest `received_at` (null counts as latest), then
-    the smallest `delivery_id`; rows repeated under one delivery_id are one delivery. An empty table
-    gives an empty result.
+    the smallest `delivery_id`; rows repeated under one delivery_id are one delivery, rows without one are
+    not looked at. An empty table gives an empty result; columns beside those named play no part.
     """
 
     def __init__(self, spark: SparkSession, identifiers: list[str], required: str, blank_is_null: tuple[str, ...] = (), buckets: int = 64, delivery: str = "delivery_id", received: str = "received_at"):
@@ -102,7 +102,7 @@ class RepeatedDeliveries:
             value = canonical_digest(F.col(c))
             ids[f"_{c}"] = F.when(value != "", value) if c in self.blank_is_null else value
         at = F.coalesce(F.unix_micros(F.col(self.received).cast("timestamp")), F.lit((1 << 63) - 1))
-        rows = df.where(F.col(self.required).isNotNull()).select(F.col(self.delivery).alias("_id"), at.alias("_at"), *(e.alias(k) for k, e in ids.items()))
+        rows = df.where(F.col(self.required).isNotNull() & F.col(self.delivery).isNotNull()).select(F.col(self.delivery).alias("_id"), at.alias("_at"), *(e.alias(k) for k, e in ids.items()))
         flat = [x for k in ids for x in (F.col(k).isNull(), F.col(k))]
         return rows.withColumns({"k1": F.xxhash64(F.lit(1), *flat), "k2": F.xxhash64(F.lit(2), *flat)})
 

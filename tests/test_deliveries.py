@@ -56,6 +56,7 @@ def test_empty_and_repeated_rows(spark):
     assert _op(spark).repeats(spark.createDataFrame([], SCHEMA)).collect() == []
     one = (1, datetime(2024, 1, 1), "ab", "cd", None, "")
     assert _op(spark).repeats(spark.createDataFrame([one, one], SCHEMA)).collect() == []
+    assert _op(spark).repeats(spark.createDataFrame([one, (None, *one[1:])], SCHEMA)).collect() == []
     assert [r[0] for r in _op(spark).repeats(spark.createDataFrame([one, (2, None, "AB", "cd", "", "")], SCHEMA)).collect()] == [2]
 
 
