@@ -80,10 +80,10 @@ def consistent_form(text: Column) -> Column:
 def look_alikes(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, look, form, looks): documents whose look several different strings share.
 
-    look identifies the skeleton, form the string. Null texts, texts without a visible character, and
-    texts only met as exact copies are left out. Repeated rows are repeated.
+    look identifies the skeleton, form the string. Null texts, rows without a key, texts without a visible
+    character, and texts only met as exact copies are left out. Repeated rows are repeated.
     """
-    docs = documents.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_t")).where("_t is not null")
+    docs = documents.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_t")).where("_t is not null and _id is not null")
     look = skeleton_column(F.col("_t"))
     docs = docs.select("_id", F.sha2("_t", 256).alias("form"), look.alias("_s")).where(F.col("_s").rlike(r"\S")).select("_id", "form", F.sha2("_s", 256).alias("look"))
     stages = Stages(spark, "skeleton")

@@ -24,7 +24,7 @@ def test_pairs_of_characters():
 
 def test_pairs_of_documents(spark):
     texts = ["plain text", "plain text", "plain text", "рlаin text", "Plain text", None, "", " ", "​", " ", "é" * 50_000, "é" * 50_000, "other", "other"]
-    df = spark.createDataFrame([(i, t, "clash", "c") for i, t in enumerate(texts)], "doc_id long, text string, look string, form string")
+    df = spark.createDataFrame([(i, t, "clash", "c") for i, t in enumerate(texts)] + [(None, "Ｐlain text", "", "")], "doc_id long, text string, look string, form string")
     got = sorted(map(tuple, look_alike_pairs(spark, df).collect()))
     assert got == [(0, 2), (0, 3), (1, 2), (1, 3), (2, 3), (10, 11)]
     assert look_alike_pairs(spark, df.where("false")).collect() == []
