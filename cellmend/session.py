@@ -42,11 +42,26 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+_made: set[str] = set()
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Deletes all tables that operators of this process have written; results that still read them can't be read after it."""
+    for base in sorted(_made):
+        _delete(spark, base)
+    _made.clear()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 class Stages:
     """Tables written to the shared folder to cut lineage.
 
     A written table survives the loss of an executor, gives the planner real sizes, and lets a later
-    round prune columns. `drop` deletes a table once nothing reads it any more.
+    round prune columns. `drop` deletes a table once nothing reads it any more, `clear_stages` all of them.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -57,6 +72,7 @@ class Stages:
     def write(self, df: DataFrame) -> tuple[DataFrame, str]:
         path = f"{self.base}/{self.n}"
         self.n += 1
+        _made.add(self.base)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
@@ -64,9 +80,7 @@ class Stages:
         return self.write(df)[0]
 
     def drop(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(self.spark, path)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -1,6 +1,5 @@
 """The driver's contract, and SQL against DuckDB on the smallest tables where they exist."""
 
-import importlib.util
 from pathlib import Path
 
 import pytest
@@ -12,8 +11,8 @@ def test_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 60
-    if importlib.util.find_spec("cellmend.llm") is None:
-        assert not {"p3_found", "p6_ids"} & set(e.queries())
+    there = (Path(e.__file__).parent / "cellmend" / "llm" / "queries.py").exists()
+    assert ("p3_found" in e.queries()) == there
 
 
 def _plain(v):

@@ -69,3 +69,14 @@ def test_client_and_stream(spark, tmp_path):
     q = first_seen(spark.readStream.schema(events.schema).parquet(str(tmp_path / "ev")), ["k"], "at", "1 hour").writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("seen").count() == 2
+
+
+def test_stages(spark):
+    from cellmend.session import Stages, clear_stages
+
+    stages = Stages(spark, "test")
+    one, path = stages.write(spark.range(5))
+    assert one.count() == 5 and path.startswith(stages.base)
+    clear_stages(spark)
+    with pytest.raises(Exception, match="(?i)path|exist|found"):
+        spark.read.parquet(path).count()
