@@ -63,6 +63,11 @@ def abbreviations(zone: str, since: int = 2000, until: int = 2038) -> dict[str,
     return out
 
 
+def _known(column: str) -> Column:
+    """Whether a column holds a region name of the database; one parsed text instead of a call per name."""
+    return F.expr(f"{column} in ({', '.join(repr(z) for z in zone_names())})")
+
+
 def source_zones(sources: DataFrame) -> tuple[DataFrame, dict[str, dict[str, int]]]:
     """One row (src_key, tz, date_order) per source, and the abbreviations of the zones that occur.
 
@@ -71,7 +76,7 @@ def source_zones(sources: DataFrame) -> tuple[DataFrame, dict[str, dict[str, int
     the database reach the driver, so their number is bounded by it.
     """
     name = F.lower(F.regexp_replace("src", _OUTER, ""))
-    known = F.col("tz_name").isin(*zone_names())
+    known = _known("tz_name")
     table = sources.where(F.col("src").isNotNull()).groupBy(name.alias("src_key")).agg(F.min(F.when(known, F.col("tz_name"))).alias("tz"), F.min(F.lower(F.trim("date_order"))).alias("date_order"))
     used = [r[0] for r in sources.where(known).select("tz_name").distinct().collect()]
     return table, {z: abbreviations(z) for z in used}
@@ -155,9 +160,9 @@ def to_instants(rows: DataFrame, columns: list[str], sources: DataFrame, keep: l
     right_day = (weekday == "") | (F.pmod(days + 3, F.lit(7)) + 1 == _index(WEEKDAYS, F.substring(weekday, 1, 3)))
     clock = F.when((minute <= 59) & (second <= 59), ((F.col("_hour") * 60 + minute) * 60 + second).cast("long") * 1_000_000 + F.col("_micros"))
     numeric = F.when((off_m <= 59) & (off_h * 60 + off_m <= 18 * 60), (off_h * 60 + off_m) * 60 * F.when(F.substring(signed, 1, 1) == "-", -1).otherwise(1))
-    entries = [x for z, names in offsets.items() for n, s in names.items() for x in (F.lit(f"{z}|{n}"), F.lit(s))]
-    by_name = F.try_element_at(F.create_map(*entries), F.when(F.col("tz").isNotNull(), F.concat_ws("|", "tz", "_zone"))) if entries else F.lit(None).cast("int")
-    region = F.when(F.col("_region") == "", F.col("tz")).when(F.col("_region").isin(*zone_names()), F.col("_region"))
+    entries = ", ".join(f"'{z}|{n}', {s}" for z, names in offsets.items() for n, s in names.items())
+    by_name = F.try_element_at(F.expr(f"map({entries})"), F.when(F.col("tz").isNotNull(), F.concat_ws("|", "tz", "_zone"))) if entries else F.lit(None).cast("int")
+    region = F.when(F.col("_region") == "", F.col("tz")).when(_known("_region"), F.col("_region"))
     # of an epoch number the digits beyond the point count as far as they reach a microsecond
     number = F.when(kind == "epoch", a)
     epoch = (
