@@ -16,6 +16,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -197,7 +198,7 @@ def encode_column(spark: SparkSession, df: DataFrame, text: str, keep: list[str]
         worker = _worker_for(shared)
         for batch in batches:
             texts = batch.column("_text")
-            lengths = np.array([len(t) if t else 0 for t in texts.to_pylist()], dtype=np.int64) if batch.num_rows else np.zeros(0, np.int64)
+            lengths = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             part = np.cumsum(lengths) // CHUNK_CHARACTERS
             edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
             for start, stop in zip(edges, edges[1:]):
