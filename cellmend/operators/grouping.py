@@ -6,10 +6,11 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellmend.functions.scalars import char_ngrams
+from cellmend.session import Stages
 
 #: cells in one leaf order; larger buckets are cut by the hash of their first members' format, see leaf_orders
 LARGEST_BUCKET = 2048
@@ -22,18 +23,35 @@ def exact_windows(order: Column, k: int) -> Column:
     return F.when(n >= k, F.transform(starts, lambda s: F.slice(order, s + 1, k))).otherwise(F.array().cast("array<array<string>>"))
 
 
-def exact_blocks(ordered: DataFrame, keys: list[str], order: list[str], k: int, least: int = 3) -> DataFrame:
+def ranks(spark: SparkSession, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """rows with `rank` (from 1) and `members` of their key.
+
+    Rows are spread by ranges of (keys, order) and numbered where they lie; a key's rank is the distance
+    to its first number. So a key with a third of all rows is ranked in as many tasks as its rows fill,
+    where a window would sort it in one.
+    """
+    stages = Stages(spark, "ranks")
+    placed = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id())
+    placed = stages.keep(placed)  # numbers are given once
+    part, low = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    # one row per partition
+    offsets = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    offsets = offsets.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_offset"))
+    numbered = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn("_i", F.col("_offset") + low)
+    first = stages.keep(numbered.groupBy(*keys).agg(F.min("_i").alias("_first"), F.count("*").alias("members")))
+    same = [numbered[k].eqNullSafe(first[k]) for k in keys]
+    return numbered.join(first, same).select(*(numbered[c] for c in rows.columns), (F.col("_i") - F.col("_first") + 1).alias("rank"), "members")
+
+
+def exact_blocks(spark: SparkSession, ordered: DataFrame, keys: list[str], order: list[str], k: int, least: int = 3) -> DataFrame:
     """Adds block 0, 1, ... of k rows in order; incomplete blocks, and keys with fewer than `least` blocks, are left out."""
-    w = Window.partitionBy(*keys)
-    n = F.count("*").over(w)
-    at = F.row_number().over(w.orderBy(*order)) - 1
-    return ordered.withColumns({"_n": n, "_at": at}).where(F.expr(f"_at < (_n div {k}) * {k} and _n div {k} >= {least}")).withColumn("block", F.expr(f"_at div {k}")).drop("_n", "_at")
+    x = ranks(spark, ordered, keys, order).where(F.expr(f"rank <= (members div {k}) * {k} and members div {k} >= {least}"))
+    return x.withColumn("block", F.expr(f"(rank - 1) div {k}")).drop("rank", "members")
 
 
-def quartile(keys: list[str], order: list[str]) -> Column:
-    """floor(4 * rank / n), 3 at most, rank from 0."""
-    w = Window.partitionBy(*keys)
-    return F.least(F.lit(3), F.floor((F.row_number().over(w.orderBy(*order)) - 1) * 4 / F.count("*").over(w))).cast("int")
+def quartiles(spark: SparkSession, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds quartile: floor(4 * rank / n), 3 at most, rank from 0."""
+    return ranks(spark, rows, keys, order).withColumn("quartile", F.least(F.lit(3), F.floor((F.col("rank") - 1) * 4 / F.col("members"))).cast("int")).drop("rank", "members")
 
 
 def round_robin_sample(candidates: DataFrame, stratum: list[str], rank_hash: Column, cap: int) -> DataFrame:
@@ -55,10 +73,10 @@ def hamilton_quotas(cells: DataFrame, keys: list[str], stratum: str, share: floa
     return per.withColumn("quota", F.least(F.col("count"), F.col("_floor") + (rank <= rest).cast("int")).cast("long")).select(*keys, stratum, "count", "quota")
 
 
-def hash_ranked(cells: DataFrame, keys: list[str], cell: str, seed: int) -> DataFrame:
+def hash_ranked(spark: SparkSession, cells: DataFrame, keys: list[str], cell: str, seed: int, ties: list[str]) -> DataFrame:
     """Adds sample_rank: the place of a cell among its key by digest."""
     digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(cell)), 256)
-    return cells.withColumn("_d", digest).withColumn("sample_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_d", cell))).drop("_d")
+    return ranks(spark, cells.withColumn("_d", digest), keys, ["_d", cell, *ties]).withColumn("sample_rank", F.col("rank").cast("int")).drop("_d", "rank", "members")
 
 
 def round_robin_schedule(queries: DataFrame, condition: str, order: str, seed: int) -> DataFrame:

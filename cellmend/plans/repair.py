@@ -463,12 +463,13 @@ def half_stride_windows(spark, d):
 @query("SELECT cell_id, sample_id, (k-1)//4 block FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(dataset)), column_name ORDER BY row_idx, sample_id) k, count(*) OVER (PARTITION BY lower(trim(dataset)), column_name) n FROM sample_records) WHERE k <= n//4*4 AND n//4 >= 3")
 def exact_blocks(spark, d):
     t = table(spark, d, "sample_records").withColumn("ds", F.lower(F.trim("dataset")))
-    return grouping.exact_blocks(t, ["ds", "column_name"], ["row_idx", "sample_id"], 4).select("cell_id", "sample_id", "block")
+    return grouping.exact_blocks(spark, t, ["ds", "column_name"], ["row_idx", "sample_id"], 4).select("cell_id", "sample_id", "block")
 
 
 @query("SELECT sample_id, CAST(least(3, floor((k-1)*4.0/n)) AS INT) quartile FROM (SELECT sample_id, row_number() OVER (PARTITION BY column_name ORDER BY sample_rank, sample_id) k, count(*) OVER (PARTITION BY column_name) n FROM sample_records)")
 def cohesion_quartile(spark, d):
-    return table(spark, d, "sample_records").select("sample_id", grouping.quartile(["column_name"], ["sample_rank", "sample_id"]).alias("quartile"))
+    t = table(spark, d, "sample_records").select("sample_id", "column_name", "sample_rank")
+    return grouping.quartiles(spark, t, ["column_name"], ["sample_rank", "sample_id"]).select("sample_id", "quartile")
 
 
 @query("WITH r AS (SELECT sample_id, column_name, suite, sha256('42|'||lower(trim(dataset))||'|'||cell_id||'|'||sample_id) h FROM sample_records), t AS (SELECT *, row_number() OVER (PARTITION BY column_name, suite ORDER BY h) turn FROM r) SELECT sample_id, column_name, suite, CAST(turn AS INT) turn FROM t ORDER BY turn, column_name, suite LIMIT 300")
@@ -489,8 +490,7 @@ def hamilton_quota(spark, d):
 @query("SELECT sample_id, CAST(row_number() OVER (PARTITION BY lower(trim(dataset)), column_name ORDER BY sha256('42|'||cell_id), cell_id, sample_id) AS INT) sample_rank FROM sample_records")
 def hash_ranked_cells(spark, d):
     t = table(spark, d, "sample_records").select("sample_id", F.lower(F.trim("dataset")).alias("dataset"), "column_name", "cell_id")
-    digest = F.sha2(F.concat_ws("|", F.lit("42"), "cell_id"), 256)
-    return t.withColumn("_d", digest).select("sample_id", F.row_number().over(Window.partitionBy("dataset", "column_name").orderBy("_d", "cell_id", "sample_id")).alias("sample_rank"))
+    return grouping.hash_ranked(spark, t, ["dataset", "column_name"], "cell_id", 42, ["sample_id"]).select("sample_id", "sample_rank")
 
 
 @query(_with(O.BASE, "SELECT dataset, query_id, count(*) cells, CAST(max(query_cost) AS BIGINT) query_cost, round(1 - max(query_cost)/(count(*)*202.0), 9) saving_ratio FROM responses WHERE s=2 GROUP BY ALL"))

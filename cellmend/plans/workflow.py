@@ -186,7 +186,7 @@ def schedule(spark, d):
 def random_partition(spark, d):
     """Blocks of four with the members of every place moved to other blocks; tested for staying nowhere."""
     t = table(spark, d, "sample_records").withColumn("ds", F.lower(F.trim("dataset")))
-    b = grouping.exact_blocks(t, ["ds", "column_name"], ["row_idx", "sample_id"], 4)
+    b = grouping.exact_blocks(spark, t, ["ds", "column_name"], ["row_idx", "sample_id"], 4)
     from pyspark.sql import Window
 
     b = b.withColumn("member_index", (F.row_number().over(Window.partitionBy("ds", "column_name", "block").orderBy("row_idx", "sample_id")) - 1).cast("int"))

@@ -314,3 +314,13 @@ def test_gate(spark):
         gate.UpliftGate(["clean_value"], [], "fam")
     t = gate.uplift_targets(spark.createDataFrame([(1, 0, True), (0, 1, True), (0, 1, False), (None, 1, True)], "b int, l int, x boolean"), "b", "l", "x")
     assert [(r.helpful, r.harmful) for r in t.collect()] == [(0, 1), (1, 0), (0, 0), (1, 0)]
+
+
+def test_ranks_with_a_hot_key(spark):
+    rng = random.Random(3)
+    data = [("hot" if i % 3 else rng.choice(["a", "b", None]), rng.randrange(40), i) for i in range(600)]
+    got = {r.i: (r["rank"], r.members) for r in grouping.ranks(spark, spark.createDataFrame(data, "k string, x int, i int"), ["k"], ["x", "i"]).collect()}
+    for k in {k for k, _, _ in data}:
+        own = sorted((x, i) for q, x, i in data if q == k)
+        assert [got[i] for _, i in own] == [(n + 1, len(own)) for n in range(len(own))]
+    assert grouping.ranks(spark, spark.createDataFrame([], "k string, x int"), ["k"], ["x"]).collect() == []
