@@ -150,13 +150,18 @@ def sigma_ell(spark, d):
     return gate.gain_and_spread(p, ["dataset"]).select("dataset", *(F.round(c, 9).alias(c) for c in ("net_gain", "sigma", "conservative_uplift")))
 
 
+# fixed values: words that name no family
+NO_FAMILY = ["", "unknown", "n/a"]
+
+
 @query()
 def uplift_gate(spark, d):
-    """Two linear heads with one replica per suite left out; held-out behaviour is tested."""
+    """Two linear heads with one replica per base family left out; held-out behaviour is tested."""
     e = table(spark, d, "evidence_cells").withColumns({"executable": F.coalesce(F.col("llm_status") == "completed", F.lit(False))})
     e = gate.uplift_targets(e, "baran_correct", "llm_correct", "executable").withColumns({"value_type": S.value_type(F.coalesce("dirty_value", F.lit(""))), "length": F.length(F.coalesce("dirty_value", F.lit(""))), "tokens": F.col("llm_observed_total_tokens")})
-    e = e.select("suite", "cell_id", "column_name", "value_type", "length", "tokens", "helpful", "harmful")
-    p = gate.UpliftGate(["length", "tokens"], ["value_type", "column_name"], "suite", linear=True).predict(e, e.select("cell_id", "value_type", "column_name", "length", "tokens"))
+    name = F.lower(F.regexp_replace("base_family", r"^\s+|\s+$", ""))
+    e = e.select(F.when(~name.isin(*NO_FAMILY), name).alias("family"), "cell_id", "column_name", "value_type", "length", "tokens", "helpful", "harmful")
+    p = gate.UpliftGate(["length", "tokens"], ["value_type", "column_name"], "family", linear=True).predict(e, e.select("cell_id", "value_type", "column_name", "length", "tokens"))
     return gate.gain_and_spread(p, ["cell_id"])
 
 
