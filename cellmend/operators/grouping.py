@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from cellmend.functions.scalars import char_ngrams
 from cellmend.session import Stages
 
-#: cells in one leaf order; larger buckets are cut by the hash of their first members' format, see leaf_orders
-LARGEST_BUCKET = 2048
+#: clusters whose distances to all others are held at once in a leaf order
+LINKAGE_ROWS = 256
 
 
 def exact_windows(order: Column, k: int) -> Column:
@@ -128,63 +128,100 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((na == 0) & (nb == 0), 1.0).when((na == 0) | (nb == 0), 0.0).otherwise(both)
 
 
-def average_linkage_order(ids: list[str], vectors: np.ndarray) -> list[str]:
-    """Leaves of average linkage under cosine distance, on a dense matrix.
+def average_linkage_order(groups: list[list[str]], vectors: np.ndarray) -> list[str]:
+    """Leaves of average linkage under cosine distance; groups: the ids of each vector.
 
     Of equally near clusters the pair with the smallest first ids merges first; a merge puts the nearer
-    ends together, and of equals the order that compares smaller.
+    ends together, and of equals the order that compares smaller. So the ids of equal vectors follow each
+    other by name, and only different vectors are linked. The mean cosine of two clusters is the product
+    of their sums of unit vectors over both sizes: what is held grows with the vectors, not with their
+    pairs, whose number the time grows with.
     """
-    order = np.argsort(np.array(ids, dtype=object), kind="stable")
-    ids, x = [ids[i] for i in order], vectors[order].astype(float)
-    n = len(ids)
-    if n < 2:
-        return ids
+    x = np.asarray(vectors, dtype=float)
     length = np.sqrt((x**2).sum(axis=1))
-    safe = np.where(length > 0, length, 1)
-    sim = np.clip((x / safe[:, None]) @ (x / safe[:, None]).T, -1, 1)
-    zero = length == 0
-    sim[zero, :] = sim[:, zero] = 0
-    sim[np.ix_(zero, zero)] = 1
-    leaf = np.clip(1 - sim, 0, 2)
-    d = leaf.copy()
-    np.fill_diagonal(d, np.inf)
-    members, size = [[i] for i in range(n)], np.ones(n)
-    smallest = np.arange(n)
+    # vectors without length are alike, and unlike all others: a direction of their own
+    x = np.column_stack([x / np.where(length > 0, length, 1)[:, None], (length == 0).astype(float)])
+    same: dict[bytes, int] = {}
+    members: list[list[str]] = []
+    first = []
+    for i, v in enumerate(np.round(x, 12) + 0.0):
+        at = same.setdefault(v.tobytes(), len(members))
+        if at == len(members):
+            members.append([])
+            first.append(i)
+        members[at].extend(groups[i])
+    members = [sorted(m) for m in members]
+    order = sorted(range(len(members)), key=lambda i: members[i][0])
+    members, unit = [members[i] for i in order], x[[first[i] for i in order]]
+    ends = [(i, i) for i in range(len(members))]
+    n = len(members)
+    # place: the cluster of each row, named by its smallest member; rows of merged clusters go once half are gone
+    place, sums, size = np.arange(n), unit.copy(), np.array([float(len(m)) for m in members])
+    sums *= size[:, None]
+    near, far = np.full(n, -1), np.full(n, np.inf)
     alive = np.ones(n, dtype=bool)
-    for _ in range(n - 1):
-        low = d.min()
-        rows, cols = np.nonzero(d == low)
-        first, second = np.minimum(smallest[rows], smallest[cols]), np.maximum(smallest[rows], smallest[cols])
-        at = np.lexsort((second, first))[0]
-        i, j = sorted((int(rows[at]), int(cols[at])))
-        a, b = members[i], members[j]
-        ab, ba = leaf[a[-1], b[0]], leaf[b[-1], a[0]]
-        members[i] = a + b if ab < ba or (ab == ba and a + b < b + a) else b + a
-        merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i, :], d[:, i] = merged, merged
-        d[i, i] = np.inf
-        d[j, :], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        smallest[i] = min(smallest[i], smallest[j])
-        alive[j] = False
-    return [ids[i] for i in members[int(np.flatnonzero(alive)[0])]]
-
-
-def leaf_orders(items: DataFrame, bucket: list[str], key: str, vector: str, largest: int = LARGEST_BUCKET) -> DataFrame:
-    """(bucket..., part, ordered): the leaf order of each bucket.
 
-    The order needs all distances of a bucket. A bucket above `largest` is cut into parts of about that
-    size by the hash of the key; every item is in one part, and parts follow each other by number.
+    def distances(rows):
+        return np.where(alive, np.round(np.clip(1 - sums[rows] @ sums.T / (size[rows][:, None] * size), 0, 2), 12), np.inf)
+
+    def look(rows):
+        """Nearest later cluster of rows, of equals the first."""
+        for k in range(0, len(rows), LINKAGE_ROWS):
+            part = rows[k : k + LINKAGE_ROWS]
+            d = distances(part)
+            d[np.arange(len(sums)) <= part[:, None]] = np.inf
+            near[part] = d.argmin(axis=1)
+            far[part] = d[np.arange(len(part)), near[part]]
+
+    look(np.arange(n))
+    leaf = lambda p, q: round(float(np.clip(1 - unit[p] @ unit[q], 0, 2)), 12)
+    for left in range(n, 1, -1):
+        i = int(far.argmin())
+        j = int(near[i])
+        a, b = place[i], place[j]
+        (a0, a1), (b0, b1) = ends[a], ends[b]
+        ab, ba = leaf(a1, b0), leaf(b1, a0)
+        forward = ab < ba or (ab == ba and members[a][0] < members[b][0])
+        members[a], ends[a] = (members[a] + members[b], (a0, b1)) if forward else (members[b] + members[a], (b0, a1))
+        members[b] = []
+        sums[i] += sums[j]
+        size[i] += size[j]
+        alive[j], far[j] = False, np.inf
+        d = distances(np.array([i]))[0]
+        index = np.arange(len(sums))
+        lost = alive & (index < j) & (index != i) & ((near == i) | (near == j)) & ((index > i) | (d > far))
+        closer = alive & (index < i) & ~lost & ((d < far) | ((d == far) & (i <= near)))
+        near[closer], far[closer] = i, d[closer]
+        look(np.append(np.flatnonzero(lost), i))
+        if 2 * (left - 1) < len(sums) and left > 64:
+            moved = alive.cumsum() - 1
+            place, sums, size, near, far = place[alive], sums[alive], size[alive], moved[near[alive]], far[alive]
+            alive = np.ones(len(sums), dtype=bool)
+    return members[0] if members else []
+
+
+def bucket_orders(vectors: DataFrame, bucket: list[str], key: str, dense, largest: int | None) -> DataFrame:
+    """(bucket..., part, ordered) of items (bucket..., key, _v); dense: makes a matrix of a series of vectors.
+
+    A bucket is one order. Only if `largest` is given, a bucket above it is cut into unrelated parts of about
+    that size by the hash of the key. Keys of equal vectors travel as one row.
     """
-    n = items.groupBy(*bucket).agg(F.count("*").alias("_n"))
-    cut = items.join(n, bucket).withColumn("part", F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / largest))).drop("_n")
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in items.select(*bucket).schema), "part bigint", "ordered array<string>"])
+    part = F.lit(0).cast("long")
+    if largest:
+        n = vectors.groupBy(*bucket).agg(F.count("*").alias("_n"))
+        vectors, part = vectors.join(n, bucket), F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / largest))
+    alike = vectors.withColumn("part", part).groupBy(*bucket, "part", "_v").agg(F.sort_array(F.collect_list(F.col(key).cast("string"))).alias("_keys"))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in vectors.select(*bucket).schema), "part bigint", "ordered array<string>"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = average_linkage_order([str(k) for k in pdf[key]], np.stack([np.asarray(v, dtype=float) for v in pdf[vector]]))
-        return pd.DataFrame([[*pdf[bucket].iloc[0], int(pdf.part.iloc[0]), order]], columns=[*bucket, "part", "ordered"])
+        return pd.DataFrame([[*pdf[bucket].iloc[0], int(pdf.part.iloc[0]), average_linkage_order([list(k) for k in pdf["_keys"]], dense(pdf["_v"]))]], columns=[*bucket, "part", "ordered"])
+
+    return alike.groupBy(*bucket, "part").applyInPandas(run, schema)
+
 
-    return cut.groupBy(*bucket, "part").applyInPandas(run, schema)
+def leaf_orders(items: DataFrame, bucket: list[str], key: str, vector: str, largest: int | None = None) -> DataFrame:
+    """(bucket..., part, ordered): the leaf order of each bucket, see bucket_orders."""
+    return bucket_orders(items.select(*bucket, key, F.col(vector).alias("_v")), bucket, key, lambda v: np.stack([np.asarray(x, dtype=float) for x in v]), largest)
 
 
 def first_of_equal(actions: DataFrame, same: list[str], order: list[str]) -> DataFrame:

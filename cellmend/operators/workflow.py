@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellmend.operators.grouping import LARGEST_BUCKET, average_linkage_order, derangement, exact_windows, first_of_equal
+from cellmend.operators.grouping import bucket_orders, derangement, exact_windows, first_of_equal
 from cellmend.operators.prompts import query_id
 from cellmend.operators.statistics import derived_seed
 
@@ -22,23 +22,20 @@ REUSABLE = {
 }
 
 
-def sparse_leaf_orders(items: DataFrame, bucket: list[str], key: str, terms: DataFrame, largest: int = LARGEST_BUCKET) -> DataFrame:
+def sparse_leaf_orders(items: DataFrame, bucket: list[str], key: str, terms: DataFrame, largest: int | None = None) -> DataFrame:
     """(bucket..., part, ordered) by the cosine of sparse vectors (key, term, weight). Items without terms have no length."""
-    vectors = terms.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("v"))  # the terms of one value
-    n = items.groupBy(*bucket).agg(F.count("*").alias("_n"))
-    x = items.join(vectors, key, "left").join(n, bucket).withColumn("part", F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / largest))).drop("_n")
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in items.select(*bucket).schema), "part bigint", "ordered array<string>"])
+    vectors = terms.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", F.round("weight", 12).alias("weight")))).alias("_v"))  # the terms of one value
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        maps = [dict(v) if v is not None else {} for v in pdf.v]
+    def dense(column: pd.Series) -> np.ndarray:
+        maps = [{t["term"]: t["weight"] for t in v} if v is not None else {} for v in column]
         place = {t: i for i, t in enumerate(sorted({t for m in maps for t in m}))}
-        dense = np.zeros((len(maps), max(1, len(place))))
+        out = np.zeros((len(maps), max(1, len(place))))
         for i, m in enumerate(maps):
             for t, w in m.items():
-                dense[i, place[t]] = w
-        return pd.DataFrame([[*pdf[bucket].iloc[0], int(pdf.part.iloc[0]), average_linkage_order([str(k) for k in pdf[key]], dense)]], columns=[*bucket, "part", "ordered"])
+                out[i, place[t]] = w
+        return out
 
-    return x.groupBy(*bucket, "part").applyInPandas(run, schema)
+    return bucket_orders(items.join(vectors, key, "left").select(*bucket, key, "_v"), bucket, key, dense, largest)
 
 
 def group_actions(cells: DataFrame, orders: list[tuple[str, DataFrame]], sizes: list[int]) -> DataFrame:
