@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,24 @@ def difference_counters(a: DataFrame, b: DataFrame, keys: list[str], fields: lis
     return both.groupBy(*by).agg(one(x & y).alias("matched"), one(x & ~y).alias("only_first"), one(~x & y).alias("only_second"), *(one(x & y & ~F.col("x")[f].eqNullSafe(F.col("y")[f])).alias(f"{f}_changed") for f in fields))
 
 
+def group_counters(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str], right: str, by: list[str]) -> DataFrame:
+    """As difference_counters, but null keys are equal; with rows of each side, rows with any change, and rows that became right or wrong.
+
+    Keys are unique on each side. Both sides meet in one aggregation.
+    """
+    row = F.struct(*(F.col(f).cast("string").alias(f) for f in fields), F.coalesce(F.col(right), F.lit(False)).alias("_right"))
+    none = F.lit(None)
+    side = lambda df, first: df.select(*keys, (row if first else none).alias("x"), (none if first else row).alias("y"))
+    both = side(a, True).unionByName(side(b, False)).groupBy(*keys).agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    x, y = F.col("x").isNotNull(), F.col("y").isNotNull()
+    changed = {f: x & y & ~F.col("x")[f].eqNullSafe(F.col("y")[f]) for f in fields}
+    was, now = F.col("x._right"), F.col("y._right")
+    counts = {"first_rows": x, "second_rows": y, "matched": x & y, "only_first": x & ~y, "only_second": ~x & y, **{f"{f}_changed": c for f, c in changed.items()}}
+    counts |= {"newly_right": x & y & ~was & now, "lost_right": x & y & was & ~now, "any_changed": reduce(lambda p, q: p | q, changed.values())}
+    return both.groupBy(*by).agg(*(one(c).alias(n) for n, c in counts.items()))
+
+
 def unexplained_changes(changes: DataFrame, causes: DataFrame, covers: DataFrame, selected: DataFrame, slices: list[str]) -> DataFrame:
     """Changed cells that no changed query explains: one that covers the cell and was selected in the cell's slice.
 

@@ -365,6 +365,24 @@ def ledger_diff(spark, d):
     return audit.difference_counters(side("final_records"), side("final_records_replay"), ["m", "cell_id"], ["prediction", "parse_status"], ["m"])
 
 
+_WHOLE = ["suite", "dataset", *_KEYS]
+_FIELDS = ["prediction", "parse_status", "final_source", "correct_repair"]
+_GROUP = ["method_name", "scenario", "backend", "budget_share", "group_size_variant", "suite", "dataset"]
+# fixed values: texts that mean yes; the copies write verdicts and budgets in notations of their own
+_YES = ["1", "true", "yes", "y"]
+_OWN = f"(SELECT * REPLACE (round(budget_share, 9) AS budget_share, lower(CAST(correct_repair AS VARCHAR)) IN ({', '.join(map(repr, _YES))}) AS correct_repair) FROM"
+_SIDE = f"SELECT {', '.join(_WHOLE)}, arg_max({{{', '.join(f"'{f}': {f}" for f in _FIELDS)}}}, row_index) p FROM {_OWN}"
+_GROUPS = f"WITH a AS ({_SIDE} final_records) GROUP BY ALL), b AS ({_SIDE} final_records_replay) GROUP BY ALL), u AS (SELECT {', '.join(_WHOLE)}, any_value(x) x, any_value(y) y FROM (SELECT {', '.join(_WHOLE)}, p x, NULL y FROM a UNION ALL SELECT {', '.join(_WHOLE)}, NULL, p FROM b) GROUP BY ALL), m AS (SELECT *, x IS NOT NULL AND y IS NOT NULL both_, coalesce(x.correct_repair, false) was, coalesce(y.correct_repair, false) now_ FROM u)"
+
+
+@query(f"{_GROUPS} SELECT {', '.join(_GROUP)}, count(*) FILTER (x IS NOT NULL) first_rows, count(*) FILTER (y IS NOT NULL) second_rows, count(*) FILTER (both_) matched, count(*) FILTER (y IS NULL) only_first, count(*) FILTER (x IS NULL) only_second, " + ", ".join(f"count(*) FILTER (both_ AND x.{f} IS DISTINCT FROM y.{f}) {f}_changed" for f in _FIELDS) + ", count(*) FILTER (both_ AND NOT was AND now_) newly_right, count(*) FILTER (both_ AND was AND NOT now_) lost_right, count(*) FILTER (both_ AND x IS DISTINCT FROM y) any_changed FROM m GROUP BY ALL")
+def ledger_diff_groups(spark, d):
+    """Both whole ledgers on their full key, null keys being equal, counted per method, scenario, backend, budget, variant and data set."""
+    own = {"budget_share": F.round("budget_share", 9), "correct_repair": F.lower(F.col("correct_repair").cast("string")).isin(*_YES)}
+    side = lambda n: ledger.latest(table(spark, d, n).withColumns(own).select(*_WHOLE, "row_index", *_FIELDS), _WHOLE, ["row_index"])
+    return audit.group_counters(side("final_records"), side("final_records_replay"), _WHOLE, _FIELDS, "correct_repair", _GROUP)
+
+
 def _pair(spark, d):
     r = _records(spark, d)
     ok = F.coalesce("correct_repair", F.lit(False)) & F.coalesce("parse_status", F.lit("")).startswith("ok")
