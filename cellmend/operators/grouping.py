@@ -100,24 +100,32 @@ def derangement(n: int, seed: int) -> list[int]:
     return order
 
 
-def tfidf(texts: DataFrame, key: str, text: str, low: int = 2, high: int = 5) -> DataFrame:
-    """(key, term, weight): unit vectors of character n-grams, 1 + ln tf times ln((1 + N) / (1 + df)) + 1."""
+def term_weights(texts: DataFrame, key: str, text: str, low: int = 2, high: int = 5) -> DataFrame:
+    """(key, term, w) of character n-grams: 1 + ln tf times ln((1 + N) / (1 + df)) + 1."""
     grams = texts.select(key, F.explode(char_ngrams(F.col(text), low, high)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     n = texts.select(key).distinct().count()
     df = grams.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = grams.join(df, "term").select(key, "term", ((1 + F.log("tf")) * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
+    return grams.join(df, "term").select(key, "term", ((1 + F.log("tf")) * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)).alias("w"))
+
+
+def unit_vectors(weighted: DataFrame, key: str) -> DataFrame:
+    """(key, term, weight) of (key, term, w) at unit length."""
+    norm = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm")).where("norm > 0")
     return weighted.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def tfidf(texts: DataFrame, key: str, text: str, low: int = 2, high: int = 5) -> DataFrame:
+    """(key, term, weight): unit vectors of character n-grams."""
+    return unit_vectors(term_weights(texts, key, text, low, high), key)
+
+
 def merged_vectors(parts: list[tuple[str, DataFrame, float]], key: str) -> DataFrame:
     """Weighted union of vector tables, terms marked by their view, at unit length again."""
     out = None
     for name, df, share in parts:
         one = df.select(key, F.concat(F.lit(f"{name}:"), F.col("term")).alias("term"), (F.col("weight") * share).alias("w"))
         out = one if out is None else out.unionByName(one)
-    norm = out.groupBy(key).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm")).where("norm > 0")
-    return out.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    return unit_vectors(out, key)
 
 
 def cosine(a: Column, b: Column) -> Column:

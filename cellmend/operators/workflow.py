@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellmend.operators.grouping import bucket_orders, derangement, exact_windows, first_of_equal
+from cellmend.functions.scalars import format_signature, value_type
+from cellmend.operators.grouping import bucket_orders, derangement, exact_windows, first_of_equal, term_weights, unit_vectors
 from cellmend.operators.prompts import query_id
 from cellmend.operators.statistics import derived_seed
 
@@ -21,21 +22,46 @@ REUSABLE = {
     "preliminary_singleton": ["model_preflight"],
 }
 
+SIGNATURE = ["dirty_type", "dirty_format", "base_type", "base_format"]
+#: terms of sparse vectors that are laid out at once
+TERMS = 4096
+
+
+def dense_vectors(column: pd.Series) -> np.ndarray:
+    """A matrix with the products of sparse vectors. With more terms than vectors it holds their coordinates in the space that they span."""
+    place: dict[str, int] = {}
+    at, value, ends = [], [], [0]
+    for v in column:
+        for t in v if v is not None else ():
+            at.append(place.setdefault(t["term"], len(place)))
+            value.append(t["weight"])
+        ends.append(len(at))
+    n, at, value = len(ends) - 1, np.array(at, dtype=int), np.array(value, dtype=float)
+    row = np.repeat(np.arange(n), np.diff(ends))
+
+    def block(low: int, high: int) -> np.ndarray:
+        out, k = np.zeros((n, high - low)), (at >= low) & (at < high)
+        out[row[k], at[k] - low] = value[k]
+        return out
+
+    if len(place) <= max(n, TERMS):
+        return block(0, max(1, len(place)))
+    products = np.zeros((n, n))
+    for low in range(0, len(place), TERMS):
+        part = block(low, min(low + TERMS, len(place)))
+        products += part @ part.T
+    length, axes = np.linalg.eigh(products)
+    kept = length > 1e-13 * max(1.0, float(length[-1]))
+    out = axes[:, kept] * np.sqrt(length[kept])
+    out[np.diag(products) == 0] = 0
+    return out
+
 
 def sparse_leaf_orders(items: DataFrame, bucket: list[str], key: str, terms: DataFrame, largest: int | None = None) -> DataFrame:
     """(bucket..., part, ordered) by the cosine of sparse vectors (key, term, weight). Items without terms have no length."""
     vectors = terms.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", F.round("weight", 12).alias("weight")))).alias("_v"))  # the terms of one value
 
-    def dense(column: pd.Series) -> np.ndarray:
-        maps = [{t["term"]: t["weight"] for t in v} if v is not None else {} for v in column]
-        place = {t: i for i, t in enumerate(sorted({t for m in maps for t in m}))}
-        out = np.zeros((len(maps), max(1, len(place))))
-        for i, m in enumerate(maps):
-            for t, w in m.items():
-                out[i, place[t]] = w
-        return out
-
-    return bucket_orders(items.join(vectors, key, "left").select(*bucket, key, "_v"), bucket, key, dense, largest)
+    return bucket_orders(items.join(vectors, key, "left").select(*bucket, key, "_v"), bucket, key, dense_vectors, largest)
 
 
 def group_actions(cells: DataFrame, orders: list[tuple[str, DataFrame]], sizes: list[int]) -> DataFrame:
@@ -54,6 +80,27 @@ def group_actions(cells: DataFrame, orders: list[tuple[str, DataFrame]], sizes:
     return first_of_equal(x, ["query_id"], ["view"])
 
 
+def signatures(cells: DataFrame) -> DataFrame:
+    """cells (dirty_value, base_value, base_share, column_name) with the types and formats of both values."""
+    return cells.withColumns({f"{n}_{k}": f(F.col(f"{n}_value")) for n in ("dirty", "base") for k, f in (("type", value_type), ("format", format_signature))})
+
+
+def pattern_vectors(signed: DataFrame) -> DataFrame:
+    """(cell_id, term, weight): types and formats of the dirty and the base value and the signed log of the base value's support."""
+    terms = [F.struct(F.concat(F.lit(f"{c}="), c).alias("term"), F.lit(1.0).alias("w")) for c in SIGNATURE]
+    support = F.struct(F.lit("support=base").alias("term"), (F.signum("base_share") * F.log1p(F.abs("base_share"))).alias("w"))
+    return unit_vectors(signed.select("cell_id", F.inline(F.array(*terms, support))), "cell_id")
+
+
+def semantic_vectors(signed: DataFrame, masked: DataFrame, weight: float = 1.5) -> DataFrame:
+    """(cell_id, term, weight): n-grams of the masked rows of one data set, with the cell's signature as further terms."""
+    share = F.col("base_share")
+    bucket = F.when(share == 0, "zero").when(share < 0.25, "low").when(share < 0.75, "medium").otherwise("high")
+    tokens = [F.concat(F.lit("signature:column:"), "column_name"), *(F.concat(F.lit(f"signature:{c}:"), c) for c in SIGNATURE), F.concat(F.lit("signature:support:base:"), bucket)]
+    own = signed.select("cell_id", F.explode(F.array(*tokens)).alias("term"), F.lit(weight).alias("w"))
+    return unit_vectors(term_weights(masked, "cell_id", "masked").unionByName(own), "cell_id")
+
+
 def row_orders(cells: DataFrame) -> DataFrame:
     """Error cells of one row in column order, where there are two or more. A row has no more cells than columns."""
     x = cells.groupBy("dataset", "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "cell_id"))).alias("m"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellmend.functions import scalars as S
-from cellmend.operators import audit, cells, gate, grouping, ledger, prompts, workflow
+from cellmend.operators import audit, cells, gate, grouping, ledger, prompts, rules, workflow
 from cellmend.plans import overlays as O
 from cellmend.session import Stages
 from cellmend.sources.tables import table
@@ -54,21 +54,54 @@ def generation_audit(spark, d):
     return _actions(spark, d).groupBy("view", "size").agg(F.count("*").alias("queries"), F.sum("size").cast("long").alias("memberships"))
 
 
+def _view_actions(spark, d):
+    """(actions, found cells, masked rows): every cell of both tables alone and in windows of 2, 4 and 8 of every view.
+
+    Rows and the groups of the public rule (brand gives ptype; customer has no rule) are ordered by
+    pattern and semantic vectors together, columns by either.
+    """
+    stages = Stages(spark, "views")
+    cell, place = "cell_id", ["dataset", "column_name"]
+    n = O.sound(spark, d).groupBy("dataset", "col_idx", F.col("dirty_value").alias("base_value")).agg(F.count("*").alias("_n"))
+    total = n.groupBy("dataset", "col_idx").agg(F.sum("_n").alias("_all"))
+    base = O.base_values(spark, d).join(n, ["dataset", "col_idx", "base_value"]).join(total, ["dataset", "col_idx"])
+    base = base.select("dataset", "col_idx", "base_value", (F.col("_n") / F.col("_all")).alias("base_share"))
+    found = stages.keep(O.found(spark, d).join(F.broadcast(base), ["dataset", "col_idx"], "left").fillna({"base_value": "", "base_share": 0.0}))
+    signed = workflow.signatures(found)
+    tables = [("part", O.dirty_part(spark, d), O.PART), ("customer", O.dirty_customer(spark, d), O.CUSTOMER)]
+    rows, semantic = None, None
+    for name, dirty, columns in tables:
+        own = F.col("dataset") == name
+        masked = stages.keep(cells.masked_rows(dirty, found.where(own), "row_idx", columns))
+        vectors = workflow.semantic_vectors(signed.where(own), masked)
+        rows, semantic = (masked, vectors) if rows is None else (rows.unionByName(masked), semantic.unionByName(vectors))
+    pattern, semantic = stages.keep(workflow.pattern_vectors(signed)), stages.keep(semantic)
+    both = stages.keep(grouping.merged_vectors([("pattern", pattern, 0.65), ("semantic", semantic, 0.35)], cell))
+    shared = found.groupBy("dataset", "row_idx").agg(F.count("*").alias("_k")).where("_k > 1").select("dataset", "row_idx")
+    in_rows = found.select("dataset", "row_idx", cell).join(shared, ["dataset", "row_idx"])
+    broken = rules.violation_members(O.dirty_part(spark, d), found.where("dataset = 'part'"), "row_idx", ["brand"], "ptype", O.PART, "source", "part", "part_fd1")
+    in_rule = broken.select(F.lit("part").alias("dataset"), "component_id", cell)
+    views = [
+        ("row", in_rows, ["dataset", "row_idx"], both),
+        ("pattern", found.select(*place, cell), place, pattern),
+        ("public_fd", in_rule, ["dataset", "component_id"], both),
+        ("semantic", found.select(*place, cell), place, semantic),
+    ]
+    orders = [(view, stages.keep(workflow.sparse_leaf_orders(items, bucket, cell, vectors))) for view, items, bucket, vectors in views]
+    return workflow.group_actions(found, orders, [2, 4, 8]), found, rows
+
+
 @query()
 def pattern_view_actions(spark, d):
-    """Windows over the leaf order of masked rows' n-gram vectors by column; tested for coverage and against the leaf-order contract."""
-    found = O.found(spark, d).where("dataset = 'part'")
-    texts = found.select("cell_id", F.concat_ws(" ", "column_name", S.format_signature(F.col("dirty_value")), "dirty_value").alias("t"))
-    orders = workflow.sparse_leaf_orders(found.select("dataset", "column_name", "cell_id"), ["dataset", "column_name"], "cell_id", grouping.tfidf(texts, "cell_id", "t"))
-    return workflow.group_actions(found, [("pattern", orders)], [2, 4, 8]).select("query_id", "view", "dataset", "size")
+    """Windows over the leaf orders of all views of all error cells of both tables; tested for coverage and against the leaf-order contract."""
+    return _view_actions(spark, d)[0].select("query_id", "view", "dataset", "size")
 
 
 @query()
 def prompt_requests(spark, d):
-    """Prompts of all single cells of a table with their ids and costs; tested for stability and leaks."""
-    found = O.found(spark, d).where("dataset = 'part'")
-    actions = workflow.group_actions(found, [], [])
-    x = prompts.with_prompts(actions, found, cells.masked_rows(O.dirty_part(spark, d), found, "row_idx", O.PART))
+    """Prompts of all single cells and groups of both tables with their ids and costs; tested for stability and leaks."""
+    actions, found, rows = _view_actions(spark, d)
+    x = prompts.with_prompts(actions, found, rows)
     hashed = prompts.request_hash(F.lit("gen-small"), F.col("prompt_hash"), F.col("completion_ceiling"))
     return x.select("query_id", "prompt_hash", hashed.alias("request_hash"), "prompt_tokens", "completion_ceiling", prompts.leaks(F.col("payload")).alias("leaks"))
 
