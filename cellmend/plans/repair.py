@@ -399,6 +399,22 @@ def paired_transitions(spark, d):
     return metrics.quadrants(_pair(spark, d), F.col("base_ok"), F.col("method_ok"), [["suite", "dataset"]])
 
 
+_SERIES = ["method_name", "scenario", "backend", "budget_share", "group_size_variant"]
+_OK = "coalesce(correct_repair,false) AND coalesce(parse_status,'') LIKE 'ok%'"
+
+
+@query(_with(f"fr AS ({_FR}), a AS (SELECT suite, dataset, cell_id, bool_or({_OK}) x FROM fr WHERE method_name='base_repair' GROUP BY ALL), b AS (SELECT {', '.join(_SERIES)}, suite, dataset, cell_id, bool_or({_OK}) y FROM fr WHERE method_name<>'base_repair' GROUP BY ALL)", f"SELECT {', '.join(_SERIES)}, suite, dataset, count(*) FILTER (x AND y) n11, count(*) FILTER (x AND NOT y) n10, count(*) FILTER (NOT x AND y) n01, count(*) FILTER (NOT x AND NOT y) n00 FROM a JOIN b USING (suite, dataset, cell_id) GROUP BY ALL"))
+def paired_transitions_series(spark, d):
+    """Every method, back end, budget and variant by itself against the base."""
+    cell = ["suite", "dataset", "cell_id"]
+    ok = F.coalesce("correct_repair", F.lit(False)) & F.coalesce("parse_status", F.lit("")).startswith("ok")
+    r, base = _records(spark, d), F.col("method_name") == "base_repair"
+    a = r.where(base).groupBy(*cell).agg(F.max(ok).alias("base_ok"))
+    b = r.where(~base).groupBy(*_SERIES, *cell).agg(F.max(ok).alias("method_ok"))
+    n = lambda x, y: F.sum(F.when((F.col("base_ok") == x) & (F.col("method_ok") == y), 1).otherwise(0)).alias(f"n{int(x)}{int(y)}")
+    return a.join(b, cell).groupBy(*_SERIES, "suite", "dataset").agg(n(True, True), n(True, False), n(False, True), n(False, False))
+
+
 @query(_with(_SUMMARY, ", b AS (SELECT suite, dataset, f bf FROM summary WHERE method_name='base_repair' AND scope='dataset') SELECT method_name, backend, budget_share, CAST(sum(CAST(f-bf>1e-12 AS INT)) AS BIGINT) wins, CAST(sum(CAST(abs(f-bf)<=1e-12 AS INT)) AS BIGINT) ties, CAST(sum(CAST(f-bf< -1e-12 AS INT)) AS BIGINT) losses FROM summary JOIN b USING (suite, dataset) WHERE scope='dataset' AND method_name<>'base_repair' GROUP BY ALL"))
 def win_tie_loss(spark, d):
     x = metrics.deltas(_summary(spark, d).where("scope = 'dataset'"), "base_repair", ["f1"])

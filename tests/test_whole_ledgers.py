@@ -55,3 +55,19 @@ def test_ledger_diff_groups(spark, tmp_path):
 def test_ledger_diff_groups_on_tables(spark):
     _, got, want = _both(spark, "ledger_diff_groups", DATA)
     assert got == want and len(got) > 5
+
+
+def test_paired_transitions_series(spark, tmp_path):
+    _toy(spark, tmp_path)
+    df, got, want = _both(spark, "paired_transitions_series", tmp_path)
+    assert got == want
+    r = df.collect()
+    # both back ends at 0.2 come apart, the other budget and llm_only are there
+    assert {(x.method_name, x.backend, x.budget_share) for x in r} == {s[:3] for s in SERIES[1:]}
+    assert all(sum(x.n11 + x.n10 + x.n01 + x.n00 for x in r if (x.backend, x.budget_share) == s[1:3]) == 12 for s in SERIES[1:])
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
+def test_paired_transitions_series_on_tables(spark):
+    _, got, want = _both(spark, "paired_transitions_series", DATA)
+    assert got == want and len(got) > 5
