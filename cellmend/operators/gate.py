@@ -18,7 +18,8 @@ from cellmend.session import Stages
 
 # fixed values: presets named after common boosters
 PRESETS = {"boost_a": dict(maxIter=20, maxDepth=5, maxBins=64), "boost_b": dict(maxIter=20, maxDepth=6, maxBins=64), "tree_b": dict(maxIter=10, maxDepth=4)}
-FORBIDDEN = {*ORACLE_FIELDS, "base_correct"}
+# fixed values: columns that tell the right value or the label
+FORBIDDEN = {"annotation", "baran_correct", "clean_value", "correct_repair", "error_type", "harmful", "helpful", "llm_correct", "llm_correct_in_query", "missing_value", "right_value", "tuple_pairs"} | {*ORACLE_FIELDS, "base_correct"}
 
 
 def uplift_targets(df: DataFrame, base: str, llm: str, executable: str) -> DataFrame:
@@ -51,8 +52,9 @@ class UpliftGate:
     """
 
     def __init__(self, numeric: list[str], categorical: list[str], family: str, preset: str = "boost_a", linear: bool = False, seed: int = 45):
-        if FORBIDDEN & {*numeric, *categorical}:
-            raise ValueError("a feature tells the right value")
+        told = sorted(c for c in (*numeric, *categorical) if str(c).strip().lower() in FORBIDDEN)
+        if told:
+            raise ValueError(f"features that tell the right value: {told}")
         self.numeric, self.categorical, self.family, self.preset, self.linear, self.seed = numeric, categorical, family, preset, linear, seed
 
     def _features(self, train: DataFrame):

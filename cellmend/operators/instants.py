@@ -7,17 +7,18 @@ hours. What is no existing date and time gives null. All of it is JVM expression
 with the table of sources.
 
 Zone policy, in this order: an offset, Z, UTC or GMT in the value; an abbreviation as it is used in the
-zone of the row's source; a bracketed zone name; the zone of the source. A local time shown twice is
+zone of the row's source at the value's date; a bracketed zone name; the zone of the source. A local time shown twice is
 the earlier instant, one never shown gives null.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
 from zoneinfo import ZoneInfo, available_timezones
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: English month and weekday names
@@ -46,29 +47,66 @@ PARTS = ["kind", "weekday", "a", "b", "c", "hour", "minute", "second", "fraction
 
 
 @lru_cache(None)
-def zone_names() -> tuple[str, ...]:
-    """Region names of the public time zone database; about 600."""
-    return tuple(sorted(z for z in available_timezones() if "/" in z and not z.startswith(("posix/", "right/"))))
+def zone_names(jvm: frozenset[str] | None = None) -> tuple[str, ...]:
+    """Names of the public time zone database, about 600: of those, the ones that `jvm` holds too."""
+    names = available_timezones()
+    return tuple(sorted(names if jvm is None else names & jvm))
+
+
+def known_zones(spark: SparkSession) -> tuple[str, ...]:
+    """Names that both the database and the session's virtual machine know."""
+    jvm = spark.sparkContext._jvm
+    names = jvm.java.lang.String.join(",", jvm.java.time.ZoneId.getAvailableZoneIds()).split(",")
+    short = jvm.java.lang.String.join(",", jvm.java.time.ZoneId.SHORT_IDS.keySet()).split(",")
+    return zone_names(frozenset([*names, *short]))
+
+
+STEP = timedelta(days=7)
 
 
 @lru_cache(None)
-def abbreviations(zone: str, since: int = 2000, until: int = 2038) -> dict[str, int]:
-    """The offsets in seconds that a zone's abbreviations stand for, the latest use counting."""
-    out, info, at = {}, ZoneInfo(zone), datetime(since, 1, 1, tzinfo=timezone.utc)
-    while at.year < until:
-        local = at.astimezone(info)
-        if local.tzname().isalpha():
-            out[local.tzname().upper()] = int(local.utcoffset().total_seconds())
-        at += timedelta(days=7)
+def abbreviations(zone: str, since: int = 1970, until: int = 2038) -> dict[str, list[tuple[int, int]]]:
+    """What a zone's abbreviations stand for: (first second on the local clock, offset in seconds), in order of time.
+
+    A meaning holds until the next one begins, and the first one holds for all time before it.
+    """
+    info = ZoneInfo(zone)
+
+    def at(second: int) -> tuple[str, int]:
+        local = datetime.fromtimestamp(second, timezone.utc).astimezone(info)
+        return local.tzname().upper(), int(local.utcoffset().total_seconds())
+
+    out: dict[str, list[tuple[int, int]]] = {}
+    low = int(datetime(since, 1, 1, tzinfo=timezone.utc).timestamp())
+    end, step, now, begun = int(datetime(until, 1, 1, tzinfo=timezone.utc).timestamp()), int(STEP.total_seconds()), None, low
+    while low < end:
+        if at(low) != now:
+            # the first second of the new state lies within the last step
+            past, begun = (low - step, low) if now else (low - 1, low)
+            while begun - past > 1:
+                mid = (begun + past) // 2
+                past, begun = (mid, begun) if at(mid) == now else (past, mid)
+            now = at(begun)
+            name, offset = now
+            uses = out.setdefault(name, []) if name.isalpha() else []
+            if not uses or uses[-1][1] != offset:
+                uses.append((begun + offset, offset))
+        low += step
     return out
 
 
-def _known(column: str) -> Column:
-    """Whether a column holds a region name of the database; one parsed text instead of a call per name."""
-    return F.expr(f"{column} in ({', '.join(repr(z) for z in zone_names())})")
+def meaning(zone: str, name: str, local: int) -> int | None:
+    """The offset that an abbreviation stands for at a second of the local clock of a zone, None where it is none of that zone."""
+    uses = abbreviations(zone).get(name.upper())
+    return uses[max(0, bisect_right(uses, local, key=lambda u: u[0]) - 1)][1] if uses else None
 
 
-def source_zones(sources: DataFrame) -> tuple[DataFrame, dict[str, dict[str, int]]]:
+def _known(column: str, zones: tuple[str, ...]) -> Column:
+    """Whether a column holds one of the names; one parsed text instead of a call per name."""
+    return F.expr(f"{column} in ({', '.join(repr(z) for z in zones)})")
+
+
+def source_zones(sources: DataFrame, zones: tuple[str, ...]) -> tuple[DataFrame, dict[str, dict[str, list[tuple[int, int]]]]]:
     """One row (src_key, tz, date_order) per source, and the abbreviations of the zones that occur.
 
     Names are compared without letter case and outer blanks. A zone the database doesn't know counts as
@@ -76,7 +114,8 @@ def source_zones(sources: DataFrame) -> tuple[DataFrame, dict[str, dict[str, int
     the database reach the driver, so their number is bounded by it.
     """
     name = F.lower(F.regexp_replace("src", _OUTER, ""))
-    known = _known("tz_name")
+    sources = sources.withColumn("tz_name", F.regexp_replace("tz_name", _OUTER, ""))
+    known = _known("tz_name", zones)
     table = sources.where(F.col("src").isNotNull()).groupBy(name.alias("src_key")).agg(F.min(F.when(known, F.col("tz_name"))).alias("tz"), F.min(F.lower(F.trim("date_order"))).alias("date_order"))
     used = [r[0] for r in sources.where(known).select("tz_name").distinct().collect()]
     return table, {z: abbreviations(z) for z in used}
@@ -103,6 +142,20 @@ def _settled(df: DataFrame, keep: list, new: dict[str, Column]) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*(e.alias(k) for k, e in new.items())))))
 
 
+def _named_offset(uses: dict[str, dict[str, list[tuple[int, int]]]]) -> Column:
+    """The offset of zone|abbreviation in `_named` at `_local`; the names with more than one meaning are looked up by the time."""
+    single = {f"{z}|{n}": u[0][1] for z, names in uses.items() for n, u in names.items() if len(u) == 1}
+    several = {f"{z}|{n}": u for z, names in uses.items() for n, u in names.items() if len(u) > 1}
+    key = F.col("_named")
+    out = F.try_element_at(F.expr(f"map({', '.join(f"'{k}', {v}" for k, v in single.items())})"), key) if single else F.lit(None).cast("int")
+    if several:
+        listed = ", ".join(f"'{k}', array({', '.join(f'named_struct("a", {a}L, "o", {o})' for a, o in u)})" for k, u in several.items())
+        of = F.try_element_at(F.expr(f"map({listed})"), key)
+        begun = F.filter(of, lambda u: u["a"] * 1_000_000 <= F.col("_local"))
+        out = F.coalesce(out, F.when(F.size(begun) > 0, F.element_at(begun, -1)["o"]).otherwise(F.try_element_at(of, F.lit(1))["o"]))
+    return out
+
+
 def to_instants(rows: DataFrame, columns: list[str], sources: DataFrame, keep: list[str], source: str = "src", flight_date: str = "flight_date") -> DataFrame:
     """One row (keep..., field_name, utc_us) per value of `columns` that denotes an instant.
 
@@ -110,17 +163,19 @@ def to_instants(rows: DataFrame, columns: list[str], sources: DataFrame, keep: l
     unknown source, give no row. Repeated rows give repeated results. `sources` must have src, tz_name
     and date_order; it may be empty. Values of any length are matched whole.
     """
-    table, offsets = source_zones(sources)
+    zones = known_zones(rows.sparkSession)
+    table, uses = source_zones(sources, zones)
     own = rows.select(
         F.struct(*keep).alias("_keep"), F.lower(F.regexp_replace(source, _OUTER, "")).alias("src_key"), F.col(flight_date).cast("string").alias("_date"),
         F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.regexp_replace(F.col(c).cast("string"), _OUTER, "").alias("value")) for c in columns))).alias("_f"),
     )
     parsed = own.where("_f.value is not null").join(table, "src_key", "left")
-    value = F.col("_f.value")
-    canonical = F.lit(None).cast("string")
-    for pattern, parts in reversed(CASCADE):
-        canonical = F.when(value.rlike(pattern), F.regexp_replace(value, pattern, parts)).otherwise(canonical)
-    parsed = parsed.withColumn("_p", F.split(canonical, r"\|"))
+    # a value that has been rewritten holds bars, which no pattern takes, so each value is matched once per pattern at most
+    canonical = F.when(~F.contains(F.col("_f.value"), F.lit("|")), F.col("_f.value"))
+    for pattern, parts in CASCADE:
+        canonical = F.regexp_replace(canonical, pattern, parts)
+    parsed = _settled(parsed, ["_keep", "tz", "date_order", "_date", "_f"], {"_c": canonical})
+    parsed = parsed.withColumn("_p", F.split(F.when(F.contains("_c", F.lit("|")), F.col("_c")), r"\|"))
     parsed = _settled(parsed, ["_keep", "tz", "date_order", "_date", F.col("_f.name").alias("field_name")], {f"_{k}": F.col("_p")[i] for i, k in enumerate(PARTS)})
     kind, a, b, c, half, weekday = (F.col(f"_{k}") for k in ("kind", "a", "b", "c", "half", "weekday"))
     stated = F.regexp_extract(F.col("_date"), r"^\s*(\d{4}-\d{1,2}-\d{1,2})(?:[T ].*)?$", 1)
@@ -160,9 +215,7 @@ def to_instants(rows: DataFrame, columns: list[str], sources: DataFrame, keep: l
     right_day = (weekday == "") | (F.pmod(days + 3, F.lit(7)) + 1 == _index(WEEKDAYS, F.substring(weekday, 1, 3)))
     clock = F.when((minute <= 59) & (second <= 59), ((F.col("_hour") * 60 + minute) * 60 + second).cast("long") * 1_000_000 + F.col("_micros"))
     numeric = F.when((off_m <= 59) & (off_h * 60 + off_m <= 18 * 60), (off_h * 60 + off_m) * 60 * F.when(F.substring(signed, 1, 1) == "-", -1).otherwise(1))
-    entries = ", ".join(f"'{z}|{n}', {s}" for z, names in offsets.items() for n, s in names.items())
-    by_name = F.try_element_at(F.expr(f"map({entries})"), F.when(F.col("tz").isNotNull(), F.concat_ws("|", "tz", "_zone"))) if entries else F.lit(None).cast("int")
-    region = F.when(F.col("_region") == "", F.col("tz")).when(_known("_region"), F.col("_region"))
+    region = F.when(F.col("_region") == "", F.col("tz")).when(F.upper("_region").isin("Z", "UTC", "GMT"), F.lit("UTC")).when(_known("_region", zones), F.col("_region"))
     # of an epoch number the digits beyond the point count as far as they reach a microsecond
     number = F.when(kind == "epoch", a)
     epoch = (
@@ -171,10 +224,12 @@ def to_instants(rows: DataFrame, columns: list[str], sources: DataFrame, keep: l
         .when(F.length(number) == 16, number.cast("long"))
         .when(F.length(number) == 19, F.substring(number, 1, 16).cast("long"))
     )
+    named = F.when((zone != "") & ~zone.isin("Z", "UTC", "GMT") & (signed == "") & F.col("tz").isNotNull(), F.concat_ws("|", "tz", "_zone"))
     parsed = parsed.select(
         "_keep", "field_name", "_kind", "_zone", epoch.alias("_epoch"), F.when(right_day, days.cast("long") * 86_400_000_000 + clock).alias("_local"),
-        F.when(zone.isin("Z", "UTC", "GMT"), 0).when(signed != "", numeric).when(zone != "", by_name).alias("_offset"), F.when(zone == "", region).alias("_region"),
+        F.when(zone.isin("Z", "UTC", "GMT"), 0).when(signed != "", numeric).alias("_offset"), named.alias("_named"), F.when(zone == "", region).alias("_region"),
     )
+    parsed = parsed.withColumn("_offset", F.coalesce("_offset", _named_offset(uses)))
     parsed = parsed.withColumn("_utc", F.to_utc_timestamp(F.timestamp_micros("_local"), F.col("_region")))
     shown = F.when(F.from_utc_timestamp("_utc", F.col("_region")) == F.timestamp_micros("_local"), F.unix_micros("_utc"))
     instant = F.when(F.col("_kind") == "epoch", F.col("_epoch")).when(F.col("_zone") != "", F.col("_local") - F.col("_offset").cast("long") * 1_000_000).otherwise(shown)

@@ -19,20 +19,26 @@ def fallback_value(status: Column, prediction: Column, dirty: Column) -> Column:
     return F.when(F.coalesce(status, F.lit("")).startswith("ok"), F.coalesce(prediction, F.lit(""))).otherwise(dirty)
 
 
-def decide(c: DataFrame, minimum_gain: float = MINIMUM_GAIN, minimum_confidence: float = MINIMUM_CONFIDENCE, acceptance: float = ACCEPTANCE, comparative: bool = False) -> DataFrame:
+def decide(c: DataFrame, minimum_gain: float = MINIMUM_GAIN, minimum_confidence: float = MINIMUM_CONFIDENCE, acceptance: float = ACCEPTANCE, comparative: bool = True) -> DataFrame:
     """Adds reason, score, accepted and final_prediction.
 
     Needs: parse_status, decision, candidate (normalised, null where there is none), dirty_value,
     fallback, confidence, uplift, dominant_type, dominant_format, candidate_support, fallback_support,
     fd_before, fd_after. The tests come in a fixed order and the first that fails gives the reason.
+    comparative: a candidate must be better than the fallback in support, conflicts, type or format. Null
+    and NaN confidences and uplifts count as 0; null supports and conflicts count as 0.
     """
     soft_type = F.col("dominant_type").isin("text", "empty")
     type_ok = lambda v: (value_type(v) == F.col("dominant_type")) | soft_type
     form_ok = lambda v: (format_signature(v) == F.col("dominant_format")) | (F.col("dominant_type") == "text")
     cand, base = F.col("candidate"), F.col("fallback")
     c = c.withColumns({"type_ok": type_ok(cand), "base_type_ok": type_ok(base), "format_ok": form_ok(cand), "base_format_ok": form_ok(base)})
-    support, fd = F.coalesce("candidate_support", F.lit(0)) > F.coalesce("fallback_support", F.lit(0)), F.col("fd_after") < F.col("fd_before")
-    conf = _clamp(F.coalesce("confidence", F.lit(0.0)))
+    number = lambda name: F.coalesce(F.nanvl(F.col(name).cast("double"), F.lit(0.0)), F.lit(0.0))
+    zero = lambda name: F.coalesce(name, F.lit(0))
+    c = c.withColumns({"uplift": number("uplift"), "fd_before": zero("fd_before"), "fd_after": zero("fd_after")})
+    support, fd = zero("candidate_support") > zero("fallback_support"), F.col("fd_after") < F.col("fd_before")
+    conf = _clamp(number("confidence"))
+    # summed in this order, so that a score at the threshold is decided by the same double everywhere
     score = 0.40 * conf + 0.25 * _clamp(F.col("uplift") / 0.5) + 0.10 * F.col("type_ok").cast("int") + 0.05 * F.col("format_ok").cast("int") + 0.10 * support.cast("int") + 0.10 * fd.cast("int")
     signal = support | fd | (F.col("type_ok") & ~F.col("base_type_ok")) | (F.col("format_ok") & ~F.col("base_format_ok"))
     reason = (
@@ -50,7 +56,7 @@ def decide(c: DataFrame, minimum_gain: float = MINIMUM_GAIN, minimum_confidence:
     )
     if comparative:
         reason = reason.when(~signal, "no_comparative_signal")
-    reason = reason.when(F.round(score, 12) < acceptance, "verification_score_below_threshold").otherwise("accepted")
+    reason = reason.when(score < acceptance, "verification_score_below_threshold").otherwise("accepted")
     reached = F.col("reason").isin("accepted", "verification_score_below_threshold")
     c = c.withColumn("reason", reason).withColumn("score", F.when(reached, F.round(score, 9)).otherwise(0.0)).withColumn("accepted", F.col("reason") == "accepted")
     return c.withColumn("final_prediction", F.when(F.col("accepted"), cand).otherwise(base)).drop("type_ok", "base_type_ok", "format_ok", "base_format_ok")

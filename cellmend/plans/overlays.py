@@ -145,8 +145,9 @@ candidates AS (SELECT r.*, f.fallback, dominant_type, dominant_format, coalesce(
   LEFT JOIN counts fs ON fs.dataset=r.dataset AND fs.column_name=r.column_name AND fs.v=f.fallback LEFT JOIN fd ON fd.cell_id=r.cell_id AND fd.s=r.s),
 flagged AS (SELECT *, {value_type_sql('candidate')} = dominant_type OR dominant_type IN ('text','empty') type_ok, {value_type_sql('fallback')} = dominant_type OR dominant_type IN ('text','empty') base_type_ok,
   {collapsed_sql('cm', 'candidate')} = dominant_format OR dominant_type='text' format_ok, {collapsed_sql('fm', 'fallback')} = dominant_format OR dominant_type='text' base_format_ok FROM candidates),
-scored AS (SELECT *, 0.40*least(1,greatest(0,confidence)) + 0.25*least(1,greatest(0,uplift/0.5)) + 0.10*CAST(type_ok AS INT) + 0.05*CAST(format_ok AS INT) + 0.10*CAST(candidate_support>fallback_support AS INT) + 0.10*CAST(fd_after<fd_before AS INT) sc FROM flagged),
+scored AS (SELECT *, 0.40::DOUBLE*least(1,greatest(0,confidence)) + 0.25::DOUBLE*least(1,greatest(0,uplift/0.5::DOUBLE)) + 0.10::DOUBLE*CAST(type_ok AS INT) + 0.05::DOUBLE*CAST(format_ok AS INT) + 0.10::DOUBLE*CAST(candidate_support>fallback_support AS INT) + 0.10::DOUBLE*CAST(fd_after<fd_before AS INT) sc,
+  candidate_support>fallback_support OR fd_after<fd_before OR (type_ok AND NOT base_type_ok) OR (format_ok AND NOT base_format_ok) signal FROM flagged),
 decided AS (SELECT *, CASE WHEN parse_status NOT IN ('ok','partial','ok_item') THEN 'invalid_llm_output' WHEN decision IS NULL OR decision <> 'propose' THEN 'fallback_decision' WHEN candidate IS NULL THEN 'missing_repair' WHEN candidate='' THEN 'empty_repair'
   WHEN candidate=dirty_value THEN 'unchanged_dirty_value' WHEN candidate=fallback THEN 'equivalent_to_base' WHEN uplift<=0 THEN 'non_positive_predicted_gain' WHEN confidence<0.55 THEN 'low_llm_confidence' WHEN fd_after>fd_before THEN 'public_fd_worse'
-  WHEN NOT type_ok AND base_type_ok AND NOT fd_after<fd_before THEN 'type_worse_than_base' WHEN NOT format_ok AND base_format_ok AND NOT fd_after<fd_before THEN 'format_worse_than_base' WHEN round(sc,12)<0.55 THEN 'verification_score_below_threshold' ELSE 'accepted' END reason FROM scored)
+  WHEN NOT type_ok AND base_type_ok AND NOT fd_after<fd_before THEN 'type_worse_than_base' WHEN NOT format_ok AND base_format_ok AND NOT fd_after<fd_before THEN 'format_worse_than_base' WHEN NOT signal THEN 'no_comparative_signal' WHEN sc<0.55::DOUBLE THEN 'verification_score_below_threshold' ELSE 'accepted' END reason FROM scored)
 """

@@ -111,11 +111,19 @@ def test_verifier(spark):
         ({}, "accepted"), (dict(candidate=""), "empty_repair"), (dict(candidate="Paris"), "unchanged_dirty_value"), (dict(candidate="Lyon"), "equivalent_to_base"), (dict(confidence=0.54), "low_llm_confidence"),
         (dict(uplift=0.0), "non_positive_predicted_gain"), (dict(fd_after=4), "public_fd_worse"), (dict(parse_status="failed"), "invalid_llm_output"), (dict(decision="abstain"), "fallback_decision"), (dict(decision=None), "fallback_decision"),
         (dict(candidate=None), "missing_repair"), (dict(dominant_type="number", dominant_format="9", fallback="12", candidate="Rome", fd_before=0, fd_after=0), "type_worse_than_base"),
-        (dict(dominant_type="number", dominant_format="9.9", fallback="1.2", candidate="12", fd_before=0, fd_after=0), "format_worse_than_base"), (dict(confidence=0.6, uplift=0.01, candidate_support=0, fd_before=0, fd_after=0), "verification_score_below_threshold"),
+        (dict(dominant_type="number", dominant_format="9.9", fallback="1.2", candidate="12", fd_before=0, fd_after=0), "format_worse_than_base"), (dict(confidence=0.6, uplift=0.01, fd_before=0, fd_after=0), "verification_score_below_threshold"),
+        (dict(candidate_support=0, fd_before=0, fd_after=0), "no_comparative_signal"), (dict(candidate_support=None, fallback_support=None, fd_before=None, fd_after=None), "no_comparative_signal"),
+        (dict(uplift=None), "non_positive_predicted_gain"), (dict(uplift=float("nan")), "non_positive_predicted_gain"), (dict(confidence=None), "low_llm_confidence"),
+        (dict(candidate_support=0, fd_before=0, fd_after=0, dominant_type="number", dominant_format="9", candidate="12", fallback="Lyon"), "accepted"),
+        (dict(candidate_support=0, fd_before=0, fd_after=0, dominant_type="number", dominant_format="9", candidate="12", fallback="1.2"), "accepted"),
     ]
     df = spark.createDataFrame([Row(i=i, **(BASE | c)) for i, (c, _) in enumerate(cases)], "i int, parse_status string, decision string, candidate string, dirty_value string, fallback string, confidence double, uplift double, dominant_type string, dominant_format string, candidate_support long, fallback_support long, fd_before long, fd_after long")
     got = verify.decide(df).orderBy("i").collect()
     assert [g.reason for g in got] == [r for _, r in cases]
+    # without the demand for a comparison the same candidates are judged by their score
+    assert [g.reason for g in verify.decide(df, comparative=False).orderBy("i").collect() if cases[g.i][1] == "no_comparative_signal"] == ["accepted"] * 2
+    # a score of exactly the threshold is enough: 0.4 * 0.75 + 0.25 * 0 + 0.1 + 0.05 + 0.1
+    assert {r.reason for r in verify.decide(df.limit(1).withColumns({"confidence": F.lit(0.75), "uplift": F.lit(1e-300), "fd_after": F.lit(3)}), acceptance=0.4 * 0.75 + 0.25 * 0.0 + 0.10 + 0.05 + 0.10).collect()} == {"accepted"}
     assert got[0].score == 0.96 and got[0].final_prediction == "Rome" and {g.final_prediction for g in got[1:3]} == {"Lyon"}
 
 
@@ -312,6 +320,9 @@ def test_gate(spark):
     assert all(r.conservative_uplift >= 0 and r.sigma >= 0 for r in out.values()) and out[9].net_gain > 0.7 > 0.3 > out[0].net_gain
     with pytest.raises(ValueError):
         gate.UpliftGate(["clean_value"], [], "fam")
+    for name in ("annotation", "baran_correct", "correct_repair", "error_type", "harmful", "helpful", "llm_correct", "llm_correct_in_query", "missing_value", "right_value", "tuple_pairs", "base_correct", " Helpful "):
+        with pytest.raises(ValueError, match="right value"):
+            gate.UpliftGate(["x"], [name], "fam")
     t = gate.uplift_targets(spark.createDataFrame([(1, 0, True), (0, 1, True), (0, 1, False), (None, 1, True)], "b int, l int, x boolean"), "b", "l", "x")
     assert [(r.helpful, r.harmful) for r in t.collect()] == [(0, 1), (1, 0), (0, 0), (1, 0)]
 

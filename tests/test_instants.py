@@ -2,10 +2,11 @@
 
 import itertools
 import random
+from datetime import datetime, timezone
 
 from brute_instants import instant
 
-from cellmend.operators.instants import to_instants
+from cellmend.operators.instants import meaning, to_instants
 
 SOURCES = [("ny", "America/New_York", "mdy"), ("Berlin ", "Europe/Berlin", "dmy"), ("lh", "Australia/Lord_Howe", "ymd"), ("none", None, "dmy"), ("bad", "Mars/Phobos", "dmy"), ("kolkata", "Asia/Kolkata", "dmy"), ("cn", "Asia/Shanghai", "ymd")]
 ZONES = ["", "Z", "z", "+05:45", "-0330", "+02", " UTC", " GMT", " UTC+5:30", " GMT-4", " EST", " (EDT)", " CET", " CST", " IST", "[Europe/Athens]", "+03:00[Europe/Athens]", " XYZ", "+25:00", "+05:99"]
@@ -30,3 +31,25 @@ def test_against_plain_reading(spark):
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "row_id long, src string, flight_date string, t string")
     assert to_instants(df, ["t"], spark.createDataFrame([], "src string, tz_name string, date_order string"), ["row_id"]).collect() == []
+
+
+def test_zone_names_without_slash_and_dated_abbreviations(spark):
+    sources = [("u", "UTC", "ymd"), ("j", "Japan", "ymd"), ("e", " EST ", "ymd"), ("m", "Europe/Moscow", "ymd"), ("x", "Nowhere", "ymd"), ("p", "Asia/Pyongyang", "ymd")]
+    cases = {
+        ("u", "2024-05-06 10:00"): "2024-05-06 10:00", ("j", "2024-05-06 10:00"): "2024-05-06 01:00", ("e", "2024-05-06 10:00"): "2024-05-06 15:00", ("x", "2024-05-06 10:00"): None,
+        ("x", "2024-05-06T10:00[UTC]"): "2024-05-06 10:00", ("x", "2024-05-06T10:00[Z]"): "2024-05-06 10:00", ("x", "2024-05-06T10:00[Japan]"): "2024-05-06 01:00", ("x", "2024-05-06T10:00[Nowhere]"): None,
+        ("m", "2010-01-15 12:00 MSK"): "2010-01-15 09:00", ("m", "2012-06-01 12:00 MSK"): "2012-06-01 08:00", ("m", "2020-06-01 12:00 MSK"): "2020-06-01 09:00", ("m", "2008-07-01 12:00 MSD"): "2008-07-01 08:00",
+        ("p", "2017-01-01 12:00 KST"): "2017-01-01 03:30", ("p", "2020-01-01 12:00 KST"): "2020-01-01 03:00", ("u", "2024-05-06 10:00 MSK"): None, ("u", "a|b 2024-05-06 10:00"): None,
+    }
+    rows = [(i, s, v) for i, (s, v) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "row_id long, src string, t string").selectExpr("*", "null as flight_date")
+    got = {r[0]: r[2] for r in to_instants(df, ["t"], spark.createDataFrame(sources, "src string, tz_name string, date_order string"), ["row_id"]).collect()}
+    epoch = datetime(1970, 1, 1)
+    expected = {i: int((datetime.fromisoformat(u) - epoch).total_seconds()) * 10**6 for i, u in enumerate(cases.values()) if u}
+    assert got == expected
+
+
+def test_meanings_change_at_the_very_second():
+    change = datetime(2014, 10, 26, 2, tzinfo=timezone.utc).timestamp()  # the local clock of Moscow on which it went back by an hour
+    assert [meaning("Europe/Moscow", "msk", int(change) + s) for s in (-3 * 3600, 3 * 3600)] == [4 * 3600, 3 * 3600]
+    assert meaning("Europe/Moscow", "EST", 0) is None
