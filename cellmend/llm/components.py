@@ -2,23 +2,40 @@
 
 Every vertex v holds a cluster: itself and its neighbours. In a round it sends the cluster to the
 cluster's smallest member and that member to all others; the clusters of the next round are unions of
-what arrives. Once nothing changes, the smallest vertex of each component holds all of it and every
-other vertex holds just the smallest. A cluster is kept as rows (vertex, member), never as one value,
-so the smallest vertex of a component of a third of all records is a third of the rows, not one row.
+what arrives. What v and m tell each other is one link between them, so the clusters of all vertices are
+kept as links (a, b) with a < b, each once and none from a vertex to itself.
+
+Only what may still change is sent again. A vertex that is linked to one smaller vertex alone holds the
+smallest that it can learn by itself: it is settled, its link is put aside, and it takes the group of that
+vertex in the end. The vertex it is put aside to is never settled in the same round, so the links put
+aside are resolved from the last round to the first, each round's once. All is done once no link is left.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmend.session import Stages
+from cellmend.session import BROADCAST_ROWS, Stages, broadcast_if_small
 
-#: vertices with more than this share of all rows, a thousand at most, are joined by broadcast
-HOT_SHARE = 0.001
+#: vertices with more than this share of all links, a thousand at most, are joined by broadcast
+HOT_SHARE = 0.002
 HOT_LEAST = 10_000
 
 
+def _told(links: DataFrame, end: str, smallest: DataFrame, space: list[str], n: int, known: int) -> DataFrame:
+    """links with m_<end>, deg_<end>: what `smallest` (one row per vertex, `known` in all) says of one end."""
+    told = smallest.select(*space, F.col("v").alias(end), F.col("m").alias(f"m_{end}"), F.col("deg").alias(f"deg_{end}"))
+    if known <= BROADCAST_ROWS:
+        return links.join(F.broadcast(told), [*space, end])
+    # links of hot vertices stay where they are
+    hot = told.where(F.col(f"deg_{end}") > max(HOT_LEAST, int(n * HOT_SHARE)))
+    near = links.join(F.broadcast(hot), [*space, end])
+    return near.unionByName(links.join(F.broadcast(hot.select(*space, end)), [*space, end], "left_anti").join(told, [*space, end]))
+
+
 def hash_to_min(spark: SparkSession, edges: DataFrame, left: str, right: str, within: tuple[str, ...] = ()) -> DataFrame:
     """(within..., vertex, component): every vertex of an edge between two vertices, and its smallest connected vertex.
 
@@ -27,29 +44,35 @@ def hash_to_min(spark: SparkSession, edges: DataFrame, left: str, right: str, wi
     type must be ordered, and its order decides which vertex is smallest.
     """
     stages, space = Stages(spark, "components"), list(within)
-    key = [*space, "v"]
-    linked = edges.where(F.col(left) != F.col(right)).dropna(subset=space) if space else edges.where(F.col(left) != F.col(right))
-
-    def both(df: DataFrame, a: Column, b: Column, *more: Column) -> DataFrame:
-        pairs = [F.struct(a.alias("v"), b.alias("u")), F.struct(b.alias("v"), a.alias("u")), *more]
-        return df.select(*space, F.inline(F.array(*pairs))).distinct()
-
-    own = [F.struct(F.col(x).alias("v"), F.col(x).alias("u")) for x in (left, right)]
-    rows, path = stages.write(both(linked, F.col(left), F.col(right), *own))
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*key, "u").cast("decimal(20,0)")), F.sum(F.xxhash64("u", *reversed(key)).cast("decimal(20,0)"))).first())
-    before = mark(rows)
-    while before[0]:
-        smallest = rows.groupBy(*key).agg(F.min("u").alias("m"), F.count("*").alias("n"))
-        hot = smallest.where(F.col("n") > max(HOT_LEAST, int(before[0] * HOT_SHARE))).select(*key, F.col("m").alias("hot_m"))
-        known = rows.join(F.broadcast(hot), key, "left")
-        told = known.where("hot_m is null").drop("hot_m").join(smallest.drop("n"), key).unionByName(known.where("hot_m is not null").withColumnRenamed("hot_m", "m"))
-        new, new_path = stages.write(both(told, F.col("m"), F.col("u")))
+    linked = edges.where(F.col(left) != F.col(right))
+    linked = linked.dropna(subset=space) if space else linked
+    links, path = stages.write(linked.select(*space, F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).distinct())
+    rounds = []
+    while n := links.count():
+        both = links.select(*space, F.inline(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")))))
+        smallest = stages.keep(both.groupBy(*space, "v").agg(F.least("v", F.min("u")).alias("m"), F.count("*").alias("deg")))
+        settled = (F.col("deg") == 1) & (F.col("m") < F.col("v"))
+        rounds.append(smallest.where(settled).select(*space, F.col("v").alias("vertex"), F.col("m").alias("component")))
+        known = smallest.count()
+        # only the larger end of a link can be settled
+        active = _told(links, "b", smallest, space, n, known).where((F.col("deg_b") > 1) | (F.col("m_b") >= F.col("b"))).drop("deg_b")
+        sent = [F.struct(F.col("m_a").alias("a"), F.col("b")), F.struct(F.col("m_b").alias("a"), F.col("a").alias("b"))]
+        spread = _told(active, "a", smallest, space, n, known).select(*space, F.inline(F.array(*sent)))
+        own = smallest.where(~settled).select(*space, F.col("m").alias("a"), F.col("v").alias("b"))
+        new, new_path = stages.write(spread.unionByName(own).where("a < b").distinct())
         stages.drop(path)
-        rows, path, after = new, new_path, mark(new)
-        if after == before:
-            break
-        before = after
-    return rows.groupBy(*key).agg(F.min("u").alias("component")).withColumnRenamed("v", "vertex")
+        links, path = new, new_path
+    stages.drop(path)
+    if not rounds:
+        return linked.select(*space, F.col(left).alias("vertex"), F.col(right).alias("component")).limit(0)
+    done = [stages.keep(rounds[-1])]
+    for aside in reversed(rounds[:-1]):
+        later = reduce(DataFrame.unionByName, done).select(*space, F.col("vertex").alias("component"), F.col("component").alias("_top"))
+        # settled vertices are many where one vertex has many: what later rounds say of it is counted, and broadcast if little
+        found = aside.join(broadcast_if_small(later), [*space, "component"], "left")
+        done.append(stages.keep(found.select(*space, "vertex", F.coalesce("_top", "component").alias("component"))))
+    groups = reduce(DataFrame.unionByName, done)
+    return groups.unionByName(groups.select(*space, F.col("component").alias("vertex"), "component").distinct())
 
 
 #: two row positions that a bracket, blank or other separator doesn't part; decimals only where they are zero

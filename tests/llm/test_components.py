@@ -26,8 +26,10 @@ def _plain(edges):
     return sorted((*v, find(v)[1]) for v in up)
 
 
-@pytest.mark.parametrize("shape", ["chain", "star", "random", "empty"])
-def test_shapes(spark, shape, monkeypatch):
+@pytest.mark.parametrize("shape", ["chain", "star", "random", "empty", "tree"])
+@pytest.mark.parametrize("rows", [0, 300_000])
+def test_shapes(spark, shape, rows, monkeypatch):
+    monkeypatch.setattr(components, "BROADCAST_ROWS", rows)
     monkeypatch.setattr(components, "HOT_LEAST", 20)  # so that the broadcast of hot vertices is used
     rng = random.Random(3)
     if shape == "chain":
@@ -38,6 +40,9 @@ def test_shapes(spark, shape, monkeypatch):
         edges = [("s", 150, i) for i in range(300)] + [("t", i, i + 1) for i in range(0, 40, 2)]
     elif shape == "random":
         edges = [(rng.choice("st"), rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [("s", 1, 1), (None, 1, 2), ("s", None, 2), ("s", 5, None)] * 2
+    elif shape == "tree":
+        # subtrees that are put aside in different rounds, with numbers that fall and rise along the branches
+        edges = [("s", i * 7919 % 401, (i // 2) * 7919 % 401) for i in range(1, 300)]
     else:
         edges = []
     df = spark.createDataFrame(edges, "space string, a int, b int").withColumn("v", F.lit("clash")).withColumn("u", F.lit(0))
