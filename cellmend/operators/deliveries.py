@@ -1,10 +1,12 @@
 """Messages delivered more than once.
 
-The identifiers of each time bucket are stored once (time bucket, 128-bit identifier, count). A pass
-over that storage, spread by identifier and in time order, keeps one Bloom filter per time bucket: an
-identifier that no earlier filter holds is definitely new there. Only identifiers that a filter holds,
-or that occur twice within a bucket, are possible repeats; they are verified against the storage of
-just the buckets whose filters matched, and in the end by the identifiers themselves.
+The identifiers of each time bucket are stored once (time bucket, 128-bit identifier, count), a folder
+per time bucket and a file per shard of identifiers. On its way there a shard passes one Bloom filter per
+time bucket, in time order: an identifier that no earlier filter holds is definitely new there, and only
+the time buckets whose filters hold it are noted beside it. Identifiers with a note, or that occur twice
+within a bucket, are possible repeats; they are verified against the stored identifiers of the noted
+buckets alone, and in the end by the identifiers themselves. The identifiers are shuffled once, into the
+storage, and nothing else of a message that was delivered once ever moves.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmend.session import Stages, broadcast_if_small, shuffle_width
+from cellmend.session import BROADCAST_ROWS, Stages, broadcast_if_small, shuffle_width
 
 HASHES = 6
 #: messages with more deliveries than this and than a thousandth of all, a thousand at most, are joined by broadcast
@@ -49,24 +51,45 @@ class _Filter:
         return out
 
 
+def _summed(bucket: np.ndarray, k1: np.ndarray, k2: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One row per (bucket, k1, k2), with the sum of n."""
+    order = np.lexsort((k2, k1, bucket))
+    bucket, k1, k2 = bucket[order], k1[order], k2[order]
+    new = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])][: k1.size])
+    return bucket[new], k1[new], k2[new], np.add.reduceat(n[order], new) if new.size else n[:0]
+
+
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, k1, k2) as counts, batch by batch, so that a message met often is shuffled as a few rows."""
+    for batch in batches:
+        if batch.num_rows:
+            columns = [batch.column(c).to_numpy() for c in ("bucket", "k1", "k2")]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _summed(*columns, np.ones(batch.num_rows, np.int64))], names=["bucket", "k1", "k2", "n"])
+
+
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, k1, k2) of the storage rows that possible repeats must be verified against."""
+    """The rows (bucket, k1, k2, n) of one shard, which come in time order, with the time buckets to verify each against."""
     filters: dict[int, _Filter] = {}
     held: list[tuple] = []
     now = None
 
     def close():
         k1, k2, n = (np.concatenate(c) for c in zip(*held))
+        _, k1, k2, n = _summed(np.zeros(n.size, np.int64), k1, k2, n)
         own = n > 1
-        found = []
+        hits = []
         for bucket, past in filters.items():
-            hit = past.holds(k1, k2)
-            own |= hit
-            found.append((np.full(int(hit.sum()), bucket), k1[hit], k2[hit]))
-        found.append((np.full(int(own.sum()), now), k1[own], k2[own]))
+            hit = np.flatnonzero(past.holds(k1, k2))
+            own[hit] = True
+            hits.append((hit, np.full(hit.size, bucket)))
         filters[now] = _Filter(k1, k2)
-        t, a, b = (np.concatenate(c) for c in zip(*found))
-        return pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["bucket", "k1", "k2"])
+        hits.append((np.flatnonzero(own), np.full(int(own.sum()), now)))
+        row, bucket = (np.concatenate(c) for c in zip(*hits))
+        order = np.argsort(row, kind="stable")
+        offsets = np.r_[0, np.cumsum(np.bincount(row, minlength=n.size))].astype(np.int32)
+        noted = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bucket[order].astype(np.int64)))
+        columns = [pa.array(np.full(n.size, now, np.int64)), pa.array(k1.astype(np.int64)), pa.array(k2.astype(np.int64)), pa.array(n.astype(np.int64)), noted]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "k1", "k2", "n", "noted"])
 
     for batch in batches:
         t = batch.column("bucket").to_numpy()
@@ -90,9 +113,13 @@ class RepeatedDeliveries:
     are never repeats. The first delivery has the earliest `received_at` (null counts as latest), then
     the smallest `delivery_id`; rows repeated under one delivery_id are one delivery, rows without one are
     not looked at. An empty table gives an empty result; columns beside those named play no part.
+
+    buckets: the number of time buckets; by default as many as give the files of the storage about
+    `ids_per_file` identifiers, 64 at most.
     """
 
-    def __init__(self, spark: SparkSession, identifiers: list[str], required: str, blank_is_null: tuple[str, ...] = (), buckets: int = 64, delivery: str = "delivery_id", received: str = "received_at"):
+    def __init__(self, spark: SparkSession, identifiers: list[str], required: str, blank_is_null: tuple[str, ...] = (), buckets: int | None = None, delivery: str = "delivery_id", received: str = "received_at", ids_per_file: int = 20_000):
+        self.ids_per_file = ids_per_file
         self.spark, self.identifiers, self.required, self.blank_is_null = spark, identifiers, required, blank_is_null
         self.buckets, self.delivery, self.received = buckets, delivery, received
 
@@ -106,24 +133,41 @@ class RepeatedDeliveries:
         flat = [x for k in ids for x in (F.col(k).isNull(), F.col(k))]
         return rows.withColumns({"k1": F.xxhash64(F.lit(1), *flat), "k2": F.xxhash64(F.lit(2), *flat)})
 
+    def stored(self, stages: Stages, rows: DataFrame) -> DataFrame:
+        """The written storage (bucket, k1, k2, n, noted), a folder per time bucket."""
+        known = F.when(F.col("_at") < (1 << 63) - 1, F.col("_at"))
+        low, high, n = rows.agg(F.min(known), F.max(known), F.count("*")).first()
+        width = shuffle_width(self.spark)
+        buckets = self.buckets or min(64, max(4, -(-n // (width * self.ids_per_file))))
+        span = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
+        bucket = F.when(F.col("_at") == (1 << 63) - 1, F.lit(buckets)).otherwise(F.expr(f"(_at - {low or 0}L) div {span}L")).cast("long")
+        counted = rows.select(bucket.alias("bucket"), "k1", "k2").mapInArrow(_combine, "bucket long, k1 long, k2 long, n long")
+        # the counts of an identifier are added up, and it is screened, where its shard is written: one shuffle
+        shards = counted.repartition(width, "k1").sortWithinPartitions("bucket")
+        return stages.keep(shards.mapInArrow(_screen, "bucket long, k1 long, k2 long, n long, noted array<long>"), by=["bucket"])
+
+    def verified(self, stages: Stages, storage: DataFrame) -> DataFrame:
+        """(k1, k2, n) of the identifiers that were delivered more than once, from the folders of the noted buckets alone."""
+        suspects = storage.where(F.size("noted") > 0).select("k1", "k2", F.explode("noted").alias("bucket"))
+        suspects = stages.keep(suspects.distinct())
+        noted = sorted(r[0] for r in suspects.select("bucket").distinct().collect())  # one number per time bucket at most
+        matching = storage.where(F.col("bucket").isin(noted)).select("bucket", "k1", "k2", "n")
+        return stages.keep(matching.join(broadcast_if_small(suspects), ["bucket", "k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.sum("n").alias("n")).where("n > 1"))
+
     def repeats(self, df: DataFrame) -> DataFrame:
         """One row (delivery id) per delivery to drop."""
-        stages = Stages(self.spark, "deliveries")
+        stages, key = Stages(self.spark, "deliveries"), ["k1", "k2"]
         rows = self._rows(df)
-        known = F.when(F.col("_at") < (1 << 63) - 1, F.col("_at"))
-        low, high = rows.agg(F.min(known), F.max(known)).first()
-        span = max(1, -(-((high or 0) - (low or 0) + 1) // self.buckets))
-        bucket = F.when(F.col("_at") == (1 << 63) - 1, F.lit(self.buckets)).otherwise(F.expr(f"(_at - {low or 0}L) div {span}L")).cast("long")
-        storage = stages.keep(rows.groupBy(bucket.alias("bucket"), "k1", "k2").agg(F.count("*").alias("n")).sortWithinPartitions("bucket"))
-        suspects = storage.repartition(shuffle_width(self.spark), "k1").sortWithinPartitions("bucket").mapInArrow(_screen, "bucket long, k1 long, k2 long")
-        verified = stages.keep(storage.join(suspects.distinct(), ["bucket", "k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.sum("n").alias("n")).where("n > 1"))
-        total = storage.agg(F.sum("n")).first()[0] or 0
+        verified = self.verified(stages, self.stored(stages, rows))
+        several, total = verified.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         is_hot = F.col("n") > max(HOT_LEAST, total // 1000)
-        hot, rest = F.broadcast(verified.where(is_hot).select("k1", "k2")), verified.where(~is_hot).select("k1", "k2")
-        key = ["k1", "k2"]
+        hot, rest = F.broadcast(verified.where(is_hot).select(*key)), verified.where(~is_hot).select(*key)
         # hot messages never meet in one task: their rows stay where they are, and so does the search for their first
-        late = [self._late(rows.join(hot, key, "left_semi"), hot=True), self._late(rows.join(hot, key, "left_anti").join(broadcast_if_small(rest), key, "left_semi"), hot=False)]
-        return late[0].unionByName(late[1]).select(F.col("_id").alias(self.delivery)).distinct()
+        cold = rows.join(broadcast_if_small(rest), key, "left_semi") if several <= BROADCAST_ROWS else rows.join(hot, key, "left_anti").join(rest, key, "left_semi")
+        late = self._late(cold, hot=False)
+        if not verified.where(is_hot).isEmpty():
+            late = late.unionByName(self._late(rows.join(hot, key, "left_semi"), hot=True))
+        return late.select(F.col("_id").alias(self.delivery)).distinct()
 
     def _late(self, repeated: DataFrame, hot: bool) -> DataFrame:
         """Deliveries after the first of their message, the identifiers being compared as they are."""
@@ -134,4 +178,5 @@ class RepeatedDeliveries:
 
     def messages(self, df: DataFrame) -> DataFrame:
         """The rows of df without the deliveries to drop."""
-        return df.join(self.repeats(df), self.delivery, "left_anti")
+        late = Stages(self.spark, "deliveries-late").keep(self.repeats(df))
+        return df.join(broadcast_if_small(late), self.delivery, "left_anti")

@@ -69,15 +69,16 @@ class Stages:
         self.base = f"{shared_dir(spark)}/cellmend-{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def write(self, df: DataFrame) -> tuple[DataFrame, str]:
+    def write(self, df: DataFrame, by: list[str] | None = None) -> tuple[DataFrame, str]:
+        """by: columns whose values get a folder each."""
         path = f"{self.base}/{self.n}"
         self.n += 1
         _made.add(self.base)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*(by or [])).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        return self.write(df)[0]
+    def keep(self, df: DataFrame, by: list[str] | None = None) -> DataFrame:
+        return self.write(df, by)[0]
 
     def drop(self, path: str) -> None:
         _delete(self.spark, path)

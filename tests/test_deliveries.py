@@ -5,6 +5,7 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from cellmend.operators import deliveries
 from cellmend.operators.deliveries import RepeatedDeliveries, _Filter
@@ -60,6 +61,22 @@ def test_empty_and_repeated_rows(spark):
     assert [r[0] for r in _op(spark).repeats(spark.createDataFrame([one, (2, None, "AB", "cd", "", "")], SCHEMA)).collect()] == [2]
 
 
+def test_verification_reads_only_folders_of_matching_time_buckets(spark):
+    from cellmend.session import Stages
+
+    start = datetime(2024, 5, 6)
+    rows = [(i, start + timedelta(seconds=i), f"{i:024x}", "p", None, "") for i in range(800)]
+    rows += [(1000 + i, start + timedelta(seconds=700 + i), f"{100 + i:024x}", "P ", " ", "") for i in range(50)]  # of the first bucket, again in the last
+    op, stages = _op(spark, 8), Stages(spark, "test")
+    storage = op.stored(stages, op._rows(spark.createDataFrame(rows, SCHEMA)))
+    assert storage.count() == 850 and storage.select("bucket").distinct().count() == 8
+    noted = [(r.bucket, set(r.noted)) for r in storage.collect() if r.noted]
+    assert sum(b == 7 and {1, 7} <= n for b, n in noted) == 50 and len(noted) < 80  # a filter may hold a few more
+    matching = storage.where(F.col("bucket").isin([1, 7]))
+    assert {f.split("bucket=")[1].split("/")[0] for f in matching.inputFiles()} <= {"1", "7"} and len(matching.inputFiles()) <= 8 < len(storage.inputFiles())
+    assert sorted(r[0] for r in op.repeats(spark.createDataFrame(rows, SCHEMA)).collect()) == list(range(1000, 1050))
+
+
 def test_filter_forgets_nothing():
     import numpy as np
 
