@@ -3,7 +3,8 @@
 Every vertex v holds a cluster: itself and its neighbours. In a round it sends the cluster to the
 cluster's smallest member and that member to all others; the clusters of the next round are unions of
 what arrives. What v and m tell each other is one link between them, so the clusters of all vertices are
-kept as links (a, b) with a < b, each once and none from a vertex to itself.
+kept as links (a, b) with a < b, each once and none from a vertex to itself. A vertex is in its own cluster
+as long as it is the smaller end of a link: only then has it itself to tell.
 
 Only what may still change is sent again. A vertex that is linked to one smaller vertex alone holds the
 smallest that it can learn by itself: it is settled, its link is put aside, and it takes the group of that
@@ -20,20 +21,22 @@ from pyspark.sql import functions as F
 
 from cellmend.session import BROADCAST_ROWS, Stages, broadcast_if_small
 
-#: vertices with more than this share of all links, a thousand at most, are joined by broadcast
-HOT_SHARE = 0.002
+#: vertices with more than this share of all ends of links, a thousand at most, are joined by broadcast
+HOT_SHARE = 0.001
 HOT_LEAST = 10_000
 
 
 def _told(links: DataFrame, end: str, smallest: DataFrame, space: list[str], n: int, known: int) -> DataFrame:
     """links with m_<end>, deg_<end>: what `smallest` (one row per vertex, `known` in all) says of one end."""
-    told = smallest.select(*space, F.col("v").alias(end), F.col("m").alias(f"m_{end}"), F.col("deg").alias(f"deg_{end}"))
+    told, key = smallest.select(*space, "v", "m", "deg"), [*space, "v"]
+    links = links.withColumnRenamed(end, "v")
     if known <= BROADCAST_ROWS:
-        return links.join(F.broadcast(told), [*space, end])
-    # links of hot vertices stay where they are
-    hot = told.where(F.col(f"deg_{end}") > max(HOT_LEAST, int(n * HOT_SHARE)))
-    near = links.join(F.broadcast(hot), [*space, end])
-    return near.unionByName(links.join(F.broadcast(hot.select(*space, end)), [*space, end], "left_anti").join(told, [*space, end]))
+        found = links.join(F.broadcast(told), key)
+    else:
+        # links of hot vertices stay where they are
+        hot = told.where(F.col("deg") > max(HOT_LEAST, int(n * HOT_SHARE)))
+        found = links.join(F.broadcast(hot), key).unionByName(links.join(F.broadcast(hot.select(*key)), key, "left_anti").join(told, key))
+    return found.withColumnsRenamed({"v": end, "m": f"m_{end}", "deg": f"deg_{end}"})
 
 
 def hash_to_min(spark: SparkSession, edges: DataFrame, left: str, right: str, within: tuple[str, ...] = ()) -> DataFrame:
@@ -48,17 +51,19 @@ def hash_to_min(spark: SparkSession, edges: DataFrame, left: str, right: str, wi
     linked = linked.dropna(subset=space) if space else linked
     links, path = stages.write(linked.select(*space, F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).distinct())
     rounds = []
-    while n := links.count():
+    while True:
         both = links.select(*space, F.inline(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")))))
-        smallest = stages.keep(both.groupBy(*space, "v").agg(F.least("v", F.min("u")).alias("m"), F.count("*").alias("deg")))
+        smallest = stages.keep(both.groupBy(*space, "v").agg(F.least("v", F.min("u")).alias("m"), F.count("*").alias("deg"), (F.max("u") > F.col("v")).alias("holds")))
+        known, n = smallest.agg(F.count("*"), F.coalesce(F.sum("deg"), F.lit(0))).first()
+        if not known:
+            break
         settled = (F.col("deg") == 1) & (F.col("m") < F.col("v"))
         rounds.append(smallest.where(settled).select(*space, F.col("v").alias("vertex"), F.col("m").alias("component")))
-        known = smallest.count()
         # only the larger end of a link can be settled
         active = _told(links, "b", smallest, space, n, known).where((F.col("deg_b") > 1) | (F.col("m_b") >= F.col("b"))).drop("deg_b")
         sent = [F.struct(F.col("m_a").alias("a"), F.col("b")), F.struct(F.col("m_b").alias("a"), F.col("a").alias("b"))]
         spread = _told(active, "a", smallest, space, n, known).select(*space, F.inline(F.array(*sent)))
-        own = smallest.where(~settled).select(*space, F.col("m").alias("a"), F.col("v").alias("b"))
+        own = smallest.where("holds").select(*space, F.col("m").alias("a"), F.col("v").alias("b"))
         new, new_path = stages.write(spread.unionByName(own).where("a < b").distinct())
         stages.drop(path)
         links, path = new, new_path
@@ -77,6 +82,8 @@ def hash_to_min(spark: SparkSession, edges: DataFrame, left: str, right: str, wi
 
 #: two row positions that a bracket, blank or other separator doesn't part; decimals only where they are zero
 PAIR = r"""(?<![\w.\-])['"]?(\d+)(?:\.0*)?['"]?\s*[,:\-]\s*['"]?(\d+)(?:\.0*)?['"]?(?![\w.])"""
+#: a number of such a pair, without its decimals
+NUMBER = r"(?<![\d.])(\d+)"
 
 
 def row_links(error_log: DataFrame, fd_components: DataFrame) -> DataFrame:
@@ -87,8 +94,9 @@ def row_links(error_log: DataFrame, fd_components: DataFrame) -> DataFrame:
     pair, null lists and null data sets link nothing.
     """
     number = lambda text: text.try_cast("int")
-    found = F.arrays_zip(F.regexp_extract_all("tuple_pairs", F.lit(PAIR), F.lit(1)).alias("a"), F.regexp_extract_all("tuple_pairs", F.lit(PAIR), F.lit(2)).alias("b"))
-    pairs = error_log.where(F.col("tuple_pairs").rlike(r"\d")).select("dataset", F.explode(found).alias("p")).select("dataset", number(F.col("p.a")).alias("a"), number(F.col("p.b")).alias("b"))
+    # a pair is cut out once, and its two numbers out of it
+    found = F.transform(F.regexp_extract_all("tuple_pairs", F.lit(PAIR), F.lit(0)), lambda p: F.regexp_extract_all(p, F.lit(NUMBER), F.lit(1)))
+    pairs = error_log.where(F.col("tuple_pairs").rlike(r"\d")).select("dataset", F.explode(found).alias("p")).select("dataset", number(F.col("p")[0]).alias("a"), number(F.col("p")[1]).alias("b"))
     of_cells = F.transform(F.coalesce("cell_ids", F.array().cast("array<string>")), lambda c: number(F.regexp_extract(c, r":(\d+):\d+\s*$", 1)))
     rows = F.array_distinct(F.filter(F.concat(F.coalesce("row_indices", F.array().cast("array<int>")), of_cells), lambda x: x.isNotNull()))
     stars = fd_components.select("dataset", rows.alias("rows")).where(F.size("rows") > 1).select("dataset", F.array_min("rows").alias("a"), F.explode("rows").alias("b"))
