@@ -3,8 +3,9 @@
 Every document has a place on a line of 64 bits, the hash of its id. A source gives the documents below
 its threshold one copy more than the others. The threshold is found from sums of tokens by source and
 hash bucket: the bucket in which the wanted number of tokens is reached is cut into finer buckets, again
-and again, until it holds one document (or documents of one hash). Nothing is sorted by document, and a
-larger budget keeps every document of a smaller one.
+and again, until it holds one document (or documents of one hash). All documents are read for the first sums
+and once more for those of the boundary buckets, which the finer levels read alone; what is shuffled of a
+level are sums, a row per source and bucket. A larger budget keeps every document of a smaller one.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ class SourceMix:
 
     budget: tokens of the whole mix; by default as many as the documents of all targeted sources have
     together. A source that can't reach its part with every document used max_repeats times is used up;
-    the shares reported are those of the mix as it is. Null sources and sources without a target are not
+    the shares reported are those of the mix as it is. Shares add up to one, so where one source falls short
+    the others lie above their targets; `exact_budget` is the largest one at which none falls short (of the
+    sources that have tokens). Null sources and sources without a target are not
     used. Documents without tokens, and repeated rows of one doc_id, follow the same rule (the same
     copies for the same doc_id).
     """
@@ -56,29 +59,26 @@ class SourceMix:
         plan = stages.keep(plan)
 
         # the bucket of each source in which `rest` is reached, at ever finer levels; below: tokens of the buckets before it
-        at = plan.where("rest > 0").select("source", "rest", F.lit(0.0).alias("below"), F.lit(None).cast("long").alias("prefix"))
-        used = 0
+        at = plan.where("rest > 0").select("source", "rest", F.lit(0.0).alias("below"), F.lit(0).cast("long").alias("prefix"))
+        used, inside = 0, docs.select("source", "h", "n_tokens")
         unsigned = F.col("h").bitwiseXOR(F.lit(-(1 << 63)))  # in unsigned order, so that prefixes are in the order of h
+        top = lambda bits: F.shiftrightunsigned(unsigned, 64 - bits) if bits < 64 else unsigned
         for bits in LEVEL_BITS:
-            shift = 64 - used - bits
-            inside = docs.join(at, "source")
+            held = inside.join(at.select("source", "rest", "below", "prefix"), "source")
             if used:
-                inside = inside.where(F.shiftrightunsigned(unsigned, 64 - used) == F.col("prefix"))
-            prefix = F.shiftrightunsigned(unsigned, shift) if shift else unsigned
-            sums = inside.groupBy("source", "rest", "below", prefix.alias("p")).agg(F.sum("n_tokens").alias("n"), F.countDistinct("h").alias("hashes"))
-            order = Window.partitionBy("source").orderBy(F.col("p").bitwiseXOR(F.lit(-(1 << 63)))) if not shift else Window.partitionBy("source").orderBy("p")
-            running = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+                held = held.where(top(used) == F.col("prefix"))
+            sums = held.groupBy("source", "rest", "below", top(used + bits).alias("p")).agg(F.sum("n_tokens").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
+            running = F.sum("n").over(Window.partitionBy("source").orderBy("low").rowsBetween(Window.unboundedPreceding, Window.currentRow))
             reached = sums.withColumn("upto", F.col("below") + running).where("upto >= rest")
-            first = reached.groupBy("source").agg(F.min_by(F.struct("rest", (F.col("upto") - F.col("n")).alias("below"), F.col("p").alias("prefix"), "n", "hashes"), "upto").alias("b"))
-            at = stages.keep(first.select("source", "b.*"))
-            used += bits
-            if not at.where("hashes > 1").limit(1).count():
+            first = F.min_by(F.struct("rest", (F.col("upto") - F.col("n")).alias("below"), F.col("p").alias("prefix"), "n", "low", "high"), F.struct("upto", "low"))
+            at = stages.keep(reached.groupBy("source").agg(first.alias("b")).select("source", "b.*"))
+            if at.where("low < high").isEmpty():
                 break
-        at = at.select("source", "rest", "below", "prefix", "n")
+            if not used:
+                inside = stages.keep(inside.join(at.select("source", "prefix"), "source").where(top(bits) == F.col("prefix")).select("source", "h", "n_tokens"))
+            used += bits
         # of the last bucket all go or none, whichever is nearer
-        edge = docs.join(at, "source").where((F.shiftrightunsigned(unsigned, 64 - used) if used < 64 else unsigned) == F.col("prefix"))
-        edge = edge.groupBy("source", "rest", "below").agg(F.sum("n_tokens").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
-        theta = edge.select("source", F.when(F.col("below") + F.col("n") / 2 <= F.col("rest"), F.col("high")).otherwise(F.when(F.col("low") > -(1 << 63), F.col("low") - 1)).alias("theta"))
+        theta = at.select("source", F.when(F.col("below") + F.col("n") / 2 <= F.col("rest"), F.col("high")).otherwise(F.when(F.col("low") > -(1 << 63), F.col("low") - 1)).alias("theta"))
         return stages.keep(plan.join(theta, "source", "left"))
 
     def mix(self, documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,8 +92,9 @@ class SourceMix:
         report = stages.keep(plan.join(got, "source", "left").fillna(0, ["mix_tokens", "used_documents", "most_copies"]))
         total = float(report.agg(F.sum("mix_tokens")).first()[0] or 0)
         share = F.col("mix_tokens") / F.lit(total) if total else F.lit(0.0)
+        exact = report.agg(F.min(F.when((F.col("target_share") > 0) & (F.col("tokens") > 0), F.floor(F.col("tokens") * F.col("cap") / F.col("target_share"))))).first()[0]
         report = report.select(
             "source", "target_share", share.alias("actual_share"), F.round(F.col("target_share") * F.col("budget")).cast("long").alias("target_tokens"), "mix_tokens", F.col("tokens").alias("source_tokens"),
-            F.col("documents").alias("source_documents"), "used_documents", F.col("cap").alias("max_repeats"), "most_copies", (F.col("tokens") * F.col("cap") >= F.col("target_share") * F.col("budget")).alias("target_reachable"), F.lit(self.tokenizer).alias("tokenizer"),
+            F.col("documents").alias("source_documents"), "used_documents", F.col("cap").alias("max_repeats"), "most_copies", (F.col("tokens") * F.col("cap") >= F.col("target_share") * F.col("budget")).alias("target_reachable"), F.lit(exact).cast("long").alias("exact_budget"), F.lit(self.tokenizer).alias("tokenizer"),
         )
         return chosen.join(report.select("source", "target_share", "actual_share", "tokenizer"), "source"), report
