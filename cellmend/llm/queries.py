@@ -10,6 +10,7 @@ from cellmend.llm.bpe import encode_column
 from cellmend.llm.components import conflict_groups
 from cellmend.llm.mixing import SourceMix
 from cellmend.llm.splits import split_records
+from cellmend.session import Stages
 from cellmend.sources.tables import table
 
 
@@ -35,6 +36,21 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     return s.join(targets, "split", "full_outer").select("split", "target_share", (F.coalesce("cells", F.lit(0)) / F.lit(total)).alias("actual_share"), F.coalesce("cells", F.lit(0)).alias("cells"), F.coalesce("groups", F.lit(0)).alias("groups"))
 
 
+#: a split is met if it is this near to its share, or by half of the smallest group
+SHARE_NEAR = 0.01
+
+
+def p4_shares_met(spark: SparkSession, d: str) -> DataFrame:
+    """Per split of the targets: whether its share is met, and whether all groups are whole; all_cells over all splits."""
+    x = p4_splits(spark, d)
+    groups = Stages(spark, "shares").keep(x.groupBy("group_dataset").agg(F.count("*").alias("n"), F.min("split").alias("split"), F.countDistinct("split").alias("places")))
+    all_cells, smallest, places = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.min("n"), F.lit(0)), F.coalesce(F.max("places"), F.lit(1))).first()
+    sizes = groups.groupBy("split").agg(F.sum("n").alias("n"))
+    targets = table(spark, d, "split_targets").where("target_share > 0").select(F.col("split_name").alias("split"), "target_share")
+    near = F.abs(F.coalesce("n", F.lit(0)) - F.col("target_share") * all_cells) <= max(SHARE_NEAR * all_cells, smallest / 2)
+    return targets.join(sizes, "split", "left").select("split", "target_share", near.alias("met"), F.lit(places == 1).alias("whole"), F.lit(all_cells).cast("long").alias("all_cells"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(spark, table(spark, d, "documents"), "text", ["doc_id"])
 
@@ -57,9 +73,10 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", skeleton.consistent_form(F.col("text")).alias("form"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_forms": p8_forms}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares, "p4_shares_met": p4_shares_met, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_forms": p8_forms}
 
 SQL = {
+    "p4_shares_met": "SELECT split_name AS split, target_share, true AS met, true AS whole, (SELECT count(DISTINCT cell_id) FROM sample_records) all_cells FROM split_targets WHERE target_share > 0",
     "p3_found": r"""
 WITH RECURSIVE pairs AS (
   SELECT dataset, TRY_CAST(p[1] AS INT) a, TRY_CAST(p[2] AS INT) b FROM (
