@@ -68,12 +68,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.look_alike_pairs(spark, table(spark, d, "documents"))
 
 
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document that looks like a different string: its class, the strings of the class, and the documents of the other ones."""
+    return skeleton.look_alikes(spark, table(spark, d, "documents")).select("doc_id", "look", "forms", "links")
+
+
 def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every document with its one consistent form."""
-    return table(spark, d, "documents").select("doc_id", skeleton.consistent_form(F.col("text")).alias("form"))
+    return table(spark, d, "documents").select("doc_id", skeleton.consistent_form(F.col("text"), spark).alias("form"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares, "p4_shares_met": p4_shares_met, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_forms": p8_forms}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares, "p4_shares_met": p4_shares_met, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_classes": p8_classes, "p8_forms": p8_forms}
 
 SQL = {
     "p4_shares_met": "SELECT split_name AS split, target_share, true AS met, true AS whole, (SELECT count(DISTINCT cell_id) FROM sample_records) all_cells FROM split_targets WHERE target_share > 0",

@@ -1,96 +1,151 @@
 """One form for texts that look the same, by their confusables skeleton.
 
-A text is decomposed, every character is replaced by its prototype, and the result is decomposed again.
+A text is decomposed, every character is replaced by its prototype, and the result is decomposed again;
+what is compared and stored is that form composed, which is equal where the decomposed ones are.
 Prototypes: full-width and half-width forms stand for the ordinary ones, blanks of any kind for the
-space, letters of other scripts with the shape of a Latin letter for that letter; characters that show
-nothing have none. Case, accents, digits, punctuation, raised and circled characters keep theirs.
+space, letters of other scripts with the shape of a Latin letter for that letter, other capitals with the
+shape of a Greek one for that; characters that show nothing have none. Case, accents, digits,
+punctuation, raised and circled characters keep theirs.
+
+Which letters share a shape is taken from the public confusables data that the Unicode library beside
+Spark holds, for the scripts named below and without the letters that only resemble each other.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellmend.session import Stages
 
-# fixed values: letters of Cyrillic, Greek and Armenian with the shape of a Latin letter
-LOOK_ALIKE = {
-    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ԝ": "w", "х": "x", "у": "y",
-    "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "Ү": "Y", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ϳ": "j", "Ϳ": "J",
-    "օ": "o", "Օ": "O", "Տ": "S",
-}
-# fixed values: ranges of characters that show nothing (besides the format characters, category Cf)
-UNSEEN = [(0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0100, 0xE01EF)]
-
-
-def _prototypes() -> dict[int, str | None]:
-    """The prototype of every character that isn't its own, from the properties of all characters."""
-    table: dict[int, str | None] = {}
-    for n in range(0x80, 0x110000):
-        if 0xD800 <= n < 0xE000 or 0x20000 <= n < 0xE0000:
-            continue
-        c = chr(n)
-        kind, parts = unicodedata.category(c), unicodedata.decomposition(c)
-        if kind == "Cf" or any(a <= n <= b for a, b in UNSEEN):
-            table[n] = None
-        elif kind == "Zs":
-            table[n] = " "
-        elif parts.startswith(("<wide>", "<narrow>")):
-            table[n] = "".join(chr(int(x, 16)) for x in parts.split()[1:])
-    return table | {ord(c): p for c, p in LOOK_ALIKE.items()}
-
-
-_table: dict[int, str | None] = {}
-
-
-def skeleton(text: str) -> str:
-    if text.isascii():
-        return text
-    if not _table:
-        _table.update(_prototypes())
-    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_table))
-
-
-def skeleton_column(text: Column) -> Column:
-    """The skeleton of each text, null for null. ASCII texts are their own and don't travel to Python."""
-
-    @F.pandas_udf("string")
-    def of(values: pd.Series) -> pd.Series:
-        return values.map(skeleton, na_action="ignore")
-
-    other = F.length(text) != F.octet_length(text)
-    return F.when(other, of(F.when(other, text))).otherwise(text)
-
-
-def consistent_form(text: Column) -> Column:
-    """The composed skeleton: equal for texts that look the same, and itself a text that looks like them."""
+# fixed values: scripts whose letters are looked up
+SCRIPTS = ["Armenian", "Canadian_Aboriginal", "Carian", "Cherokee", "Coptic", "Cyrillic", "Deseret", "Greek", "Lisu", "Lycian", "Old_Italic", "Tifinagh"]
+# fixed values: letters that the data count as confusable though their shape is another one
+RESEMBLING = "αγισυ" "ⲅ" "гѡҽꙇ" "ագզքցՓ" "ꮁ"  # Greek, Coptic, Cyrillic, Armenian, Cherokee
+# fixed values: letters that the data give another prototype or none
+LOOK_ALIKE = {"ӏ": "l", "Ӏ": "I", "Ι": "I", "І": "I", "Ⲓ": "I", "ꓲ": "I"}
+# fixed values: ranges of characters that show nothing: those that may be ignored by default, and annotation marks
+UNSEEN = [
+    (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF),
+    (0xFFA0, 0xFFA0), (0xFFF0, 0xFFFB), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
+]
+# fixed values: controls that part words or lines; all others show nothing
+BLANK_CONTROLS = "\t\n\x0b\x0c\r"
+# fixed values: characters that part lines, as the line feed does
+LINE_ENDS = "\x85\u2028\u2029"
+# fixed values: a character without ink that is as wide as a letter
+EMPTY_PATTERN = "\u2800"
+
+#: characters that are their own form and compose with none: texts of these alone stay in the JVM
+OWN_FORM = r"\t-\r -~\u00a1-\u00ac\u00ae-\u02af\u1e00-\u1eff\u2010-\u2027\u2030-\u205e\u3001-\u3029\u3041-\u3096\u309d-\u30fe\u4e00-\u9fff\uac00-\ud7a3"
+GONE = np.uint32(0xFFFFFFFF)
+
+
+@lru_cache(None)
+def _letters() -> tuple[str, ...]:
+    """Letters of the scripts that are looked up, composed ones aside."""
+    own = regex.compile("[" + "".join(rf"\p{{Script={s}}}" for s in SCRIPTS) + "]")
+    every = (chr(n) for n in range(0x80, 0x20000) if not 0xD800 <= n < 0xE000)
+    return tuple(c for c in every if unicodedata.category(c) in ("Lu", "Ll", "Lo") and unicodedata.decomposition(c)[:8] in ("", "<compat>") and own.match(c))
+
+
+_found: dict[str, str] = {}
+
+
+def look_alike_letters(spark: SparkSession) -> dict[str, str]:
+    """The Latin or Greek letter that stands for each letter of its shape, about 250."""
+    if not _found:
+        checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+        prototypes = checker.getSkeleton("\n".join(_letters())).split("\n")
+        for c, p in zip(_letters(), prototypes):
+            kind, name = unicodedata.category(c), unicodedata.name(c)
+            latin = len(p) == 1 and p.isascii() and p.isalpha()
+            greek = len(p) == 1 and kind != "Ll" and unicodedata.category(p) == "Lu" and unicodedata.name(p).startswith("GREEK CAPITAL")
+            # letters without case, and those of a script that took its capitals from either, look as they look
+            case = kind == "Lo" or name.startswith("CHEROKEE") or (latin and unicodedata.category(p) == kind) or greek
+            if c != p and (latin or greek) and case and c not in RESEMBLING:
+                _found[c] = p
+        _found.update(LOOK_ALIKE)
+    return dict(_found)
+
+
+_tables: dict[tuple, np.ndarray] = {}
+
+
+def _table(letters: tuple[tuple[str, str], ...]) -> np.ndarray:
+    """The prototype of every code point."""
+    if letters not in _tables:
+        t = np.arange(0x110000, dtype=np.uint32)
+        for n in range(0x10000):
+            c = chr(n)
+            if unicodedata.category(c) == "Zs":
+                t[n] = ord(" ")
+            elif unicodedata.category(c) == "Cc" and c not in BLANK_CONTROLS:
+                t[n] = GONE
+            elif n >= 0x3000 and (parts := unicodedata.decomposition(c)).startswith(("<wide>", "<narrow>")):
+                t[n] = int(parts.split()[1], 16)  # one character each
+        for c in LINE_ENDS:
+            t[ord(c)] = ord("\n")
+        t[ord(EMPTY_PATTERN)] = ord(" ")
+        for a, b in UNSEEN:
+            t[a : b + 1] = GONE
+        for c, p in letters:
+            t[ord(c)] = ord(p)
+        _tables[letters] = t
+    return _tables[letters]
+
+
+def forms(texts: list[str], letters: tuple[tuple[str, str], ...]) -> list[str]:
+    """The composed skeleton of each text."""
+    apart = [unicodedata.normalize("NFD", t) for t in texts]
+    points = _table(letters)[np.frombuffer("".join(apart).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    kept = points != GONE
+    ends = np.r_[0, np.cumsum(kept)][np.r_[0, np.cumsum([len(t) for t in apart])].astype(np.int64)]
+    whole = points[kept].tobytes().decode("utf-32-le", "surrogatepass")
+    return [unicodedata.normalize("NFC", whole[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+
+
+def consistent_form(text: Column, spark: SparkSession | None = None) -> Column:
+    """The skeleton of each text, composed: equal for texts that look the same, and itself a text that looks like them; null for null.
+
+    Texts of characters that are their own form are their own and don't travel to Python.
+    """
+    letters = tuple(sorted(look_alike_letters(spark or SparkSession.getActiveSession()).items()))
 
     @F.pandas_udf("string")
     def of(values: pd.Series) -> pd.Series:
-        return values.map(lambda t: unicodedata.normalize("NFC", skeleton(t)), na_action="ignore")
+        there = values.notna().to_numpy()
+        out = np.full(len(values), None, dtype=object)
+        out[there] = forms(values[there].tolist(), letters)
+        return pd.Series(out)
 
-    other = F.length(text) != F.octet_length(text)
+    other = text.rlike(f"[^{OWN_FORM}]")
     return F.when(other, of(F.when(other, text))).otherwise(text)
 
 
 def look_alikes(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, look, form, looks): documents whose look several different strings share.
+    """(key, look, form, forms, links): documents whose look several different strings share.
 
-    look identifies the skeleton, form the string. Null texts, rows without a key, texts without a visible
-    character, and texts only met as exact copies are left out. Repeated rows are repeated.
+    look identifies the skeleton, form the string; forms: the strings of that look, links: the rows of its
+    other strings. Null texts, rows without a key, texts without a visible character, and texts only met as
+    exact copies are left out. Repeated rows are repeated.
     """
     docs = documents.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_t")).where("_t is not null and _id is not null")
-    look = skeleton_column(F.col("_t"))
+    look = consistent_form(F.col("_t"), spark)
     docs = docs.select("_id", F.sha2("_t", 256).alias("form"), look.alias("_s")).where(F.col("_s").rlike(r"\S")).select("_id", "form", F.sha2("_s", 256).alias("look"))
     stages = Stages(spark, "skeleton")
     docs = stages.keep(docs)
+    per_form = stages.keep(docs.groupBy("look", "form").agg(F.count("*").alias("n")))
+    several = per_form.groupBy("look").agg(F.count("*").alias("forms"), F.sum("n").alias("all")).where("forms > 1")
     # written tables on both sides let AQE split a look that a third of the documents share
-    forms = stages.keep(docs.select("look", "form").distinct().groupBy("look").agg(F.count("*").alias("forms")).where("forms > 1"))
-    return docs.join(forms, "look").select(F.col("_id").alias(key), "look", "form", "forms")
+    links = stages.keep(per_form.join(several, "look").select("look", "form", "forms", (F.col("all") - F.col("n")).alias("links")))
+    return docs.join(links, ["look", "form"]).select(F.col("_id").alias(key), "look", "form", "forms", "links")
 
 
 def look_alike_pairs(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,22 +4,40 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from cellmend.llm.skeleton import consistent_form, look_alike_pairs, skeleton
+from cellmend.llm.skeleton import OWN_FORM, consistent_form, forms, look_alike_letters, look_alike_pairs, look_alikes
 
 SAME = [
     ("Ｃａｆé　１２", "Café 12"), ("ｶﾞｯﾂ", "ガッツ"), ("한국", unicodedata.normalize("NFD", "한국")), ("zero​width﻿", "zerowidth"), ("soft­hyphen", "softhyphen"),
     ("a b c d　e", "a b c d e"), ("раsѕwоrd", "password"), ("ΤΟΡ", "TOP"), ("ё", "ë"), ("ộ", "ộ"), ("ο", "o"), ("Ａ－１", "A-1"),
+    ("ν ρ Ϲ ϲ", "v p C c"), ("ո ս հ Ս", "n u h U"), ("ѵ Ѵ Ӏ", "v V I"), ("ᎪᏴᏟ ꮃꮪ", "ABC ws"), ("ꓐꓑꓲ", "BPI"), ("ⲞⲢⲤ ⲟⲣⲥ", "OPC opc"), ("ГПФ", "ΓΠΦ"), ("a\x00b\x7fc\x1b", "abc"), ("a\u2028b", "a\nb"), ("a\u2800b", "a b"),
+    ("x\U000e0001y", "xy"), ("Ή", "Ή".replace("Η", "H")), ("Ϳ", "J"),
 ]
-DIFFERENT = [("A", "a"), ("é", "e"), ("x²", "x2"), ("①", "1"), ("½", "1/2"), ("a b", "a  b"), ("–", "-"), ("a.", "a"), ("ﬁ", "fi"), ("ß", "ss"), ("1", "l"), ("0", "O"), ("σ", "o"), ("か", "が"), ("ツ", "ッ")]
+DIFFERENT = [("A", "a"), ("é", "e"), ("x²", "x2"), ("①", "1"), ("½", "1/2"), ("a b", "a  b"), ("–", "-"), ("a.", "a"), ("ﬁ", "fi"), ("ß", "ss"), ("1", "l"), ("0", "O"), ("σ", "o"), ("か", "が"), ("ツ", "ッ"), ("\u06001", "1"), ("\u06dd1", "1"), ("\u070fa", "a"), ("\u08e2a", "a"), ("\U000110bda", "a"), ("a\tb", "a b"), ("a\nb", "a b"),
+    ("α", "a"), ("γ", "y"), ("г", "r"), ("ι", "i"), ("З", "3"), ("б", "6"), ("Һ", "һ"), ("К", "к")]
 
 
-def test_pairs_of_characters():
+def test_pairs_of_characters(spark):
+    letters = tuple(sorted(look_alike_letters(spark).items()))
+    form = lambda t: forms([t], letters)[0]
     for a, b in SAME:
-        assert skeleton(a) == skeleton(b), (a, b)
+        assert form(a) == form(b), (a, b)
     for a, b in DIFFERENT:
-        assert skeleton(a) != skeleton(b), (a, b)
+        assert form(a) != form(b), (a, b)
     for a, _ in SAME + DIFFERENT:
-        assert skeleton(skeleton(a)) == skeleton(a)
+        assert form(form(a)) == form(a)
+    assert forms([a for a, _ in SAME], letters) == [form(a) for a, _ in SAME] and forms([], letters) == [] and forms(["", "a", ""], letters) == ["", "a", ""]
+    assert 150 < len(letters) < 400
+
+
+def test_texts_that_stay_in_the_jvm_are_their_own_form(spark):
+    import regex
+
+    letters = tuple(sorted(look_alike_letters(spark).items()))
+    own = [c for c in map(chr, range(0x10000)) if regex.match(f"[{OWN_FORM}]", c)]
+    assert len(own) > 30_000
+    whole = "".join(own)  # none of them changes, nor composes with the one before it
+    assert forms([whole, whole[::-1]], letters) == [whole, whole[::-1]]
+    assert not any(unicodedata.combining(c) for c in own)
 
 
 def test_pairs_of_documents(spark):
@@ -28,5 +46,7 @@ def test_pairs_of_documents(spark):
     got = sorted(map(tuple, look_alike_pairs(spark, df).collect()))
     assert got == [(0, 2), (0, 3), (1, 2), (1, 3), (2, 3), (10, 11)]
     assert look_alike_pairs(spark, df.where("false")).collect() == []
+    classes = {r.doc_id: (r.forms, r.links) for r in look_alikes(spark, df).collect()}
+    assert classes == {0: (3, 2), 1: (3, 2), 2: (3, 3), 3: (3, 3), 10: (2, 1), 11: (2, 1)}
     forms = {r.doc_id: r.f for r in df.select("doc_id", consistent_form(F.col("text")).alias("f")).collect()}
     assert forms[0] == forms[2] == forms[3] == "plain text" and forms[10] == forms[11] == "é" * 50_000 and forms[5] is None and forms[6] == ""
