@@ -6,9 +6,9 @@ are the roots of its characteristic polynomial over the field of 2**61 - 1, and
 away of a bucket is its row count and the values of that polynomial at a few sample points. The ratio
 of the two copies' values is a rational function in which everything common cancels; interpolating it
 gives the polynomials of what only one copy has. Two further sample points verify it. A bucket that
-does not verify is sketched again with twice the degree bound, until it does or until a sketch would
-be no smaller than the bucket's own elements, which are then listed. Only the rows whose elements are
-roots (or that were listed) are fetched, and their fields compared as they are.
+does not verify is sketched again with twice the degree bound, until it does: a bound above the number of
+its elements always does. Only the rows whose elements are roots are fetched, and their fields compared
+as they are. On request (`largest_bound`) buckets that a bound has not verified are listed instead.
 
 Cost: per copy one aggregation over 32 bytes a row, one pass of field arithmetic, and a fetch of the
 rows that differ. Copies whose buckets agree never exchange their rows.
@@ -17,7 +17,7 @@ rows that differ. Copies whose buckets agree never exchange their rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +70,9 @@ def _sketcher(side: int, zs: list[int]) -> Callable:
     return run
 
 
+_basis = lru_cache(8)(lambda zs: gf.basis(list(zs)))
+
+
 def _reconcile_group(bucket: np.ndarray, side: np.ndarray, n: np.ndarray, values: np.ndarray, zs: list[int], last: bool):
     """Rows (bucket, state, p, q) of the buckets that differ or are unresolved."""
     ids, at = np.unique(bucket, return_inverse=True)
@@ -90,7 +93,7 @@ def _reconcile_group(bucket: np.ndarray, side: np.ndarray, n: np.ndarray, values
     delta = counts[0] - counts[1]
     differ = np.flatnonzero((delta != 0) | (ratio != 1).any(axis=1))
     m = len(zs) - CHECKS
-    matrix, whole = gf.basis(zs[:m])
+    matrix, whole = _basis(tuple(zs[:m]))
     coefficients = np.zeros((differ.size, m), dtype=np.uint64)
     for j in range(m):
         coefficients = gf.add(coefficients, gf.mul(ratio[differ, j][:, None], matrix[j][None, :]))
@@ -103,7 +106,7 @@ def _reconcile_group(bucket: np.ndarray, side: np.ndarray, n: np.ndarray, values
             ):
                 yield int(ids[i]), "roots", p, q
                 continue
-        yield int(ids[i]), "list" if last or 2 * m >= counts[0, i] + counts[1, i] else "again", [], []
+        yield int(ids[i]), "list" if last else "again", [], []
 
 
 def _reconciler(zs: list[int], last: bool) -> Callable:
@@ -174,7 +177,7 @@ class SetReconciliation:
     do no harm. An empty copy makes every key of the other one missing.
     """
 
-    def __init__(self, spark: SparkSession, rows_per_bucket: int = 64, degree_bound: int = 16, largest_bound: int = 256):
+    def __init__(self, spark: SparkSession, rows_per_bucket: int = 64, degree_bound: int = 16, largest_bound: int | None = None):
         self.spark, self.rows_per_bucket, self.degree_bound, self.largest_bound = spark, rows_per_bucket, degree_bound, largest_bound
 
     def _prepared(self, df: DataFrame, keys: dict[str, Column], fields: dict[str, Column], order: str) -> DataFrame:
@@ -202,7 +205,7 @@ class SetReconciliation:
 
         m, todo, found = self.degree_bound, None, []
         while True:
-            last = 2 * m > self.largest_bound
+            last = self.largest_bound is not None and 2 * m > self.largest_bound
             zs = gf.points(m + CHECKS)
             sketches = [(df if todo is None else df.join(todo, "bucket", "left_semi")).select("bucket", "element").mapInArrow(_sketcher(s, zs), _SKETCH) for s, df in enumerate(latest)]
             whole = sketches[0].unionByName(sketches[1]).repartition(width, "bucket").sortWithinPartitions("bucket")

@@ -90,6 +90,9 @@ def test_few_differences(spark):
 def test_many_differences_double_the_bound_and_list(spark):
     first, second = _copies(600, 4, 0.6)
     assert _run(spark, first, second, degree_bound=4, largest_bound=32) == _plain(first, second)
+    # without a largest bound every bucket goes on until its polynomials verify, up to all of its rows
+    assert _run(spark, first, second, degree_bound=4) == _plain(first, second)
+    assert _run(spark, first, [], degree_bound=4, rows_per_bucket=40) == _plain(first, [])
 
 
 def test_empty_copies_and_repeated_rows(spark):
