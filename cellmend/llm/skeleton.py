@@ -42,8 +42,8 @@ LINE_ENDS = "\x85\u2028\u2029"
 # fixed values: a character without ink that is as wide as a letter
 EMPTY_PATTERN = "\u2800"
 
-#: characters that are their own form and compose with none: texts of these alone stay in the JVM
-OWN_FORM = r"\t-\r -~\u00a1-\u00ac\u00ae-\u02af\u1e00-\u1eff\u2010-\u2027\u2030-\u205e\u3001-\u3029\u3041-\u3096\u309d-\u30fe\u4e00-\u9fff\uac00-\ud7a3"
+#: controls that show nothing, in texts of ASCII alone
+ASCII_GONE = r"[\x00-\x08\x0e-\x1f\x7f]"
 GONE = np.uint32(0xFFFFFFFF)
 
 
@@ -114,7 +114,7 @@ def forms(texts: list[str], letters: tuple[tuple[str, str], ...]) -> list[str]:
 def consistent_form(text: Column, spark: SparkSession | None = None) -> Column:
     """The skeleton of each text, composed: equal for texts that look the same, and itself a text that looks like them; null for null.
 
-    Texts of characters that are their own form are their own and don't travel to Python.
+    ASCII texts without controls are their own and don't travel to Python.
     """
     letters = tuple(sorted(look_alike_letters(spark or SparkSession.getActiveSession()).items()))
 
@@ -125,7 +125,7 @@ def consistent_form(text: Column, spark: SparkSession | None = None) -> Column:
         out[there] = forms(values[there].tolist(), letters)
         return pd.Series(out)
 
-    other = text.rlike(f"[^{OWN_FORM}]")
+    other = (F.length(text) != F.octet_length(text)) | text.rlike(ASCII_GONE)
     return F.when(other, of(F.when(other, text))).otherwise(text)
 
 

@@ -4,7 +4,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from cellmend.llm.skeleton import OWN_FORM, consistent_form, forms, look_alike_letters, look_alike_pairs, look_alikes
+from cellmend.llm.skeleton import consistent_form, forms, look_alike_letters, look_alike_pairs, look_alikes
 
 SAME = [
     ("Ｃａｆé　１２", "Café 12"), ("ｶﾞｯﾂ", "ガッツ"), ("한국", unicodedata.normalize("NFD", "한국")), ("zero​width﻿", "zerowidth"), ("soft­hyphen", "softhyphen"),
@@ -29,15 +29,10 @@ def test_pairs_of_characters(spark):
     assert 150 < len(letters) < 400
 
 
-def test_texts_that_stay_in_the_jvm_are_their_own_form(spark):
-    import regex
-
-    letters = tuple(sorted(look_alike_letters(spark).items()))
-    own = [c for c in map(chr, range(0x10000)) if regex.match(f"[{OWN_FORM}]", c)]
-    assert len(own) > 30_000
-    whole = "".join(own)  # none of them changes, nor composes with the one before it
-    assert forms([whole, whole[::-1]], letters) == [whole, whole[::-1]]
-    assert not any(unicodedata.combining(c) for c in own)
+def test_ascii_texts_with_and_without_controls(spark):
+    texts = ["plain", "a\x00b", "tab\tend\r\n", "\x1b[0m", "", None, "\x7f"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    assert [r.f for r in df.select("i", consistent_form(F.col("text")).alias("f")).orderBy("i").collect()] == ["plain", "ab", "tab\tend\r\n", "[0m", "", None, ""]
 
 
 def test_pairs_of_documents(spark):
