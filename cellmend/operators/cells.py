@@ -22,7 +22,10 @@ def unpivot(table: DataFrame, row: str, columns: list[str], value: str) -> DataF
 
 
 def cell_pairs(dirty: DataFrame, clean: DataFrame, row: str, columns: list[str], suite: str, dataset: str, clean_columns: list[str] | None = None) -> DataFrame:
-    """All cells with their dirty and clean value. Columns meet by position, so the clean ones may have other names."""
+    """All cells of rows that both tables hold, with their dirty and clean value; `unpaired_rows` gives the others.
+
+    Columns meet by position, so the clean ones may have other names.
+    """
     names = clean_columns or columns
     both = dirty.select(F.col(row).alias("row_idx"), F.struct(*columns).alias("d")).join(clean.select(F.col(row).alias("row_idx"), F.struct(*names).alias("c")), "row_idx")
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
@@ -31,6 +34,13 @@ def cell_pairs(dirty: DataFrame, clean: DataFrame, row: str, columns: list[str],
     return cells.withColumn("cell_id", cell_id(F.col("suite"), F.col("dataset"), F.col("row_idx"), F.col("col_idx")))
 
 
+def unpaired_rows(dirty: DataFrame, clean: DataFrame, row: str) -> DataFrame:
+    """(row_idx, held_by): rows that only the dirty or only the clean table holds. Two tables that pair up give none."""
+    side = lambda df, name: df.select(F.col(row).alias("row_idx")).distinct().withColumn(name, F.lit(True))
+    both = side(dirty, "d").join(side(clean, "c"), "row_idx", "full_outer").where("d is null or c is null")
+    return both.select("row_idx", F.when(F.col("c").isNull(), "dirty").otherwise("clean").alias("held_by"))
+
+
 def errors(pairs: DataFrame) -> DataFrame:
     """Cells whose two values are not the same string."""
     return pairs.where("dirty_value <> clean_value")

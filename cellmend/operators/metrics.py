@@ -31,14 +31,15 @@ def summarize(records: DataFrame, valid: Column, correct: Column, series: list[s
     return per.withColumn("scope", F.lit("dataset")).select(*names).unionByName(micro).unionByName(macro)
 
 
-def deltas(summary: DataFrame, baseline: str, fields: list[str]) -> DataFrame:
-    """Every row of another method with the baseline's value of the same scope and data set, and the difference.
+def deltas(summary: DataFrame, baseline: str, fields: list[str], dims: tuple[str, ...] = ("scenario", "backend", "budget_share", "group_size_variant")) -> DataFrame:
+    """Every row of another method with the baseline's value of its slice and place, and the difference.
 
-    The baseline has one slice per place here; places it lacks give no row.
+    The baseline's slice is the one with equal dimensions, else that of the place where all its slices there
+    agree, see matched_baseline; rows without either are left out, so no row is ever repeated.
     """
-    place = ["scope", "suite", "dataset"]
-    base = summary.where(F.col("method_name") == baseline).select(*place, *(F.col(f).alias(f"baseline_{f}") for f in fields))
-    other = summary.where(F.col("method_name") != baseline).join(base, place)
+    place, method = ["scope", "suite", "dataset"], F.col("method_name") == baseline
+    dims = [c for c in dims if c in summary.columns]
+    other = matched_baseline(summary.where(~method), summary.where(method), place, dims, fields).where(F.col("state").isin("exact", "place")).drop("state")
     return other.select("*", *((F.col(f) - F.col(f"baseline_{f}")).alias(f"{f}_delta") for f in fields))
 
 

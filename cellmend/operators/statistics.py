@@ -43,9 +43,9 @@ def mcnemar(n10: Column, n01: Column) -> Column:
 
 
 def percentile_interval(samples, confidence: float = 0.95) -> tuple[float, float]:
-    """Central interval by linear interpolation; NaN samples don't count."""
+    """Central interval by linear interpolation; samples that aren't finite don't count."""
     s = np.asarray(samples, dtype=float)
-    s = s[~np.isnan(s)]
+    s = s[np.isfinite(s)]
     if not s.size:
         return math.nan, math.nan
     return tuple(float(x) for x in np.quantile(s, [(1 - confidence) / 2, (1 + confidence) / 2]))

@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellmend.functions.scalars import normalize_value
+from cellmend.session import Stages
 
 
-def read_csv(spark: SparkSession, path: str, normalize: bool = True, row: str | None = "row_idx") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, normalize: bool = True, row: str | None = "row_idx", multi_line: bool = True) -> DataFrame:
     """All columns as texts, no value taken for a null, a byte order mark ignored, values normalised.
 
     `row` gets the position of each line. It is exact for one file; of several files it is the order of
     their names. Positions come from counts per input partition, not from sorting all rows in one task.
+    multi_line: values may hold line feeds, for which a file is read by one task; without it, files are cut.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "\0").csv(path)
+    raw = spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line).option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "\0").csv(path)
     names = [c.lstrip("﻿") for c in raw.columns]
     df = raw.toDF(*names)
     df = df.select(*((normalize_value(F.col(f"`{c}`")) if normalize else F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in names))
@@ -27,6 +29,7 @@ def read_csv(spark: SparkSession, path: str, normalize: bool = True, row: str |
 def with_positions(df: DataFrame, name: str) -> DataFrame:
     """Dense positions in the order of partitions: the offset of a partition is the sum of the counts before it."""
     tagged = df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    tagged = Stages(df.sparkSession, "positions").keep(tagged)  # numbers are given once
     counts = tagged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("_low"))
     # one row per input partition
     offsets = counts.select("_part", "_low", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_offset"))
@@ -47,20 +50,45 @@ def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType,
     return read.select("r.*").select(*wanted.fieldNames())
 
 
+def _replace(spark: SparkSession, new: str, path: str) -> None:
+    """Puts a written folder in the place of another, which goes once the new one stands."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    files, old = at(path).getFileSystem(conf), at(f"{path.rstrip('/')}.old")
+    files.delete(old, True)
+    if files.exists(at(path)) and not files.rename(at(path), old):
+        raise OSError(f"{path} can't be moved")
+    if not files.rename(at(new), at(path)):
+        raise OSError(f"{new} can't take the place of {path}")
+    files.delete(old, True)
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
-    """Whole or not at all (the committer renames), columns in sorted order."""
-    df.select(*sorted(df.columns)).write.mode("overwrite").json(path)
+    """Whole or not at all, columns in sorted order: what stood there before stands until the new lines are written."""
+    new = f"{path.rstrip('/')}.new"
+    df.select(*sorted(df.columns)).write.mode("overwrite").json(new)
+    _replace(df.sparkSession, new, path)
 
 
 def append_ledger(df: DataFrame, path: str, batch: str) -> None:
-    """Adds rows with their batch and a row_index that grows within it."""
-    df.withColumns({"batch_id": F.lit(batch), "row_index": F.monotonically_increasing_id()}).write.mode("append").parquet(path)
+    """Adds rows with their batch and a row_index that goes on from the largest one in the ledger."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        last = df.sparkSession.read.parquet(path).agg(F.max("row_index")).first()[0]
+    except AnalysisException:  # there is none yet
+        last = None
+    numbered = with_positions(df, "_position").withColumn("row_index", F.col("_position").cast("long") + ((last if last is not None else -1) + 1)).drop("_position")
+    numbered.withColumn("batch_id", F.lit(batch)).write.mode("append").parquet(path)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of every file below a folder that holds at least a byte; the reader passes over empty files."""
+    """(path, bytes, sha256) of every file below a folder. Empty files, which the reader passes over, come from its list of files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(plain("path").alias("path"))
+    held = files.select(plain("path").alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return listed.join(held, "path", "left").select("path", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("sha256"))
 
 
 def manifest_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -26,20 +26,23 @@ def test_json_lines(spark, tmp_path):
     with pytest.raises(Exception, match="not an object"):
         files.read_json_lines(spark, str(p), "a int, b string").collect()
     out = str(tmp_path / "out")
+    files.write_json_lines(spark.range(3), out)
     files.write_json_lines(spark.createDataFrame([(1, "y")], "b int, a string"), out)
     assert json.loads(spark.read.text(out).first()[0]) == {"a": "y", "b": 1}
     ledger = str(tmp_path / "ledger")
     for b in ("b1", "b2"):
         files.append_ledger(spark.range(3).coalesce(1), ledger, b)
-    assert sorted((r.batch_id, r.row_index) for r in spark.read.parquet(ledger).collect()) == [(b, i) for b in ("b1", "b2") for i in range(3)]
+    assert sorted((r.batch_id, r.row_index) for r in spark.read.parquet(ledger).collect()) == [(b, i) for b, low in (("b1", 0), ("b2", 3)) for i in range(low, low + 3)]
 
 
 def test_manifest_and_rules(spark, tmp_path):
     (tmp_path / "f" / "g").mkdir(parents=True)
     (tmp_path / "f" / "a").write_bytes(b"one")
     (tmp_path / "f" / "g" / "b").write_bytes(b"two")
+    (tmp_path / "f" / "g" / "empty").write_bytes(b"")
     m = files.manifest(spark, str(tmp_path / "f")).collect()
     before = spark.createDataFrame(m)
+    assert {r.path.rpartition("/")[2]: (r.bytes, r.sha256[:8]) for r in m}["empty"] == (0, "e3b0c442") and len(m) == 3
     (tmp_path / "f" / "a").write_bytes(b"eno")
     (tmp_path / "f" / "g" / "b").unlink()
     (tmp_path / "f" / "c").write_bytes(b"new")
