@@ -6,20 +6,11 @@ from pyspark.sql import functions as F
 
 from cellmend.operators import audit, metrics
 from cellmend.plans import repair as R
+from cellmend.operators.deliveries import canonical_digest
+from cellmend.plans.registry import register
 from cellmend.sources.tables import table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = register()
 
 
 _OK = "coalesce(parse_status,'') LIKE 'ok%'"
@@ -89,22 +80,22 @@ def top_tenth_uplift(spark, d):
     return e.groupBy("suite").agg(F.count("*").alias("top_pairs"), F.round(F.avg(F.col("l") - F.col("b")), 9).alias("top_uplift"))
 
 
-@query("SELECT model_requested, status, count(*) calls, count(DISTINCT lower(trim(query_id))) queries, round(avg(latency_seconds),6) mean_latency FROM group_checkpoint GROUP BY ALL")
+@query("SELECT model_requested, status, count(*) calls, count(DISTINCT @query_id) queries, round(avg(latency_seconds),6) mean_latency FROM group_checkpoint GROUP BY ALL")
 def model_identity_audit(spark, d):
-    return table(spark, d, "group_checkpoint").groupBy("model_requested", "status").agg(F.count("*").alias("calls"), F.countDistinct(F.lower(F.trim("query_id"))).alias("queries"), F.round(F.avg("latency_seconds"), 6).alias("mean_latency"))
+    return table(spark, d, "group_checkpoint").groupBy("model_requested", "status").agg(F.count("*").alias("calls"), F.countDistinct(canonical_digest(F.col("query_id"))).alias("queries"), F.round(F.avg("latency_seconds"), 6).alias("mean_latency"))
 
 
-@query("SELECT lower(trim(query_id)) q, count(DISTINCT suite||':'||dataset) n_owner FROM group_checkpoint WHERE query_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT suite||':'||dataset) > 1")
+@query("SELECT @query_id q, count(DISTINCT suite||':'||dataset) n_owner FROM group_checkpoint WHERE query_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT suite||':'||dataset) > 1")
 def owner_purity(spark, d):
-    t = table(spark, d, "group_checkpoint").where("query_id is not null").select(F.lower(F.trim("query_id")).alias("q"), F.concat("suite", F.lit(":"), "dataset").alias("owner"))
+    t = table(spark, d, "group_checkpoint").where("query_id is not null").select(canonical_digest(F.col("query_id")).alias("q"), F.concat("suite", F.lit(":"), "dataset").alias("owner"))
     return audit.more_than_one(t, ["q"], ["owner"])
 
 
-@query("SELECT q, missing, extra FROM (SELECT lower(trim(query_id)) q, max(len(cell_ids)) - min(len(cell_ids)) missing, count(DISTINCT array_to_string(list_sort(cell_ids), ',')) - 1 extra FROM group_checkpoint WHERE query_id IS NOT NULL AND cell_ids IS NOT NULL GROUP BY 1) WHERE extra > 0")
+@query("SELECT q, missing, extra FROM (SELECT @query_id q, max(len(cell_ids)) - min(len(cell_ids)) missing, count(DISTINCT array_to_string(list_sort(cell_ids), ',')) - 1 extra FROM group_checkpoint WHERE query_id IS NOT NULL AND cell_ids IS NOT NULL GROUP BY 1) WHERE extra > 0")
 def membership_drift(spark, d):
     """Queries whose deliveries name different sets of cells."""
     t = table(spark, d, "group_checkpoint").where("query_id is not null and cell_ids is not null")
-    x = t.groupBy(F.lower(F.trim("query_id")).alias("q")).agg((F.max(F.size("cell_ids")) - F.min(F.size("cell_ids"))).cast("long").alias("missing"), (F.countDistinct(F.array_join(F.array_sort("cell_ids"), ",")) - 1).alias("extra"))
+    x = t.groupBy(canonical_digest(F.col("query_id")).alias("q")).agg((F.max(F.size("cell_ids")) - F.min(F.size("cell_ids"))).cast("long").alias("missing"), (F.countDistinct(F.array_join(F.array_sort("cell_ids"), ",")) - 1).alias("extra"))
     return x.where("extra > 0")
 
 

@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellmend.functions import scalars as S
 from cellmend.operators import audit, cells, gate, grouping, ledger, metrics, profiles, rules, selection, statistics, verify
 from cellmend.plans import overlays as O
+from cellmend.operators.deliveries import canonical_digest
+from cellmend.plans.registry import register
 from cellmend.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = register()
 
 
 def _with(cte: str, rest: str) -> str:
@@ -218,11 +207,14 @@ def final_records(spark, d):
 
 # ---- ledgers
 
-_CP = "lower(trim(query_id))"
+_CP = "@query_id"
 
 
 def _checkpoint(spark, d):
-    return table(spark, d, "group_checkpoint").where("query_id is not null").withColumn("q", F.lower(F.trim("query_id")))
+    """Deliveries with a query, digests in one form; a blank request hash is none."""
+    own = {c: canonical_digest(F.col(c)) for c in ("prompt_hash", "provider_request_hash")}
+    own["provider_request_hash"] = F.when(own["provider_request_hash"] != "", own["provider_request_hash"])
+    return table(spark, d, "group_checkpoint").where("query_id is not null").withColumns({"q": canonical_digest(F.col("query_id")), **own})
 
 
 @query(f"SELECT q, delivery_id, status, attempts FROM (SELECT {_CP} q, *, row_number() OVER (PARTITION BY {_CP} ORDER BY received_at DESC NULLS LAST, delivery_id DESC) k FROM group_checkpoint WHERE query_id IS NOT NULL) WHERE k=1")
@@ -240,9 +232,9 @@ def physical_dedup(spark, d):
     return ledger.first_use(_checkpoint(spark, d).select("q", "delivery_id", "attempts", "latency_seconds"), "q", ["delivery_id"])
 
 
-@query("SELECT phase, count(*) physical_rows, count(DISTINCT lower(trim(query_id))) identities, count(DISTINCT CASE WHEN status='success' THEN lower(trim(query_id)) END) resolved, CAST(sum(attempts) AS BIGINT) attempts, CAST(sum(attempts-1) AS BIGINT) retries, count(*) FILTER (cache_hit) cache_hits, round(sum(latency_seconds), 3) latency_seconds FROM group_checkpoint GROUP BY ALL")
+@query("SELECT phase, count(*) physical_rows, count(DISTINCT @query_id) identities, count(DISTINCT CASE WHEN status='success' THEN @query_id END) resolved, CAST(sum(attempts) AS BIGINT) attempts, CAST(sum(attempts-1) AS BIGINT) retries, count(*) FILTER (cache_hit) cache_hits, round(sum(latency_seconds), 3) latency_seconds FROM group_checkpoint GROUP BY ALL")
 def api_cost_phases(spark, d):
-    t, q = table(spark, d, "group_checkpoint"), F.lower(F.trim("query_id"))
+    t, q = table(spark, d, "group_checkpoint"), canonical_digest(F.col("query_id"))
     return t.groupBy("phase").agg(F.count("*").alias("physical_rows"), F.countDistinct(q).alias("identities"), F.countDistinct(F.when(F.col("status") == "success", q)).alias("resolved"), F.sum("attempts").alias("attempts"), F.sum(F.col("attempts") - 1).alias("retries"), F.sum(F.when(F.col("cache_hit"), 1).otherwise(0)).alias("cache_hits"), F.round(F.sum("latency_seconds"), 3).alias("latency_seconds"))
 
 
@@ -254,7 +246,7 @@ def safety_debit(spark, d):
     return t.agg(known.alias("known"), unknown.alias("unknown"), (known + unknown * 1024).alias("debit"))
 
 
-@query(f"SELECT q, n_prompt_hash, n_provider_request_hash FROM (SELECT {_CP} q, count(DISTINCT prompt_hash) n_prompt_hash, count(DISTINCT provider_request_hash) n_provider_request_hash FROM group_checkpoint WHERE query_id IS NOT NULL GROUP BY 1) WHERE n_prompt_hash>1 OR n_provider_request_hash>1")
+@query(f"SELECT q, n_prompt_hash, n_provider_request_hash FROM (SELECT {_CP} q, count(DISTINCT @prompt_hash) n_prompt_hash, count(DISTINCT nullif(@provider_request_hash, '')) n_provider_request_hash FROM group_checkpoint WHERE query_id IS NOT NULL GROUP BY 1) WHERE n_prompt_hash>1 OR n_provider_request_hash>1")
 def identity_audit(spark, d):
     return audit.more_than_one(_checkpoint(spark, d), ["q"], ["prompt_hash", "provider_request_hash"])
 

@@ -9,21 +9,12 @@ from cellmend.functions import scalars as S
 from cellmend.operators import audit, cells, gate, grouping, ledger, prompts, rules, workflow
 from cellmend.plans import overlays as O
 from cellmend.session import Stages
+from cellmend.operators.deliveries import canonical_digest
+from cellmend.plans.registry import register
 from cellmend.sources.tables import table
 from cellmend.streaming import ledger as stream_ledger
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = register()
 
 
 _ACTIONS = O.BASE + """
@@ -131,16 +122,16 @@ def forbidden_text(spark, d):
 _SEG = "CASE WHEN substr(batch_id,2,2) <= '03' THEN 'early' ELSE 'late' END"
 
 
-@query(f"SELECT q, delivery_id, status, role, role='late' fresh FROM (SELECT lower(trim(query_id)) q, *, {_SEG} AS role, row_number() OVER (PARTITION BY lower(trim(query_id)) ORDER BY {_SEG} DESC, delivery_id DESC) k FROM group_checkpoint WHERE query_id IS NOT NULL) WHERE k=1".replace("ORDER BY CASE WHEN substr(batch_id,2,2) <= '03' THEN 'early' ELSE 'late' END DESC", "ORDER BY CASE WHEN substr(batch_id,2,2) <= '03' THEN 0 ELSE 1 END DESC"))
+@query(f"SELECT q, delivery_id, status, role, role='late' fresh FROM (SELECT @query_id q, *, {_SEG} AS role, row_number() OVER (PARTITION BY @query_id ORDER BY {_SEG} DESC, delivery_id DESC) k FROM group_checkpoint WHERE query_id IS NOT NULL) WHERE k=1".replace("ORDER BY CASE WHEN substr(batch_id,2,2) <= '03' THEN 'early' ELSE 'late' END DESC", "ORDER BY CASE WHEN substr(batch_id,2,2) <= '03' THEN 0 ELSE 1 END DESC"))
 def merged_ledger(spark, d):
-    t = table(spark, d, "group_checkpoint").where("query_id is not null").select(F.lower(F.trim("query_id")).alias("q"), "delivery_id", "status", "batch_id", F.col("delivery_id").alias("row_index"))
+    t = table(spark, d, "group_checkpoint").where("query_id is not null").select(canonical_digest(F.col("query_id")).alias("q"), "delivery_id", "status", "batch_id", F.col("delivery_id").alias("row_index"))
     early = F.coalesce(F.substring("batch_id", 2, 2) <= "03", F.lit(False))
     return workflow.merged_ledger([("early", t.where(early)), ("late", t.where(~early))], ["q"]).select("q", "delivery_id", "status", "role", "fresh")
 
 
-@query("WITH r AS (SELECT lower(trim(query_id)) q, max(greatest(1,length(coalesce(response_text,'')))) planned_tokens FROM group_checkpoint WHERE query_id IS NOT NULL GROUP BY 1) SELECT q, CAST(planned_tokens AS BIGINT) planned_tokens, CAST(planned_tokens*6+1024 AS BIGINT) worst_case_tokens FROM r WHERE q NOT IN (SELECT lower(trim(query_id)) FROM group_checkpoint WHERE status='success' AND query_id IS NOT NULL)")
+@query("WITH r AS (SELECT @query_id q, max(greatest(1,length(coalesce(response_text,'')))) planned_tokens FROM group_checkpoint WHERE query_id IS NOT NULL GROUP BY 1) SELECT q, CAST(planned_tokens AS BIGINT) planned_tokens, CAST(planned_tokens*6+1024 AS BIGINT) worst_case_tokens FROM r WHERE q NOT IN (SELECT @query_id FROM group_checkpoint WHERE status='success' AND query_id IS NOT NULL)")
 def retry_plan(spark, d):
-    t = table(spark, d, "group_checkpoint").where("query_id is not null").withColumn("q", F.lower(F.trim("query_id")))
+    t = table(spark, d, "group_checkpoint").where("query_id is not null").withColumn("q", canonical_digest(F.col("query_id")))
     r = t.groupBy("q").agg(F.max(F.greatest(F.lit(1), F.length(F.coalesce("response_text", F.lit(""))))).cast("long").alias("planned_tokens"))
     return workflow.retry_plan(r, t, ["q"])
 
@@ -157,19 +148,19 @@ def group_size_metrics(spark, d):
     return t.groupBy("phase").agg(F.round(F.avg("n"), 9).alias("mean_size"), F.round(F.percentile("n", 0.5), 9).alias("median_size"), F.max("n").alias("max_size"))
 
 
-@query("SELECT phase, count(*) physical, CAST(sum(attempts) AS BIGINT) attempts, CAST(sum(cells) AS BIGINT) logical_cells FROM (SELECT phase, q, arg_min(attempts, delivery_id) attempts, arg_min(coalesce(len(cell_ids),0), delivery_id) cells FROM (SELECT *, lower(trim(query_id)) q FROM group_checkpoint WHERE query_id IS NOT NULL) GROUP BY ALL) GROUP BY ALL")
+@query("SELECT phase, count(*) physical, CAST(sum(attempts) AS BIGINT) attempts, CAST(sum(cells) AS BIGINT) logical_cells FROM (SELECT phase, q, arg_min(attempts, delivery_id) attempts, arg_min(coalesce(len(cell_ids),0), delivery_id) cells FROM (SELECT *, @query_id q FROM group_checkpoint WHERE query_id IS NOT NULL) GROUP BY ALL) GROUP BY ALL")
 def arm_costs(spark, d):
-    t = table(spark, d, "group_checkpoint").where("query_id is not null").select("phase", F.lower(F.trim("query_id")).alias("q"), "delivery_id", "attempts", F.coalesce(F.size("cell_ids"), F.lit(0)).alias("cells"))
+    t = table(spark, d, "group_checkpoint").where("query_id is not null").select("phase", canonical_digest(F.col("query_id")).alias("q"), "delivery_id", "attempts", F.coalesce(F.size("cell_ids"), F.lit(0)).alias("cells"))
     t = t.withColumn("cells", F.greatest(F.lit(0), "cells"))
     per = t.groupBy("phase", "q").agg(F.min_by("attempts", "delivery_id").alias("attempts"), F.min_by("cells", "delivery_id").alias("cells"))
     return per.groupBy("phase").agg(F.count("*").alias("physical"), F.sum("attempts").alias("attempts"), F.sum("cells").alias("logical_cells"))
 
 
-@query("SELECT q, ok, failed, contents, CASE WHEN contents>1 THEN 'conflict' WHEN ok>0 AND failed>0 THEN 'recovered' WHEN ok>0 THEN 'success' ELSE 'failed' END state FROM (SELECT lower(trim(query_id)) q, count(*) FILTER (status='success') ok, count(*) FILTER (status IS DISTINCT FROM 'success') failed, count(DISTINCT CASE WHEN status='success' THEN sha256(response_text) END) contents FROM group_checkpoint WHERE query_id IS NOT NULL GROUP BY 1)")
+@query("SELECT q, ok, failed, contents, CASE WHEN contents>1 THEN 'conflict' WHEN ok>0 AND failed>0 THEN 'recovered' WHEN ok>0 THEN 'success' ELSE 'failed' END state FROM (SELECT @query_id q, count(*) FILTER (status='success') ok, count(*) FILTER (status IS DISTINCT FROM 'success') failed, count(DISTINCT CASE WHEN status='success' THEN sha256(response_text) END) contents FROM group_checkpoint WHERE query_id IS NOT NULL GROUP BY 1)")
 def cache_union_audit(spark, d):
     t = table(spark, d, "group_checkpoint").where("query_id is not null")
     ok = F.coalesce(F.col("status") == "success", F.lit(False))
-    x = t.groupBy(F.lower(F.trim("query_id")).alias("q")).agg(F.sum(ok.cast("int")).alias("ok"), F.sum((~ok).cast("int")).alias("failed"), F.countDistinct(F.when(ok, F.sha2("response_text", 256))).alias("contents"))
+    x = t.groupBy(canonical_digest(F.col("query_id")).alias("q")).agg(F.sum(ok.cast("int")).alias("ok"), F.sum((~ok).cast("int")).alias("failed"), F.countDistinct(F.when(ok, F.sha2("response_text", 256))).alias("contents"))
     return x.withColumn("state", F.when(F.col("contents") > 1, "conflict").when((F.col("ok") > 0) & (F.col("failed") > 0), "recovered").when(F.col("ok") > 0, "success").otherwise("failed"))
 
 
@@ -229,14 +220,15 @@ def random_partition(spark, d):
     return workflow.random_partner(b.select("ds", "column_name", "block", "member_index", "sample_id"), ["ds", "column_name"], 42)
 
 
-@query("SELECT DISTINCT lower(trim(query_id)) q, lower(trim(coalesce(prompt_hash,''))) p FROM group_checkpoint WHERE query_id IS NOT NULL")
+@query("SELECT @query_id q, coalesce(@prompt_hash, '') p, min(delivery_id) delivery_id FROM group_checkpoint WHERE query_id IS NOT NULL GROUP BY ALL")
 def streamed_ledger(spark, d):
     """The checkpoint's answers arriving as a stream of files, each query and prompt taken once."""
     base = Stages(spark, "stream").base
-    t = table(spark, d, "group_checkpoint").where("query_id is not null").select(F.lower(F.trim("query_id")).alias("q"), F.lower(F.trim(F.coalesce("prompt_hash", F.lit("")))).alias("p"), "delivery_id")
-    t.write.parquet(f"{base}/in")
+    t = table(spark, d, "group_checkpoint").where("query_id is not null").select(canonical_digest(F.col("query_id")).alias("q"), F.coalesce(canonical_digest(F.col("prompt_hash")), F.lit("")).alias("p"), "delivery_id")
+    # files in the order of their deliveries, as they would arrive
+    t.repartitionByRange("delivery_id").sortWithinPartitions("delivery_id").write.parquet(f"{base}/in")
     stream_ledger.ingest(spark, f"{base}/in", t.schema, f"{base}/ledger", f"{base}/state", ["q", "p"], "delivery_id").awaitTermination()
-    return spark.read.parquet(f"{base}/ledger").select("q", "p")
+    return spark.read.parquet(f"{base}/ledger").select("q", "p", "delivery_id")
 
 
 @query("WITH a AS (SELECT cell_id, arg_max({'p': prediction, 's': parse_status}, row_index) r FROM final_records WHERE method_name='base_repair' GROUP BY 1), b AS (SELECT cell_id, arg_max({'p': prediction, 's': parse_status}, row_index) r FROM final_records WHERE method_name='llm_only' GROUP BY 1) SELECT cell_id, 'prediction' field, a.r.p AS \"before\", b.r.p AS \"after\" FROM a JOIN b USING (cell_id) WHERE a.r.p IS DISTINCT FROM b.r.p UNION ALL SELECT cell_id, 'parse_status', a.r.s, b.r.s FROM a JOIN b USING (cell_id) WHERE a.r.s IS DISTINCT FROM b.r.s")
