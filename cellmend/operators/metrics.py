@@ -81,6 +81,39 @@ def complementarity_rates(q: DataFrame) -> DataFrame:
     return q.withColumns({"base_accuracy": r(a + b), "llm_accuracy": r(a + c), "union_accuracy": r(a + b + c), "rescue_rate": r(c), "harm_rate": r(b), "disagreement": r(b + c), "net": r(c - b)})
 
 
+def complementarity_full(cells: DataFrame, family: str, base: Column, llm: Column, valid: Column) -> DataFrame:
+    """Quadrants and eleven rates per data set, suite, family, over all cells (micro) and as means of data sets (macro).
+
+    One pass over the cells; a rate whose divisor is 0 is null and doesn't count in a mean.
+    """
+    n = lambda c: F.sum(c.cast("int"))
+    per = cells.groupBy("suite", "dataset", family).agg(n(base & llm).alias("n11"), n(base & ~llm).alias("n10"), n(~base & llm).alias("n01"), n(~base & ~llm).alias("n00"), n(valid).alias("valid"))
+    every, counts = F.lit("ALL"), [*QUADRANTS, "valid"]
+
+    def level(scope: str, suite: Column, dataset: Column) -> DataFrame:
+        return per.groupBy(F.lit(scope).alias("scope"), suite.alias("suite"), dataset.alias("dataset")).agg(*(F.sum(c).alias(c) for c in counts))
+
+    c = level("dataset", F.col("suite"), F.col("dataset")).unionByName(level("suite", F.col("suite"), every)).unionByName(level("family", every, F.col(family))).unionByName(level("micro", every, F.lit("MICRO")))
+    n11, n10, n01, n00, ok = (F.col(x) for x in counts)
+    whole = n11 + n10 + n01 + n00
+    ratio = lambda top, under: F.when(under != 0, top / under)
+    rates = {
+        "base_accuracy": ratio(n11 + n10, whole), "llm_accuracy": ratio(n11 + n01, whole), "union_accuracy": ratio(n11 + n10 + n01, whole), "union_minus_base": ratio(n01, whole), "union_minus_best": ratio(F.least(n10, n01), whole),
+        "llm_salvage_rate": ratio(n01, n01 + n00), "base_rescue_rate": ratio(n10, n10 + n00), "disagreement_rate": ratio(n10 + n01, whole), "llm_precision": ratio(n11 + n01, ok), "llm_recall": ratio(n11 + n01, whole),
+    }
+    p, r = F.col("llm_precision"), F.col("llm_recall")
+    full = c.withColumns(rates).withColumn("llm_f1", F.when(p.isNotNull() & (p + r > 0), 2 * p * r / (p + r)).otherwise(0.0))
+    names = [*rates, "llm_f1"]
+    macro = full.where("scope = 'dataset'").agg(*(F.sum(x).alias(x) for x in counts), *(F.avg(x).alias(x) for x in names)).select(F.lit("macro").alias("scope"), every.alias("suite"), F.lit("MACRO").alias("dataset"), *counts, *names)
+    return full.unionByName(macro).select("scope", "suite", "dataset", *counts, *(F.round(x, 9).alias(x) for x in names))
+
+
+def cluster_matrix(records: DataFrame, keys: list[str], cluster: Column, series: str, valid: Column, right: Column, cell: str = "cell_id") -> DataFrame:
+    """(keys, cluster, series, cells, valid, correct): of a cell's rows in one series any valid or right one counts."""
+    per = records.groupBy(*keys, cluster.alias("cluster"), series, cell).agg(F.max(valid).alias("v"), F.max(right).alias("r"))
+    return per.groupBy(*keys, "cluster", series).agg(F.count("*").alias("cells"), F.sum(F.col("v").cast("int")).alias("valid"), F.sum(F.col("r").cast("int")).alias("correct"))
+
+
 def average_precision(scored: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """Step-wise area under precision and recall, equal scores taken together, with prevalence and the Brier score."""
     per = scored.groupBy(*keys, score).agg(F.sum(label).alias("p"), F.count("*").alias("n"), F.sum((F.col(score) - F.col(label)) ** 2).alias("se"))
