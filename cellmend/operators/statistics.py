@@ -184,9 +184,9 @@ def paired_bootstrap(matrix: DataFrame, keys: list[str], cluster: str, series: s
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(pdf[series].unique())
-        empty = pd.DataFrame({**{k: [] for k in keys}, series: [], "f1_sample": [], "recall_sample": [], "f1_delta": [], "recall_delta": []})
         if base not in names or len(names) < 2:
-            return empty
+            none = pdf[[*keys, series]].head(0)
+            return none.assign(**{c: pd.Series(dtype=float) for c in ("f1_sample", "recall_sample", "f1_delta", "recall_delta")})
         wide = {c: pdf.pivot(index=cluster, columns=series, values=c).sort_index()[names] for c in ("cells", "valid", "correct")}
         cells = wide["cells"].max(axis=1).to_numpy(dtype=float)
         valid, correct = (wide[c].fillna(0).to_numpy(dtype=float) for c in ("valid", "correct"))
@@ -196,8 +196,12 @@ def paired_bootstrap(matrix: DataFrame, keys: list[str], cluster: str, series: s
         p, r = np.divide(right, ok, out=np.zeros_like(right), where=ok > 0), right / whole
         f = np.divide(2 * p * r, p + r, out=np.zeros_like(p), where=p + r > 0)
         at = names.index(base)
-        parts = [pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, series: s, "f1_sample": f1[:, i], "recall_sample": recall[:, i], "f1_delta": f[i] - f[at], "recall_delta": r[i] - r[at]}) for i, s in enumerate(names) if i != at]
-        return pd.concat(parts)
+        other = [i for i in range(len(names)) if i != at]
+        each = len(f1)
+        return pd.DataFrame({
+            **{k: [pdf[k].iloc[0]] * (each * len(other)) for k in keys}, series: [names[i] for i in other for _ in range(each)], "f1_sample": f1[:, other].T.ravel(), "recall_sample": recall[:, other].T.ravel(),
+            "f1_delta": np.repeat(f[other] - f[at], each), "recall_delta": np.repeat(r[other] - r[at], each),
+        })
 
     samples = _spread(per, keys, replicates).groupBy(*keys, "_chunk").applyInPandas(run, _schema(per, keys, rest))
     x, n = F.col("f1_sample"), F.count("*")
