@@ -119,13 +119,13 @@ def forbidden_text(spark, d):
     return table(spark, d, "documents").select("doc_id", prompts.text_leaks(F.coalesce("text", F.lit(""))).alias("leaks"))
 
 
-_SEG = "CASE WHEN substr(batch_id,2,2) <= '03' THEN 'early' ELSE 'late' END"
+_SEG = "CASE WHEN hour(received_at) < 12 THEN 0 ELSE 1 END"
 
 
-@query(f"SELECT q, delivery_id, status, role, role='late' fresh FROM (SELECT @query_id q, *, {_SEG} AS role, row_number() OVER (PARTITION BY @query_id ORDER BY {_SEG} DESC, delivery_id DESC) k FROM group_checkpoint WHERE query_id IS NOT NULL) WHERE k=1".replace("ORDER BY CASE WHEN substr(batch_id,2,2) <= '03' THEN 'early' ELSE 'late' END DESC", "ORDER BY CASE WHEN substr(batch_id,2,2) <= '03' THEN 0 ELSE 1 END DESC"))
+@query(f"SELECT q, delivery_id, status, CASE WHEN seg=0 THEN 'early' ELSE 'late' END AS role, seg=1 fresh FROM (SELECT @query_id q, *, {_SEG} seg, row_number() OVER (PARTITION BY @query_id ORDER BY {_SEG} DESC, delivery_id DESC) k FROM group_checkpoint WHERE query_id IS NOT NULL) WHERE k=1")
 def merged_ledger(spark, d):
-    t = table(spark, d, "group_checkpoint").where("query_id is not null").select(canonical_digest(F.col("query_id")).alias("q"), "delivery_id", "status", "batch_id", F.col("delivery_id").alias("row_index"))
-    early = F.coalesce(F.substring("batch_id", 2, 2) <= "03", F.lit(False))
+    t = table(spark, d, "group_checkpoint").where("query_id is not null").select(canonical_digest(F.col("query_id")).alias("q"), "delivery_id", "status", "received_at", F.col("delivery_id").alias("row_index"))
+    early = F.coalesce(F.hour("received_at") < 12, F.lit(False))
     return workflow.merged_ledger([("early", t.where(early)), ("late", t.where(~early))], ["q"]).select("q", "delivery_id", "status", "role", "fresh")
 
 
