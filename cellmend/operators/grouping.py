@@ -23,24 +23,30 @@ def exact_windows(order: Column, k: int) -> Column:
     return F.when(n >= k, F.transform(starts, lambda s: F.slice(order, s + 1, k))).otherwise(F.array().cast("array<array<string>>"))
 
 
-def ranks(spark: SparkSession, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """rows with `rank` (from 1) and `members` of their key.
+def numbered(spark: SparkSession, rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with dense numbers from 0 in the order of columns.
 
-    Rows are spread by ranges of (keys, order) and numbered where they lie; a key's rank is the distance
-    to its first number. So a key with a third of all rows is ranked in as many tasks as its rows fill,
-    where a window would sort it in one.
+    Rows are spread by ranges of the order and numbered where they lie, so that no task sorts more than its part.
     """
-    stages = Stages(spark, "ranks")
-    placed = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id())
-    placed = stages.keep(placed)  # numbers are given once
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = Stages(spark, "numbers").keep(placed)  # numbers are given once
     part, low = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     # one row per partition
     offsets = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     offsets = offsets.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_offset"))
-    numbered = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn("_i", F.col("_offset") + low)
-    first = stages.keep(numbered.groupBy(*keys).agg(F.min("_i").alias("_first"), F.count("*").alias("members")))
-    same = [numbered[k].eqNullSafe(first[k]) for k in keys]
-    return numbered.join(first, same).select(*(numbered[c] for c in rows.columns), (F.col("_i") - F.col("_first") + 1).alias("rank"), "members")
+    return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + low).drop("_part", "_at", "_offset")
+
+
+def ranks(spark: SparkSession, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """rows with `rank` (from 1) and `members` of their key.
+
+    A key's rank is the distance to its first number. So a key with a third of all rows is ranked in as many
+    tasks as its rows fill, where a window would sort it in one.
+    """
+    placed = numbered(spark, rows, [*keys, *order], "_i")
+    first = Stages(spark, "ranks").keep(placed.groupBy(*keys).agg(F.min("_i").alias("_first"), F.count("*").alias("members")))
+    same = [placed[k].eqNullSafe(first[k]) for k in keys]
+    return placed.join(first, same).select(*(placed[c] for c in rows.columns), (F.col("_i") - F.col("_first") + 1).alias("rank"), "members")
 
 
 def exact_blocks(spark: SparkSession, ordered: DataFrame, keys: list[str], order: list[str], k: int, least: int = 3) -> DataFrame:
@@ -57,6 +63,7 @@ def quartiles(spark: SparkSession, rows: DataFrame, keys: list[str], order: list
 def round_robin_sample(candidates: DataFrame, stratum: list[str], rank_hash: Column, cap: int) -> DataFrame:
     """The first `cap` rows (the size of the sample is the feature) when strata take turns, rows of a stratum in the order of their hash."""
     ranked = candidates.withColumn("_h", rank_hash).withColumn("turn", F.row_number().over(Window.partitionBy(*stratum).orderBy("_h")))
+    ranked = ranked.where(F.col("turn") <= cap)  # no stratum gives more, so tasks keep no more of it before they send it on
     return ranked.orderBy("turn", *stratum).limit(cap).drop("_h")
 
 
@@ -79,7 +86,7 @@ def hash_ranked(spark: SparkSession, cells: DataFrame, keys: list[str], cell: st
     return ranks(spark, cells.withColumn("_d", digest), keys, ["_d", cell, *ties]).withColumn("sample_rank", F.col("rank").cast("int")).drop("_d", "rank", "members")
 
 
-def round_robin_schedule(queries: DataFrame, condition: str, order: str, seed: int) -> DataFrame:
+def round_robin_schedule(spark: SparkSession, queries: DataFrame, condition: str, order: str, seed: int) -> DataFrame:
     """Adds turn and key_position: conditions take turns in a seeded order of their own; (turn, key_position) is the schedule.
 
     The conditions of a run are few by design (they are named in its configuration) and are shuffled on the driver.
@@ -87,7 +94,7 @@ def round_robin_schedule(queries: DataFrame, condition: str, order: str, seed: i
     conditions = sorted(r[0] for r in queries.select(condition).distinct().collect())
     random.Random(seed).shuffle(conditions)
     place = F.array_position(F.array(*map(F.lit, conditions)), F.col(condition)) - 1
-    return queries.withColumns({"turn": F.row_number().over(Window.partitionBy(condition).orderBy(order)), "key_position": place})
+    return ranks(spark, queries, [condition], [order]).withColumns({"turn": F.col("rank").cast("int"), "key_position": place}).drop("rank", "members")
 
 
 def derangement(n: int, seed: int) -> list[int]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellmend.functions.scalars import f1, rate
+from cellmend.operators.grouping import ranks
 
 SERIES = ["method_name", "scenario", "backend", "budget_share", "group_size_variant"]
 COUNTS = ["true_error_cells", "valid_predictions", "correct_repairs"]
@@ -124,6 +125,12 @@ def average_precision(scored: DataFrame, keys: list[str], score: str, label: str
     )
 
 
+def top_share(spark: SparkSession, rows: DataFrame, keys: list[str], order: list[str], share: float) -> DataFrame:
+    """The first ceil(share * n) rows of every key in order, one at least. Ranked without sorting a key in one task."""
+    ranked = ranks(spark, rows, keys, order)
+    return ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("members")))).drop("rank", "members")
+
+
 def nearest_rank(values: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
     """Percentiles by nearest rank: the element at ceil(p * n). Ranked over distinct values with counts, so a hot key stays small."""
     per = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))

@@ -6,11 +6,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellmend.functions.scalars import format_signature, value_type
-from cellmend.operators.grouping import bucket_orders, derangement, exact_windows, first_of_equal, term_weights, unit_vectors
+from cellmend.operators.grouping import bucket_orders, derangement, exact_windows, first_of_equal, numbered, term_weights, unit_vectors
 from cellmend.operators.prompts import query_id
 from cellmend.operators.statistics import derived_seed
 
@@ -155,13 +155,6 @@ def retry_plan(requests: DataFrame, ledger: DataFrame, identity: list[str], atte
     return requests.join(done, identity, "left_anti").withColumn("worst_case_tokens", (F.col("planned_tokens") * attempts + debit).cast("long"))
 
 
-def schedule_index(scheduled: DataFrame, parts: int = 64) -> DataFrame:
-    """Dense numbers in the order (turn, key_position): counts per turn give each turn its offset.
-
-    A turn has at most one query per condition, so no window holds more rows than there are conditions,
-    but the one over turns, which holds one row per turn.
-    """
-    per = scheduled.groupBy("turn").agg(F.count("*").alias("n"))
-    offsets = per.select("turn", (F.sum("n").over(Window.orderBy("turn")) - F.col("n")).alias("offset"))
-    within = F.row_number().over(Window.partitionBy("turn").orderBy("key_position"))
-    return scheduled.join(offsets, "turn").withColumn("logical_index", F.col("offset") + within - 1).drop("offset")
+def schedule_index(spark, scheduled: DataFrame) -> DataFrame:
+    """Dense numbers in the order (turn, key_position)."""
+    return numbered(spark, scheduled, ["turn", "key_position"], "logical_index")

@@ -71,13 +71,10 @@ def holdout_overlap(spark, d):
 
 @query("SELECT suite, count(*) top_pairs, round(avg(coalesce(llm_correct,0)-coalesce(baran_correct,0)),9) top_uplift FROM (SELECT *, row_number() OVER (PARTITION BY suite ORDER BY coalesce(llm_observed_total_tokens,0) DESC, cell_id, coalesce(llm_correct,0), coalesce(baran_correct,0)) k, count(*) OVER (PARTITION BY suite) n FROM evidence_cells) WHERE k <= greatest(1, ceil(0.1*n)) GROUP BY 1")
 def top_tenth_uplift(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("suite")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    e = table(spark, d, "evidence_cells").select("suite", "cell_id", zero("llm_observed_total_tokens").alias("t"), zero("llm_correct").alias("l"), zero("baran_correct").alias("b"))
-    e = e.withColumns({"k": F.row_number().over(w.orderBy(F.desc("t"), "cell_id", "l", "b")), "n": F.count("*").over(w)}).where(F.col("k") <= F.greatest(F.lit(1), F.ceil(0.1 * F.col("n"))))
-    return e.groupBy("suite").agg(F.count("*").alias("top_pairs"), F.round(F.avg(F.col("l") - F.col("b")), 9).alias("top_uplift"))
+    e = table(spark, d, "evidence_cells").select("suite", "cell_id", (-zero("llm_observed_total_tokens")).alias("t"), zero("llm_correct").alias("l"), zero("baran_correct").alias("b"))
+    top = metrics.top_share(spark, e, ["suite"], ["t", "cell_id", "l", "b"], 0.1)
+    return top.groupBy("suite").agg(F.count("*").alias("top_pairs"), F.round(F.avg(F.col("l") - F.col("b")), 9).alias("top_uplift"))
 
 
 @query("SELECT model_requested, status, count(*) calls, count(DISTINCT @query_id) queries, round(avg(latency_seconds),6) mean_latency FROM group_checkpoint GROUP BY ALL")

@@ -206,7 +206,7 @@ def tfidf_terms(spark, d):
 def schedule(spark, d):
     """Conditions take turns, numbered densely; tested against a plain deque."""
     q = table(spark, d, "sample_records").select(F.col("column_name").alias("condition"), "sample_id")
-    return workflow.schedule_index(grouping.round_robin_schedule(q, "condition", "sample_id", 42)).select("sample_id", "condition", "turn", "logical_index")
+    return workflow.schedule_index(spark, grouping.round_robin_schedule(spark, q, "condition", "sample_id", 42)).select("sample_id", "condition", "turn", "logical_index")
 
 
 @query()
@@ -214,9 +214,7 @@ def random_partition(spark, d):
     """Blocks of four with the members of every place moved to other blocks; tested for staying nowhere."""
     t = table(spark, d, "sample_records").withColumn("ds", F.lower(F.trim("dataset")))
     b = grouping.exact_blocks(spark, t, ["ds", "column_name"], ["row_idx", "sample_id"], 4)
-    from pyspark.sql import Window
-
-    b = b.withColumn("member_index", (F.row_number().over(Window.partitionBy("ds", "column_name", "block").orderBy("row_idx", "sample_id")) - 1).cast("int"))
+    b = grouping.ranks(spark, b, ["ds", "column_name", "block"], ["row_idx", "sample_id"]).withColumn("member_index", (F.col("rank") - 1).cast("int"))
     return workflow.random_partner(b.select("ds", "column_name", "block", "member_index", "sample_id"), ["ds", "column_name"], 42)
 
 

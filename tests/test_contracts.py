@@ -84,7 +84,7 @@ def test_groups_and_dominant(spark):
     assert (empty.dominant_type, empty.dominant_format) == ("empty", "EMPTY")
 
 
-def test_similar_rows_equal_plain_count(spark):
+def test_similar_rows_equal_plain_count(spark, monkeypatch):
     rng = random.Random(8)
     names = ["a", "b", "c", "d"]
     table = [(i, *(rng.choice(["x", "y", ""]) for _ in names)) for i in range(40)]
@@ -92,6 +92,10 @@ def test_similar_rows_equal_plain_count(spark):
     t = spark.createDataFrame(table, "r int, a string, b string, c string, d string")
     found = spark.createDataFrame([(f"{i}:{j}", i, j) for i, j in bad], "cell_id string, row_idx int, col_idx int")
     got = {(r.cell_id, r["rank"]): (r.similar_row, r.matches) for r in profiles.similar_rows(t, found, found, "r", names, 3).collect()}
+    monkeypatch.setattr(profiles, "COMBINED", 2)  # as a table of many columns
+    monkeypatch.setattr(profiles, "TARGET_BLOCK", 5)
+    monkeypatch.setattr(profiles, "ROW_BLOCK", 7)
+    assert got == {(r.cell_id, r["rank"]): (r.similar_row, r.matches) for r in profiles.similar_rows(t, found, found, "r", names, 3).collect()}
     for i, j in bad:
         scores = {}
         for q in range(40):
@@ -223,7 +227,7 @@ def test_windows_blocks_schedule(spark):
     df = spark.createDataFrame([(ABC,), (["a"],), ([],)], "o array<string>").select(grouping.exact_windows(F.col("o"), 4).alias("w"))
     assert [["".join(w) for w in r.w] for r in df.collect()] == [["abcd", "cdef", "defg"], [], []]
     q = [(c, i) for c, n in (("x", 3), ("y", 1), ("z", 2)) for i in range(n)]
-    got = workflow.schedule_index(grouping.round_robin_schedule(spark.createDataFrame(q, "c string, i int"), "c", "i", 9))
+    got = workflow.schedule_index(spark, grouping.round_robin_schedule(spark, spark.createDataFrame(q, "c string, i int"), "c", "i", 9))
     order = sorted({c for c, _ in q})
     random.Random(9).shuffle(order)
     queues, plain = deque((c, deque(i for d, i in q if d == c)) for c in order), []
