@@ -87,3 +87,10 @@ def set_overlap(sets: DataFrame, keys: list[str], left: Column, right: Column, m
     out = per.groupBy(*keys).agg(F.sum("a").alias("size_a"), F.sum("b").alias("size_b"), F.sum(F.col("a") * F.col("b")).alias("shared"), F.sum(F.greatest("a", "b")).alias("together"))
     r = lambda n, d: F.when(F.col(d) > 0, F.round(F.col(n) / F.col(d), 9)).otherwise(0.0)
     return out.withColumns({"of_a": r("shared", "size_a"), "of_b": r("shared", "size_b"), "jaccard": r("shared", "together")})
+
+
+def missing_fields(df: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, missing, rows): rows in which a field is null or blank, in one pass."""
+    lacks = [F.sum((F.col(f).isNull() | (F.trim(F.col(f).cast("string")) == "")).cast("int")).alias(f"_{i}") for i, f in enumerate(fields)]
+    one = df.agg(F.count("*").alias("rows"), *lacks)
+    return one.select(F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f"_{i}"), F.lit(0)).alias("missing"), F.col("rows")) for i, f in enumerate(fields)))))

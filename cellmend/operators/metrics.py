@@ -152,3 +152,45 @@ def win_tie_loss(d: DataFrame, keys: list[str], delta: str, tolerance: float = 1
     x = F.col(delta)
     one = lambda c: F.sum(c.cast("int"))
     return d.groupBy(*keys).agg(one(x > tolerance).alias("wins"), one(F.abs(x) <= tolerance).alias("ties"), one(x < -tolerance).alias("losses"))
+
+
+def cost_index(rows: DataFrame, keys: list[str], tokens: str) -> DataFrame:
+    """(keys, calls, tokens, unknown): calls of a slice, their known tokens, and calls whose usage isn't known."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("calls"), F.coalesce(F.sum(tokens), F.lit(0)).cast("long").alias("tokens"), F.sum(F.col(tokens).isNull().cast("int")).alias("unknown"))
+
+
+def phase_costs(ledger: DataFrame, phase: str, identity: list[str], order: str) -> DataFrame:
+    """Per phase and in all: identities, physical rows, identities resolved and not by their last row, and the attempts of those rows."""
+    last = ledger.groupBy(phase, *identity).agg(F.max_by(F.struct("status", "attempts"), order).alias("z"), F.count("*").alias("n"))
+    ok = F.coalesce(F.col("z.status") == "success", F.lit(False)).cast("int")
+    per = last.groupBy(phase).agg(F.count("*").alias("identities"), F.sum("n").alias("physical_rows"), F.sum(ok).alias("resolved"), F.sum(1 - ok).alias("unresolved"), F.sum("z.attempts").alias("attempts"))
+    names = ["identities", "physical_rows", "resolved", "unresolved", "attempts"]
+    return per.withColumn(phase, F.coalesce(phase, F.lit("none"))).unionByName(per.agg(*(F.sum(n).alias(n) for n in names)).select(F.lit("TOTAL").alias(phase), *names))
+
+
+def interference(cells: DataFrame, keys: list[str], alone: Column, grouped: Column) -> DataFrame:
+    """Accuracies alone and in groups, and the cells that groups rescue or spoil."""
+    i = lambda c: c.cast("int")
+    return cells.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(i(alone)), 9).alias("singleton_accuracy"), F.round(F.avg(i(grouped)), 9).alias("group_accuracy"), F.sum(i(grouped & ~alone)).alias("rescued"), F.sum(i(alone & ~grouped)).alias("interfered"))
+
+
+def membership_audit(actions: DataFrame, keys: list[str]) -> DataFrame:
+    """Least, median and largest number of queries that hold a cell, and the share of cells that some group holds."""
+    per = actions.select(*keys, F.explode("cell_ids").alias("cell_id"), "size").groupBy(*keys, "cell_id").agg(F.count("*").alias("n"), F.max("size").alias("s"))
+    return per.groupBy(*keys).agg(F.count("*").alias("cells"), F.min("n").alias("min_memberships"), F.percentile("n", 0.5).alias("median_memberships"), F.max("n").alias("max_memberships"), F.round(F.avg((F.col("s") > 1).cast("int")), 8).alias("group_coverage"))
+
+
+def result_order(budget: str = "budget_share") -> list[Column]:
+    """The order in which results are shown: by series, data sets before micro before macro, no budget before any."""
+    scope = F.when(F.col("scope") == "dataset", 0).when(F.col("scope") == "micro", 1).otherwise(2)
+    return [F.col("method_name"), F.col("scenario"), F.col("backend"), F.coalesce(F.col(budget), F.lit(-1.0)), F.col("group_size_variant"), scope, F.col("suite"), F.col("dataset")]
+
+
+def near_budget(share: Column, wanted: float | None, tolerance: float = 1e-12) -> Column:
+    """Whether a share is the wanted one, null being the wanted one where none is."""
+    return share.isNull() if wanted is None else F.coalesce(F.abs(share - wanted) <= tolerance, F.lit(False))
+
+
+def budget_label(share: Column) -> Column:
+    """A share as 05pct, 20pct; none where there is none."""
+    return F.when(share.isNull(), "none").otherwise(F.format_string("%02dpct", F.round(share * 100).cast("int")))

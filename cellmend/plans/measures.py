@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellmend.functions import scalars as S
-from cellmend.operators import groups, metrics, statistics
+from cellmend.operators import audit, candidates, gate, groups, metrics, statistics
 from cellmend.plans import overlays as O
 from cellmend.plans import repair as R
+from cellmend.plans import workflow as W
 from cellmend.plans.registry import register
 from cellmend.sources.tables import table
 
@@ -177,3 +178,80 @@ def multiway_bootstrap(spark, d):
     """Intervals of the gain under weights for rows and columns at once; tested against plain loops with the same draws."""
     e = table(spark, d, "evidence_cells").withColumn("net", F.coalesce("llm_correct", F.lit(0)) - F.coalesce("baran_correct", F.lit(0)))
     return statistics.multiway_bootstrap(e, ["suite"], ["row_cluster", "column_name"], "net", 200)
+
+
+# ---- candidates of all columns
+
+_SCORES = O.BASE + """,
+dom AS (SELECT *, n/sum(n) OVER (PARTITION BY dataset, col_idx) sc FROM (SELECT dataset, col_idx, dirty_value v, count(*) n FROM sound GROUP BY ALL)),
+vic AS (SELECT *, k/sum(k) OVER (PARTITION BY dataset, c, j, bv) sc FROM (SELECT a.dataset, a.col_idx c, b.col_idx j, b.dirty_value bv, a.dirty_value v, count(*) k FROM sound a JOIN sound b ON a.dataset=b.dataset AND a.row_idx=b.row_idx AND a.col_idx<>b.col_idx GROUP BY ALL)),
+scored AS (SELECT cell_id, v, sc, 'domain' src FROM found JOIN dom USING (dataset, col_idx) UNION ALL SELECT f.cell_id, vic.v, vic.sc, 'vicinity_'||vic.j FROM found f JOIN sound b ON b.dataset=f.dataset AND b.row_idx=f.row_idx AND b.col_idx<>f.col_idx JOIN vic ON vic.dataset=f.dataset AND vic.c=f.col_idx AND vic.j=b.col_idx AND vic.bv=b.dirty_value),
+act AS (SELECT cell_id, count(DISTINCT src) a, count(DISTINCT split_part(src,'_',1)) ag, count(DISTINCT v) candidates FROM scored GROUP BY 1),
+supp AS (SELECT cell_id, v candidate, round(sum(sc)/max(a), 9) support, count(*) source_count, count(DISTINCT split_part(src,'_',1)) gs FROM scored JOIN act USING (cell_id) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY support DESC, candidate) k FROM supp)
+"""
+
+
+@query(f"WITH {_SCORES} SELECT cell_id, candidate, support, source_count, CAST(k AS INT) AS rank FROM rk WHERE k <= 10")
+def candidate_ranks(spark, d):
+    """The ten best candidates of every error cell of both tables."""
+    return candidates.ranked_candidates(spark, O.sound(spark, d), O.found(spark, d))
+
+
+@query(f"""WITH {_SCORES}, f1 AS (SELECT * FROM rk WHERE k=1), f2 AS (SELECT cell_id, support s2 FROM rk WHERE k=2), own AS (SELECT rk.* FROM rk JOIN found USING (cell_id) JOIN base_values USING (dataset, col_idx) WHERE rk.candidate=base_value)
+SELECT f1.cell_id, a.candidates candidate_count, f1.support top_support, coalesce(s2,0) second_support, round(f1.support-coalesce(s2,0),8) support_margin, coalesce(own.support, f1.support) predicted_support, round(coalesce(own.source_count, f1.source_count)/a.a,8) source_agreement, round(coalesce(own.gs, f1.gs)/a.ag,8) source_group_agreement, coalesce(own.source_count, f1.source_count) source_vote_count, a.a source_model_count, coalesce(own.candidate, f1.candidate)=f1.candidate predicted_is_top
+FROM f1 JOIN act a USING (cell_id) LEFT JOIN f2 USING (cell_id) LEFT JOIN own ON own.cell_id=f1.cell_id""")
+def candidate_diagnostics(spark, d):
+    predictions = O.found(spark, d).join(O.base_values(spark, d), ["dataset", "col_idx"]).select("cell_id", F.col("base_value").alias("prediction"))
+    return candidates.candidate_diagnostics(spark, O.sound(spark, d), O.found(spark, d), predictions)
+
+
+# ---- costs, interference, coverage of generated queries
+
+_INDEX = ["method_name", "backend", "scenario", "group_size_variant", "suite", "dataset"]
+
+
+@query(f"SELECT {', '.join(_INDEX)}, budget_pct, count(*) calls, CAST(sum(length(coalesce(prediction,''))) AS BIGINT) tokens, count(*) FILTER (prediction IS NULL) unknown FROM (SELECT *, CAST(round(budget_share*100) AS INT) budget_pct FROM final_records) GROUP BY ALL")
+def cost_index(spark, d):
+    """Calls, known tokens (the length of a prediction) and unknown ones per back end, scenario, variant, budget and data set."""
+    r = table(spark, d, "final_records").withColumns({"budget_pct": F.round(F.col("budget_share") * 100).cast("int"), "tokens": F.length("prediction")})
+    return metrics.cost_index(r, [*_INDEX, "budget_pct"], "tokens")
+
+
+@query("WITH c AS (SELECT phase, @query_id q, coalesce(@prompt_hash,'') p, arg_max({'s': status, 'a': attempts, 'h': cache_hit}, delivery_id) z, count(*) n FROM group_checkpoint WHERE query_id IS NOT NULL GROUP BY ALL), per AS (SELECT phase, count(*) identities, CAST(sum(n) AS BIGINT) physical_rows, count(*) FILTER (z.s='success') resolved, count(*) FILTER (z.s IS DISTINCT FROM 'success') unresolved, CAST(sum(z.a) AS BIGINT) attempts FROM c GROUP BY 1) SELECT coalesce(phase,'none') phase, identities, physical_rows, resolved, unresolved, attempts FROM per UNION ALL SELECT 'TOTAL', CAST(sum(identities) AS BIGINT), CAST(sum(physical_rows) AS BIGINT), CAST(sum(resolved) AS BIGINT), CAST(sum(unresolved) AS BIGINT), CAST(sum(attempts) AS BIGINT) FROM per")
+def api_cost_total(spark, d):
+    """Per phase and in all: identities by their last row, physical rows, what was resolved, attempts."""
+    return metrics.phase_costs(R._checkpoint(spark, d).withColumn("p", F.coalesce("prompt_hash", F.lit(""))), "phase", ["q", "p"], "delivery_id")
+
+
+@query(f"WITH {_CELLS} SELECT source_view, group_size, count(*) n, round(avg(CAST(singleton_correct AS INT)),9) singleton_accuracy, round(avg(CAST(structured_correct AS INT)),9) group_accuracy, count(*) FILTER (structured_correct AND NOT singleton_correct) rescued, count(*) FILTER (singleton_correct AND NOT structured_correct) interfered FROM gc GROUP BY ALL")
+def batch_interference_views(spark, d):
+    """Right answers alone and in groups by view and size."""
+    x = groups.with_states(group_cells(spark, d)).withColumn("group_size", F.col("group_size").cast("string"))
+    return metrics.interference(x, ["source_view", "group_size"], F.col("singleton_correct"), F.col("structured_correct"))
+
+
+@query(f"WITH {W._ACTIONS}, m AS (SELECT dataset, unnest(ids) cell_id, size FROM actions), k AS (SELECT dataset, cell_id, count(*) n, max(size) s FROM m GROUP BY ALL) SELECT dataset, count(*) cells, min(n) min_memberships, median(n) median_memberships, max(n) max_memberships, round(count(*) FILTER (s>1)/count(*),8) group_coverage FROM k GROUP BY dataset")
+def membership_audit(spark, d):
+    """How often cells are asked, and the share that some group holds."""
+    return metrics.membership_audit(W._actions(spark, d), ["dataset"])
+
+
+@query("SELECT suite, avg(h) helpful_rate, avg(m) harmful_rate, count(*) n FROM (SELECT suite, CAST(llm_status='completed' AND coalesce(llm_correct,0)=1 AND coalesce(baran_correct,0)<>1 AS INT) h, CAST(llm_status='completed' AND coalesce(baran_correct,0)=1 AND coalesce(llm_correct,0)<>1 AS INT) m FROM (SELECT suite, coalesce(llm_status,'') llm_status, llm_correct, baran_correct FROM evidence_cells)) GROUP BY suite")
+def positive_rates(spark, d):
+    e = table(spark, d, "evidence_cells").withColumn("x", F.coalesce(F.col("llm_status") == "completed", F.lit(False)))
+    t = gate.uplift_targets(e, "baran_correct", "llm_correct", "x")
+    return t.groupBy("suite").agg(F.avg("helpful").alias("helpful_rate"), F.avg("harmful").alias("harmful_rate"), F.count("*").alias("n"))
+
+
+@query("SELECT field, count(*) FILTER (missing) missing, count(*) AS rows FROM (" + " UNION ALL ".join(f"SELECT '{c}' field, {c} IS NULL OR trim(CAST({c} AS VARCHAR))='' missing FROM final_records" for c in ("method_name", "backend", "cell_id", "prediction", "parse_status", "correct_repair")) + ") GROUP BY field")
+def missing_fields(spark, d):
+    return audit.missing_fields(table(spark, d, "final_records"), ["method_name", "backend", "cell_id", "prediction", "parse_status", "correct_repair"])
+
+
+@query("WITH s AS (SELECT suite, dataset, coalesce(llm_observed_total_tokens,0)%100/100.0::DOUBLE sc, CAST(coalesce(llm_correct,0)=1 AS INT) y FROM evidence_cells), g AS (SELECT suite, dataset, sc, sum(y) p, count(*) n, sum((sc-y)*(sc-y)) se FROM s GROUP BY ALL), w AS (SELECT *, sum(p) OVER (PARTITION BY suite, dataset ORDER BY sc DESC) tp, sum(n) OVER (PARTITION BY suite, dataset ORDER BY sc DESC) seen FROM g), per AS (SELECT suite, dataset, CASE WHEN sum(p)>0 THEN sum(p*tp/seen)/sum(p) ELSE 0 END ap, sum(se)/sum(n) brier, sum(p)/sum(n) prev FROM w GROUP BY ALL) SELECT suite, count(*) datasets, round(avg(ap),9) average_precision, round(avg(brier),9) brier, round(avg(prev),9) prevalence FROM per GROUP BY suite")
+def routeability_macro(spark, d):
+    """Means over the data sets of a suite."""
+    e = table(spark, d, "evidence_cells").select("suite", "dataset", (F.coalesce("llm_observed_total_tokens", F.lit(0)) % 100 / 100.0).alias("score"), F.coalesce(F.col("llm_correct") == 1, F.lit(False)).cast("int").alias("label"))
+    per = metrics.average_precision(e, ["suite", "dataset"], "score", "label")
+    return per.groupBy("suite").agg(F.count("*").alias("datasets"), *(F.round(F.avg(c), 9).alias(c) for c in ("average_precision", "brier", "prevalence")))
