@@ -106,6 +106,12 @@ def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
     return F.flatten(F.array(*map(of, range(low, high + 1))))
 
 
+def price_period(at: Column) -> Column:
+    """peak on weekdays from 1 to 4 and from 6 to 10 o'clock UTC, off_peak else."""
+    # fixed values: the hours of the price list
+    return F.when((F.weekday(at) < 5) & (F.hour(at).between(1, 3) | F.hour(at).between(6, 9)), "peak").otherwise("off_peak")
+
+
 def exact_units(value: Column, scale: int = 15) -> Column:
     """A gain as whole units of 10**-scale, half to even; the shortest decimal text of the double decides."""
 

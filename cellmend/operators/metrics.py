@@ -168,6 +168,13 @@ def phase_costs(ledger: DataFrame, phase: str, identity: list[str], order: str)
     return per.withColumn(phase, F.coalesce(phase, F.lit("none"))).unionByName(per.agg(*(F.sum(n).alias(n) for n in names)).select(F.lit("TOTAL").alias(phase), *names))
 
 
+def arm_costs(ledger: DataFrame, keys: list[str], physical: str, order: str, attempts: str, cells: str) -> DataFrame:
+    """(keys, physical, attempts, logical_cells): requests charged once, by their first row, and the cells that they stand for."""
+    size = F.greatest(F.lit(0), F.coalesce(F.size(cells), F.lit(0)))
+    per = ledger.groupBy(*keys, physical).agg(F.min_by(attempts, order).alias("_a"), F.min_by(size, order).alias("_c"))
+    return per.groupBy(*keys).agg(F.count("*").alias("physical"), F.sum("_a").alias("attempts"), F.sum("_c").alias("logical_cells"))
+
+
 def interference(cells: DataFrame, keys: list[str], alone: Column, grouped: Column) -> DataFrame:
     """Accuracies alone and in groups, and the cells that groups rescue or spoil."""
     i = lambda c: c.cast("int")

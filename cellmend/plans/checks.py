@@ -27,9 +27,8 @@ def stored_flag_audit(spark, d):
 
 @query("SELECT budget, count(*) n FROM (SELECT CASE WHEN abs(budget_share-0.1)<=1e-12 THEN '10pct' WHEN abs(budget_share-0.2)<=1e-12 THEN '20pct' WHEN abs(budget_share-0.3)<=1e-12 THEN '30pct' WHEN budget_share IS NULL THEN 'none' ELSE 'other' END budget FROM final_records_replay) GROUP BY 1")
 def budget_selection(spark, d):
-    b = F.col("budget_share")
-    near = lambda x: F.abs(b - x) <= 1e-12
-    label = F.when(near(0.1), "10pct").when(near(0.2), "20pct").when(near(0.3), "30pct").when(b.isNull(), "none").otherwise("other")
+    near = lambda x: metrics.near_budget(F.col("budget_share"), x)
+    label = F.when(near(0.1), "10pct").when(near(0.2), "20pct").when(near(0.3), "30pct").when(near(None), "none").otherwise("other")
     return table(spark, d, "final_records_replay").groupBy(label.alias("budget")).agg(F.count("*").alias("n"))
 
 

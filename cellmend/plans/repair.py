@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellmend.functions import scalars as S
-from cellmend.operators import audit, cells, gate, grouping, ledger, metrics, profiles, rules, selection, statistics, verify
+from cellmend.operators import audit, cells, gate, grouping, groups, ledger, metrics, profiles, rules, selection, statistics, verify
 from cellmend.plans import overlays as O
 from cellmend.operators.deliveries import canonical_digest
 from cellmend.plans.registry import register
@@ -448,7 +448,7 @@ def nearest_rank_percentile(spark, d):
 
 @query("""SELECT dataset, state, count(*) n FROM (SELECT dataset, CASE WHEN lower(trim(coalesce(llm_status,''))) NOT IN ('success','ok','completed') THEN 'provider_failure' WHEN coalesce(llm_prediction,'')='' THEN 'empty' WHEN llm_prediction=coalesce(dirty_value,'') THEN 'unchanged' ELSE 'valid' END state FROM evidence_cells) GROUP BY ALL""")
 def failure_states(spark, d):
-    state = F.when(~F.lower(F.trim(F.coalesce("llm_status", F.lit("")))).isin(*ledger.SUCCESS), "provider_failure").when(F.coalesce("llm_prediction", F.lit("")) == "", "empty").when(F.col("llm_prediction") == F.coalesce("dirty_value", F.lit("")), "unchanged").otherwise("valid")
+    state = groups.failure_state(F.col("llm_status"), F.lit("ok"), F.lit("propose"), F.col("llm_prediction"), F.col("dirty_value"))
     return table(spark, d, "evidence_cells").groupBy("dataset", state.alias("state")).agg(F.count("*").alias("n"))
 
 
@@ -569,7 +569,7 @@ def family_holdout(spark, d):
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN weekday_ < 5 AND (h BETWEEN 1 AND 3 OR h BETWEEN 6 AND 9) THEN 'peak' ELSE 'off_peak' END period, count(*) n FROM (SELECT l_orderkey, l_linenumber, isodow(l_shipdate)-1 weekday_, hour(l_shipdate) h FROM lineitem) GROUP BY ALL")
 def price_period(spark, d):
     t = table(spark, d, "lineitem")
-    period = F.when((F.weekday("l_shipdate") < 5) & (F.hour("l_shipdate").between(1, 3) | F.hour("l_shipdate").between(6, 9)), "peak").otherwise("off_peak")
+    period = S.price_period(F.col("l_shipdate"))
     return t.groupBy("l_orderkey", "l_linenumber", period.alias("period")).agg(F.count("*").alias("n"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellmend.functions import scalars as S
-from cellmend.operators import audit, cells, gate, grouping, ledger, prompts, rules, workflow
+from cellmend.operators import audit, cells, gate, grouping, ledger, metrics, prompts, rules, workflow
 from cellmend.plans import overlays as O
 from cellmend.session import Stages
 from cellmend.operators.deliveries import canonical_digest
@@ -150,18 +150,14 @@ def group_size_metrics(spark, d):
 
 @query("SELECT phase, count(*) physical, CAST(sum(attempts) AS BIGINT) attempts, CAST(sum(cells) AS BIGINT) logical_cells FROM (SELECT phase, q, arg_min(attempts, delivery_id) attempts, arg_min(coalesce(len(cell_ids),0), delivery_id) cells FROM (SELECT *, @query_id q FROM group_checkpoint WHERE query_id IS NOT NULL) GROUP BY ALL) GROUP BY ALL")
 def arm_costs(spark, d):
-    t = table(spark, d, "group_checkpoint").where("query_id is not null").select("phase", canonical_digest(F.col("query_id")).alias("q"), "delivery_id", "attempts", F.coalesce(F.size("cell_ids"), F.lit(0)).alias("cells"))
-    t = t.withColumn("cells", F.greatest(F.lit(0), "cells"))
-    per = t.groupBy("phase", "q").agg(F.min_by("attempts", "delivery_id").alias("attempts"), F.min_by("cells", "delivery_id").alias("cells"))
-    return per.groupBy("phase").agg(F.count("*").alias("physical"), F.sum("attempts").alias("attempts"), F.sum("cells").alias("logical_cells"))
+    t = table(spark, d, "group_checkpoint").where("query_id is not null").withColumn("q", canonical_digest(F.col("query_id")))
+    return metrics.arm_costs(t, ["phase"], "q", "delivery_id", "attempts", "cell_ids")
 
 
 @query("SELECT q, ok, failed, contents, CASE WHEN contents>1 THEN 'conflict' WHEN ok>0 AND failed>0 THEN 'recovered' WHEN ok>0 THEN 'success' ELSE 'failed' END state FROM (SELECT @query_id q, count(*) FILTER (status='success') ok, count(*) FILTER (status IS DISTINCT FROM 'success') failed, count(DISTINCT CASE WHEN status='success' THEN sha256(response_text) END) contents FROM group_checkpoint WHERE query_id IS NOT NULL GROUP BY 1)")
 def cache_union_audit(spark, d):
-    t = table(spark, d, "group_checkpoint").where("query_id is not null")
-    ok = F.coalesce(F.col("status") == "success", F.lit(False))
-    x = t.groupBy(canonical_digest(F.col("query_id")).alias("q")).agg(F.sum(ok.cast("int")).alias("ok"), F.sum((~ok).cast("int")).alias("failed"), F.countDistinct(F.when(ok, F.sha2("response_text", 256))).alias("contents"))
-    return x.withColumn("state", F.when(F.col("contents") > 1, "conflict").when((F.col("ok") > 0) & (F.col("failed") > 0), "recovered").when(F.col("ok") > 0, "success").otherwise("failed"))
+    t = table(spark, d, "group_checkpoint").where("query_id is not null").withColumn("q", canonical_digest(F.col("query_id")))
+    return ledger.cache_union(t, ["q"], "response_text")
 
 
 @query("WITH f AS (SELECT dataset, avg(coalesce(llm_correct,0)) - avg(coalesce(baran_correct,0)) net FROM evidence_cells GROUP BY ALL), r AS (SELECT dataset, base_family, avg(coalesce(llm_correct,0)) - avg(coalesce(baran_correct,0)) net FROM evidence_cells GROUP BY ALL), s AS (SELECT dataset, coalesce(stddev_samp(net), 0) sigma FROM r GROUP BY ALL) SELECT dataset, round(net,9) net_gain, round(sigma,9) sigma, round(greatest(0, net-sigma),9) conservative_uplift FROM f JOIN s USING (dataset)")

@@ -118,6 +118,8 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return each.withColumn("dependent", F.when(wrong, F.raise_error(F.concat(F.lit("not a rule: "), F.col("rule_id")))).otherwise(F.col("dependent")))
 
 
+#: statuses of an answer that isn't asked for again
+SUCCESS = ["success", "ok", "completed"]
 Fetch = Callable[[list[dict]], list[dict]]
 
 
@@ -132,3 +134,59 @@ def ask(requests: DataFrame, schema: str, fetch: Fetch, concurrency: int = 4, ch
                 yield pd.DataFrame(fetch(pdf.iloc[start : start + chunk].to_dict("records")))
 
     return requests.repartition(concurrency).mapInPandas(run, schema)
+
+
+class ModelMismatch(RuntimeError):
+    """An answer of another model than was asked."""
+
+
+def ask_until_answered(
+    requests: DataFrame, ledger: str, schema: str, fetch: Fetch, identity: list[str], attempts: int = 6, concurrency: int = 4, chunk: int = 100, backoff: float = 1.0, model: str | None = None, planned: str | None = None, cap: int | None = None
+) -> DataFrame:
+    """Asks what the ledger has no success for, and appends every answer to it; gives the ledger.
+
+    schema: what fetch gives for each request: identity, status, and further columns; `attempts` is added.
+    A request that fails is sent again up to `attempts` times, after a pause that doubles. What is in the
+    ledger isn't asked again, so a run that was stopped goes on. Identities that are asked twice are asked
+    once. model: answers that name another one in `model_returned` stop the run. planned, cap: the run is
+    refused where the planned tokens of what is still to ask, on every attempt, go beyond the cap.
+    """
+    import time
+
+    from cellmend.operators.ledger import still_to_ask
+    from cellmend.operators.replay import reserve
+
+    spark = requests.sparkSession
+    exists = _exists(spark, ledger)
+    once = requests.dropDuplicates(identity)
+    todo = still_to_ask(once, spark.read.parquet(ledger), identity) if exists else once
+    todo = Stages(spark, "ask").keep(todo)
+    if planned and cap is not None:
+        reserve(0, int(todo.agg(F.sum(planned)).first()[0] or 0), cap, attempts)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for start in range(0, len(pdf), chunk):
+                left, done, turn = pdf.iloc[start : start + chunk].to_dict("records"), [], 0
+                while left:
+                    turn += 1
+                    answers = fetch(left)
+                    if model is not None and any(a.get("status") in SUCCESS and a.get("model_returned", model) != model for a in answers):
+                        raise ModelMismatch(f"an answer isn't {model}'s")
+                    failed = {tuple(a[c] for c in identity) for a in answers if a.get("status") not in SUCCESS} if turn < attempts else set()
+                    done += [a | {"attempts": turn} for a in answers if tuple(a[c] for c in identity) not in failed]
+                    left = [r for r in left if tuple(r[c] for c in identity) in failed]
+                    if left:
+                        time.sleep(backoff * 2 ** (turn - 1))
+                yield pd.DataFrame(done)
+
+    if not todo.isEmpty():
+        todo.repartition(concurrency).mapInPandas(run, f"{schema}, attempts int").write.mode("append").parquet(ledger)
+    return spark.read.parquet(ledger) if exists or _exists(spark, ledger) else spark.createDataFrame([], f"{schema}, attempts int")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
