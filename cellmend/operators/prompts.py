@@ -53,6 +53,13 @@ def with_prompts(actions: DataFrame, cells: DataFrame, masked: DataFrame) -> Dat
     return x.withColumns({"prompt_hash": F.sha2(messages, 256), "prompt_tokens": token_estimate(messages), "completion_ceiling": completion_ceiling(F.size("cell_ids"))})
 
 
+def one_per_prompt(actions: DataFrame) -> DataFrame:
+    """actions with a prompt_hash, one for each prompt: the one with the smallest query_id."""
+    rest = [c for c in actions.columns if c != "prompt_hash"]
+    top = actions.groupBy("prompt_hash").agg(F.min_by(F.struct(*rest), "query_id").alias("_r"))
+    return top.select("prompt_hash", "_r.*").select(*actions.columns)
+
+
 def leaks(payload: Column) -> Column:
     """Whether a JSON text has one of the forbidden names as a key, at any depth."""
     return F.lower(payload).rlike('"(' + "|".join(FORBIDDEN_KEYS) + r')"\s*:')

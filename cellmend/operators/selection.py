@@ -99,3 +99,49 @@ def select_queries(pairs: DataFrame, slices: list[str], budget: str = "budget")
         return pd.DataFrame([[*key, i, q, costs[q], g, rule] for i, (q, g) in enumerate(steps)], columns=[*slices, "step", "query_id", "query_cost", "gain_units", "rule"])
 
     return pairs.groupBy(*slices).applyInPandas(run, schema)
+
+
+def representative(pairs: dict[str, dict[str, int]], limit: int) -> list[str]:
+    """Up to `limit` queries rich in overlap: the largest first, then by id one that shares a cell with those chosen, or else the next one."""
+    left = sorted(pairs, key=lambda q: (-len(pairs[q]), q))[:1]
+    chosen, covered, rest = list(left), {c for q in left for c in pairs[q]}, sorted(set(pairs) - set(left))
+    while rest and len(chosen) < limit:
+        q = next((q for q in rest if not covered.isdisjoint(pairs[q])), rest[0])
+        chosen.append(q)
+        rest.remove(q)
+        covered |= set(pairs[q])
+    return chosen
+
+
+# fixed value: the share of the optimum that the greedy choice is known to reach
+FLOOR = 0.405
+
+
+def conformance(pairs: DataFrame, slices: list[str], sampled: int = 64, exact: int = 10) -> DataFrame:
+    """(slices, queries, lazy_is_eager, ratio, ok): the greedy choice of every slice held against its eager form and, on a few queries, the optimum.
+
+    Checked on up to `sampled` and `exact` overlapping queries under a fifth of their cost; the sizes are the feature.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in slices), "queries int, lazy_is_eager boolean, ratio double, ok boolean"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        gains: dict[str, dict[str, int]] = defaultdict(dict)
+        costs: dict[str, int] = {}
+        for q, c, g, cost in zip(pdf.query_id, pdf.cell_id, pdf.gain_units, pdf.query_cost):
+            gains[q][c] = max(int(g), gains[q].get(c, 0))
+            costs[q] = int(cost)
+
+        def part(n: int) -> tuple[dict, dict, int]:
+            some = representative(gains, n)
+            own, total = {q: costs[q] for q in some}, sum(costs[q] for q in some)
+            return {q: gains[q] for q in some}, own, min(total, max(min(own.values()), total // 5))
+
+        few = part(sampled)
+        same = greedy(*few) == greedy(*few, lazy=False)
+        tiny = part(exact)
+        top = exhaustive(*tiny)
+        ratio = greedy(*tiny)[1] / top if top else 1.0
+        return pd.DataFrame([[*pdf[slices].iloc[0], len(gains), same, ratio, same and ratio >= FLOOR]], columns=[*slices, "queries", "lazy_is_eager", "ratio", "ok"])
+
+    return pairs.groupBy(*slices).applyInPandas(run, schema)

@@ -68,3 +68,20 @@ def arbitrate(decided: DataFrame, cell: str = "cell_id") -> DataFrame:
     best = decided.groupBy(cell).agg(F.min_by(F.struct("accepted", "query_id", "candidate", "fallback"), order).alias("b"), F.count("*").alias("candidates"), F.sum(F.col("accepted").cast("int")).alias("accepted_candidates"))
     won = F.col("b.accepted")
     return best.select(cell, F.when(won, F.col("b.query_id")).alias("query_id"), F.when(won, F.col("b.candidate")).otherwise(F.col("b.fallback")).alias("final_prediction"), F.when(won, "llm").otherwise("base").alias("final_source"), "candidates", "accepted_candidates")
+
+
+def alone_record(status: Column, parse_status: Column, decision: Column, candidate: Column, dirty: Column) -> dict[str, Column]:
+    """prediction and parse_status of a cell that is repaired by its single answer alone; what isn't usable leaves the dirty value."""
+    said, value = F.lower(F.trim(F.coalesce(decision, F.lit("")))), F.coalesce(candidate, F.lit(""))
+    state = (
+        F.when(~F.coalesce(status.isin("success", "ok", "completed"), F.lit(False)), "provider_failure").when(~F.coalesce(parse_status.isin("ok", "partial"), F.lit(False)), "parse_failure").when(said == "", "missing_item")
+        .when(said == "abstain", "abstain").when(value == "", "empty_repair").when(value == dirty, "unchanged_dirty").otherwise("ok")
+    )
+    return {"prediction": F.when(state == "ok", value).otherwise(dirty), "parse_status": state}
+
+
+def transfer_outcomes(decided: DataFrame, keys: list[str], truth: str = "clean_value") -> DataFrame:
+    """(keys, candidates, accepted, rescued, harmed, neutral, abstained, unparsed): what answers change against the fallback."""
+    n = lambda c: F.sum(c.cast("int"))
+    took, was, now = F.col("accepted"), F.coalesce(F.col("fallback") == F.col(truth), F.lit(False)), F.coalesce(F.col("final_prediction") == F.col(truth), F.lit(False))
+    return decided.groupBy(*keys).agg(F.count("*").alias("candidates"), n(took).alias("accepted"), n(took & now & ~was).alias("rescued"), n(took & was & ~now).alias("harmed"), n(took & (was == now)).alias("neutral"), n(F.col("reason") == "fallback_decision").alias("abstained"), n(F.col("reason") == "invalid_llm_output").alias("unparsed"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellmend.functions import scalars as S
-from cellmend.operators import audit, contracts, groups, replay
+from cellmend.operators import audit, cells, contracts, groups, replay, selection, verify
 from cellmend.plans import overlays as O
 from cellmend.plans import repair as R
 from cellmend.plans import workflow as W
@@ -250,8 +250,8 @@ _LABELS = O.BASE + ", x AS (SELECT r.query_id, r.cell_id, r.clean_value, r.dirty
 def calibration_labels(spark, d):
     r = O.responses(spark, d)
     actions = r.groupBy("query_id").agg(F.array_sort(F.collect_list("cell_id")).alias("cell_ids"))  # a query has a few cells
-    cells = O.found(spark, d).join(O.base_values(spark, d), ["dataset", "col_idx"])
-    return contracts.calibration_labels(actions, r.select("query_id", "cell_id", "decision", F.col("candidate").alias("repair")), cells)
+    known = O.found(spark, d).join(O.base_values(spark, d), ["dataset", "col_idx"])
+    return contracts.calibration_labels(actions, r.select("query_id", "cell_id", "decision", F.col("candidate").alias("repair")), known)
 
 
 @query("SELECT phase, CAST(sum(attempts) AS BIGINT) attempts, CAST(sum(coalesce(len(cell_ids),0)) AS BIGINT) cells, bool_and(attempts IS NOT NULL) complete FROM group_checkpoint WHERE phase IS NOT NULL GROUP BY phase")
@@ -283,3 +283,48 @@ def groups_identities(spark, d):
 def run_bindings(spark, d):
     """Rows and digests of the tables a run is bound to, whatever the order of their rows."""
     return replay.bindings({t: table(spark, d, t) for t in ("clean", "error_log", "fd_components", "sample_records")})
+
+
+# ---- choices, transfer, baselines
+
+@query()
+def selection_conformance(spark, d):
+    """The greedy choice of each data set against its eager form and the optimum of a few of its queries; tested on random instances."""
+    r = O.responses(spark, d).where("candidate is not null").withColumn("gain_units", S.exact_units(F.col("uplift")))
+    return selection.conformance(r, ["dataset"])
+
+
+@query()
+def reselection(spark, d):
+    """What a choice under a fifth of the cost changes when a tenth is given; every step is tested by itself."""
+    r = O.responses(spark, d).where("candidate is not null").withColumn("gain_units", S.exact_units(F.col("uplift")))
+
+    def chosen(share: float):
+        ref = r.where("s = 1").groupBy("dataset").agg(F.bround(F.sum("query_cost") * share).cast("long").alias("budget"))
+        return selection.select_queries(r.join(ref, "dataset"), ["dataset"])
+
+    return contracts.selection_differences(chosen(0.2), chosen(0.1), ["dataset"])
+
+
+@query(R._with(O.CANDIDATES, "SELECT dataset, s, count(*) candidates, count(*) FILTER (reason='accepted') accepted, count(*) FILTER (reason='accepted' AND candidate=clean_value AND fallback<>clean_value) rescued, count(*) FILTER (reason='accepted' AND candidate<>clean_value AND fallback=clean_value) harmed, count(*) FILTER (reason='accepted' AND (candidate=clean_value)=(fallback=clean_value)) neutral, count(*) FILTER (reason='fallback_decision') abstained, count(*) FILTER (reason='invalid_llm_output') unparsed FROM decided GROUP BY ALL"))
+def transfer_outcomes(spark, d):
+    """Answers of both kinds verified against another base: rescued, harmed, left as they were."""
+    return verify.transfer_outcomes(verify.decide(O.candidates(spark, d)), ["dataset", "s"])
+
+
+@query(R._with(O.BASE, "SELECT 'base_repair' method_name, cell_id, CASE WHEN row_idx%29=0 THEN dirty_value ELSE base_value END prediction, CASE WHEN row_idx%29=0 THEN 'failed' ELSE 'ok' END parse_status FROM found JOIN base_values USING (dataset, col_idx) UNION ALL SELECT 'llm_only', cell_id, CASE WHEN h<7 AND candidate<>dirty_value THEN candidate ELSE dirty_value END, CASE WHEN h=9 THEN 'provider_failure' WHEN h=8 THEN 'missing_item' WHEN h=7 THEN 'abstain' WHEN candidate='' THEN 'empty_repair' WHEN candidate=dirty_value THEN 'unchanged_dirty' ELSE 'ok' END FROM responses WHERE s=1"))
+def full_baselines(spark, d):
+    """The base alone and every cell's single answer alone, a record for each error cell of both."""
+    known = O.found(spark, d).join(O.base_values(spark, d), ["dataset", "col_idx"])
+    status = F.when(F.col("row_idx") % 29 == 0, "failed").otherwise("ok")
+    base = known.select(F.lit("base_repair").alias("method_name"), "cell_id", verify.fallback_value(status, F.col("base_value"), F.col("dirty_value")).alias("prediction"), status.alias("parse_status"))
+    own = verify.alone_record(*(F.col(c) for c in ("status", "parse_status", "decision", "candidate", "dirty_value")))
+    r = O.responses(spark, d).where("s = 1")
+    return base.unionByName(r.select(F.lit("llm_only").alias("method_name"), "cell_id", *(e.alias(n) for n, e in own.items())))
+
+
+@query(R._with(O.BASE, "SELECT row_idx, held_by FROM (SELECT coalesce(d.row_idx, c.row_idx) row_idx, CASE WHEN c.row_idx IS NULL THEN 'dirty' ELSE 'clean' END held_by FROM (SELECT row_idx FROM dirty_part WHERE row_idx%7<>0) d FULL JOIN (SELECT row_idx FROM clean_part WHERE row_idx%5<>0) c ON c.row_idx=d.row_idx WHERE c.row_idx IS NULL OR d.row_idx IS NULL)"))
+def unpaired_rows(spark, d):
+    """Rows that only one of two tables holds, each of them lacking some of the other's."""
+    dirty, clean = O.dirty_part(spark, d).where("row_idx % 7 <> 0"), O.clean_part(spark, d).where("row_idx % 5 <> 0")
+    return cells.unpaired_rows(dirty, clean, "row_idx")

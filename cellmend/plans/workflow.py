@@ -92,7 +92,7 @@ def pattern_view_actions(spark, d):
 def prompt_requests(spark, d):
     """Prompts of all single cells and groups of both tables with their ids and costs; tested for stability and leaks."""
     actions, found, rows = _view_actions(spark, d)
-    x = prompts.with_prompts(actions, found, rows)
+    x = prompts.one_per_prompt(prompts.with_prompts(actions, found, rows))
     hashed = prompts.request_hash(F.lit("gen-small"), F.col("prompt_hash"), F.col("completion_ceiling"))
     return x.select("query_id", "prompt_hash", hashed.alias("request_hash"), "prompt_tokens", "completion_ceiling", prompts.leaks(F.col("payload")).alias("leaks"))
 
