@@ -64,6 +64,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return SourceMix(spark).mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_holds(spark: SparkSession, d: str) -> DataFrame:
+    """Per source of the targets: whether no document is used more often than it may, and its part is met to within one document or all of it is used up."""
+    chosen, report = SourceMix(spark).mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    largest = chosen.groupBy("source").agg(F.max("n_tokens").alias("_largest"))
+    x = report.join(largest, "source", "left")
+    used_up = (F.col("mix_tokens") == F.col("source_tokens") * F.col("max_repeats")) & ~F.col("target_reachable")
+    met = F.abs(F.col("mix_tokens") - F.col("target_tokens")) <= F.coalesce("_largest", F.lit(0)) + 1
+    return x.select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("cap_kept"), (used_up | met).alias("part_met"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.look_alike_pairs(spark, table(spark, d, "documents"))
 
@@ -78,9 +88,22 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", skeleton.consistent_form(F.col("text"), spark).alias("form"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares, "p4_shares_met": p4_shares_met, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_classes": p8_classes, "p8_forms": p8_forms}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares, "p4_shares_met": p4_shares_met, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_holds": p7_holds, "p8_found": p8_found, "p8_classes": p8_classes, "p8_forms": p8_forms}
+
+_NAME = r"lower(regexp_replace({0}, '^\s+|\s+$', '', 'g'))"
 
 SQL = {
+    "p7_holds": "SELECT DISTINCT source, true AS cap_kept, true AS part_met FROM mix_targets WHERE source IS NOT NULL",
+    "p4_found": f"""
+WITH RECURSIVE ties AS (
+  SELECT {_NAME.format('dataset')} d, {_NAME.format('base_family')} f FROM evidence_cells UNION SELECT {_NAME.format('target_dataset')}, {_NAME.format('family_left_out')} FROM fitted_heads
+), t AS (SELECT * FROM ties WHERE d <> '' AND f NOT IN ('', 'unknown', 'n/a')
+), e AS (SELECT DISTINCT a.d x, b.d y FROM t a JOIN t b USING (f)
+), reach AS (SELECT DISTINCT x v, x g FROM e UNION SELECT e.y, r.g FROM reach r JOIN e ON e.x = r.v WHERE r.g < e.y
+), grp AS (SELECT v, min(g) g FROM reach GROUP BY v
+), own AS (SELECT cell_id, coalesce(nullif({_NAME.format('dataset')}, ''), nullif({_NAME.format("regexp_extract(cell_id, '^[^:]*:(.*):[0-9]+:[0-9]+$', 1)")}, '')) ds FROM sample_records WHERE cell_id IS NOT NULL)
+SELECT cell_id, min(coalesce(g, ds)) group_dataset FROM own LEFT JOIN grp ON v = ds GROUP BY cell_id
+""",
     "p4_shares_met": "SELECT split_name AS split, target_share, true AS met, true AS whole, (SELECT count(DISTINCT cell_id) FROM sample_records) all_cells FROM split_targets WHERE target_share > 0",
     "p3_found": r"""
 WITH RECURSIVE pairs AS (
