@@ -328,3 +328,28 @@ def unpaired_rows(spark, d):
     """Rows that only one of two tables holds, each of them lacking some of the other's."""
     dirty, clean = O.dirty_part(spark, d).where("row_idx % 7 <> 0"), O.clean_part(spark, d).where("row_idx % 5 <> 0")
     return cells.unpaired_rows(dirty, clean, "row_idx")
+
+
+# ---- what must hold of choices and schedules that SQL can't make
+
+@query(R._with(O.BASE, "SELECT DISTINCT dataset, true AS within, true AS once FROM found"))
+def choice_holds(spark, d):
+    """Per data set: whether the greedy choice keeps its budget and takes no query twice."""
+    r = O.responses(spark, d).where("candidate is not null").withColumn("gain_units", S.exact_units(F.col("uplift")))
+    ref = r.where("s = 1").groupBy("dataset").agg(F.bround(F.sum("query_cost") * 0.2).cast("long").alias("budget"))
+    x = selection.select_queries(r.join(ref, "dataset"), ["dataset"]).groupBy("dataset").agg(F.sum("query_cost").alias("cost"), F.count("*").alias("n"), F.countDistinct("query_id").alias("k"))
+    return x.join(ref, "dataset").select("dataset", (F.col("cost") <= F.col("budget")).alias("within"), (F.col("n") == F.col("k")).alias("once"))
+
+
+@query("SELECT count(*) n, 0 low, count(*) - 1 high, count(*) different, max(c) turns FROM sample_records, (SELECT max(n) c FROM (SELECT count(*) n FROM sample_records GROUP BY column_name))")
+def schedule_holds(spark, d):
+    """The schedule numbers every query once, without gaps, and has as many turns as the largest condition has queries."""
+    s = W.schedule(spark, d)
+    return s.agg(F.count("*").alias("n"), F.min("logical_index").alias("low"), F.max("logical_index").alias("high"), F.countDistinct("logical_index").alias("different"), F.max("turn").cast("long").alias("turns"))
+
+
+@query("WITH b AS (SELECT lower(trim(dataset)) ds, column_name, count(*)//4 n FROM sample_records GROUP BY ALL) SELECT ds, column_name, n*4 members, 0 stayed, n*4 different FROM b WHERE n >= 3")
+def partition_holds(spark, d):
+    """Every member of a condition's blocks goes to another block, each place of each block being taken once."""
+    p = W.random_partition(spark, d)
+    return p.groupBy("ds", "column_name").agg(F.count("*").alias("members"), F.sum((F.col("block") == F.col("partner_block")).cast("int")).alias("stayed"), F.countDistinct("partner_block", "member_index").alias("different"))
