@@ -24,6 +24,8 @@ from cellmend.session import BROADCAST_ROWS, Stages, broadcast_if_small
 #: vertices with more than this share of all ends of links, a thousand at most, are joined by broadcast
 HOT_SHARE = 0.001
 HOT_LEAST = 10_000
+#: rounds whose settled vertices are resolved in one go, where they are few
+TOGETHER = 4
 
 
 def _told(links: DataFrame, end: str, smallest: DataFrame, space: list[str], n: int, known: int) -> DataFrame:
@@ -58,7 +60,7 @@ def hash_to_min(spark: SparkSession, edges: DataFrame, left: str, right: str, wi
         if not known:
             break
         settled = (F.col("deg") == 1) & (F.col("m") < F.col("v"))
-        rounds.append(smallest.where(settled).select(*space, F.col("v").alias("vertex"), F.col("m").alias("component")))
+        rounds.append((known, smallest.where(settled).select(*space, F.col("v").alias("vertex"), F.col("m").alias("component"))))
         # only the larger end of a link can be settled
         active = _told(links, "b", smallest, space, n, known).where((F.col("deg_b") > 1) | (F.col("m_b") >= F.col("b"))).drop("deg_b")
         sent = [F.struct(F.col("m_a").alias("a"), F.col("b")), F.struct(F.col("m_b").alias("a"), F.col("a").alias("b"))]
@@ -70,12 +72,24 @@ def hash_to_min(spark: SparkSession, edges: DataFrame, left: str, right: str, wi
     stages.drop(path)
     if not rounds:
         return linked.select(*space, F.col(left).alias("vertex"), F.col(right).alias("component")).limit(0)
-    done = [stages.keep(rounds[-1])]
-    for aside in reversed(rounds[:-1]):
-        later = reduce(DataFrame.unionByName, done).select(*space, F.col("vertex").alias("component"), F.col("component").alias("_top"))
+    top = lambda df: df.select(*space, F.col("vertex").alias("component"), F.col("component").alias("_top"))
+    done: list[DataFrame] = []
+    rest = rounds[::-1]
+    while rest:
+        # as many rounds at once as have few vertices together, one at least
+        take = 1
+        while take < min(TOGETHER, len(rest)) and sum(n for n, _ in rest[: take + 1]) <= BROADCAST_ROWS:
+            take += 1
         # settled vertices are many where one vertex has many: what later rounds say of it is counted, and broadcast if little
-        found = aside.join(broadcast_if_small(later), [*space, "component"], "left")
-        done.append(stages.keep(found.select(*space, "vertex", F.coalesce("_top", "component").alias("component"))))
+        later = broadcast_if_small(reduce(DataFrame.unionByName, done)) if done else None
+        here: list[DataFrame] = []
+        for _, aside in rest[:take]:
+            said = [*here, *([later] if later is not None else [])]
+            for known in said:
+                aside = aside.join(top(F.broadcast(known) if known is not later else known), [*space, "component"], "left").select(*space, "vertex", F.coalesce("_top", "component").alias("component"))
+            here.append(aside)
+        done.append(stages.keep(reduce(DataFrame.unionByName, here)))
+        rest = rest[take:]
     groups = reduce(DataFrame.unionByName, done)
     return groups.unionByName(groups.select(*space, F.col("component").alias("vertex"), "component").distinct())
 
