@@ -28,8 +28,9 @@ def build_session(app: str = "cellmend", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is read from spark.checkpoint.dir of the session. Only where that is unset (tests, a single
-    machine) a temporary folder is made and kept for the life of the context.
+    It is read from spark.checkpoint.dir of the session. Only where that is unset and all runs in this
+    process (tests, a single machine) a temporary folder is made and kept for the life of the context; a
+    cluster without the setting is refused.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -38,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="cellmend-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 

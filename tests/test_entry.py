@@ -26,7 +26,13 @@ def _plain(v):
     return v if not isinstance(v, int) else float(v)
 
 
-CHEAP = ["cell_diff", "value_type_and_format", "token_estimate", "fd_groups_orders", "column_profile", "latest_ledger_row", "response_bank", "metrics_summary", "aubc", "quadrants_grouping_sets", "mcnemar_holm", "nearest_rank_percentile", "half_stride_windows", "hamilton_quota", "sigma_ell", "merged_ledger"]
+CHEAP = [
+    "cell_diff", "value_type_and_format", "token_estimate", "fd_groups_orders", "column_profile", "latest_ledger_row", "response_bank", "metrics_summary", "aubc", "quadrants_grouping_sets", "mcnemar_holm",
+    "nearest_rank_percentile", "half_stride_windows", "hamilton_quota", "sigma_ell", "merged_ledger", "verifier_decision", "rejection_reasons", "full_baselines", "transfer_outcomes", "identity_audit", "identity_drift", "union_plan",
+    "union_plan_totals", "execution_differences", "reuse_audit", "reuse_import", "selected_executions", "streamed_ledger", "cache_union_audit", "api_cost_total", "cost_index", "group_savings", "selection_audit_full", "selection_differences",
+    "selection_difference_summary", "metric_delta_rows", "metric_deltas", "ledger_diff_groups", "complementarity_full", "paired_cluster_matrix", "group_metrics", "group_transitions", "answer_states", "calibration_labels", "candidate_ranks",
+    "candidate_diagnostics", "missing_fields", "split_overlaps", "join_violations", "evidence_drift", "recomputed_verdicts", "top_tenth_uplift", "choice_holds", "schedule_holds", "partition_holds", "p1_found", "p5_found", "p5_messages",
+]
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
