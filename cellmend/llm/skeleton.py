@@ -18,7 +18,6 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +49,8 @@ GONE = np.uint32(0xFFFFFFFF)
 @lru_cache(None)
 def _letters() -> tuple[str, ...]:
     """Letters of the scripts that are looked up, composed ones aside."""
+    import regex
+
     own = regex.compile("[" + "".join(rf"\p{{Script={s}}}" for s in SCRIPTS) + "]")
     every = (chr(n) for n in range(0x80, 0x20000) if not 0xD800 <= n < 0xE000)
     return tuple(c for c in every if unicodedata.category(c) in ("Lu", "Ll", "Lo") and unicodedata.decomposition(c)[:8] in ("", "<compat>") and own.match(c))
