@@ -170,12 +170,11 @@ def to_instants(rows: DataFrame, columns: list[str], sources: DataFrame, keep: l
         F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.regexp_replace(F.col(c).cast("string"), _OUTER, "").alias("value")) for c in columns))).alias("_f"),
     )
     parsed = own.where("_f.value is not null").join(table, "src_key", "left")
-    # a value that has been rewritten holds bars, which no pattern takes, so each value is matched once per pattern at most
-    canonical = F.when(~F.contains(F.col("_f.value"), F.lit("|")), F.col("_f.value"))
-    for pattern, parts in CASCADE:
-        canonical = F.regexp_replace(canonical, pattern, parts)
-    parsed = _settled(parsed, ["_keep", "tz", "date_order", "_date", "_f"], {"_c": canonical})
-    parsed = parsed.withColumn("_p", F.split(F.when(F.contains("_c", F.lit("|")), F.col("_c")), r"\|"))
+    # the first pattern that fits rewrites a value, so those after it are never tried; most values fit an early one
+    value, canonical = F.col("_f.value"), F.lit(None).cast("string")
+    for pattern, parts in reversed(CASCADE):
+        canonical = F.when(value.rlike(pattern), F.regexp_replace(value, pattern, parts)).otherwise(canonical)
+    parsed = parsed.withColumn("_p", F.split(canonical, r"\|"))
     parsed = _settled(parsed, ["_keep", "tz", "date_order", "_date", F.col("_f.name").alias("field_name")], {f"_{k}": F.col("_p")[i] for i, k in enumerate(PARTS)})
     kind, a, b, c, half, weekday = (F.col(f"_{k}") for k in ("kind", "a", "b", "c", "half", "weekday"))
     stated = F.regexp_extract(F.col("_date"), r"^\s*(\d{4}-\d{1,2}-\d{1,2})(?:[T ].*)?$", 1)
