@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cellmend.functions.scalars import bounded, format_signature, value_type
 from cellmend.operators.grouping import numbered
-from cellmend.session import Stages, shuffle_width
+from cellmend.session import Stages, broadcast_if_small
 
 NUMERIC = r"^[\s]*[+-]?(\d+(_?\d)*\.?(\d+(_?\d)*)?|\.\d+(_?\d)*)([eE][+-]?\d+)?[\s]*$|^[\s]*[+-]?(?i:inf|infinity|nan)[\s]*$"
 
@@ -50,6 +50,8 @@ def dominant(values: DataFrame, keys: list[str], value: str, row: str) -> DataFr
 #: columns up to which agreeing combinations are looked up; wider tables are compared in blocks
 COMBINED = 5
 TARGET_BLOCK, ROW_BLOCK = 256, 4096
+#: blocks of targets that are broadcast, about 25 MB at 20 columns
+BROADCAST_BLOCKS = 512
 
 
 def similar_rows(table: DataFrame, targets: DataFrame, found: DataFrame, row: str, columns: list[str], k: int = 3) -> DataFrame:
@@ -118,4 +120,5 @@ def _in_blocks(wide: DataFrame, targets: DataFrame, columns: list[str], k: int)
                 keep = n[i, j] > 0
                 yield pd.DataFrame({"cell_id": [some[x]["cell_id"] for x in i[keep]], "similar_row": where[j[keep]].astype(np.int32), "matches": n[i[keep], j[keep]].astype(np.int64)})
 
-    return rows.join(asked, "block").repartition(shuffle_width(spark)).mapInPandas(run, "cell_id string, similar_row int, matches long")
+    # the blocks of rows stay where they were made; those of targets come to them, by broadcast if they are counted as few
+    return rows.join(broadcast_if_small(asked, BROADCAST_BLOCKS), "block").mapInPandas(run, "cell_id string, similar_row int, matches long")
