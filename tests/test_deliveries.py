@@ -73,7 +73,10 @@ def test_verification_reads_only_folders_of_matching_time_buckets(spark):
     noted = [(r.bucket, set(r.noted)) for r in storage.collect() if r.noted]
     assert sum(b == 7 and {1, 7} <= n for b, n in noted) == 50 and len(noted) < 80  # a filter may hold a few more
     matching = storage.where(F.col("bucket").isin([1, 7]))
-    assert {f.split("bucket=")[1].split("/")[0] for f in matching.inputFiles()} <= {"1", "7"} and len(matching.inputFiles()) <= 8 < len(storage.inputFiles())
+    plan = matching._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    read = {r[0] for r in matching.select(F.input_file_name()).distinct().collect()}
+    assert {f.split("bucket=")[1].split("/")[0] for f in read} == {"1", "7"} and len(read) <= 8 < len(storage.inputFiles())
     assert sorted(r[0] for r in op.repeats(spark.createDataFrame(rows, SCHEMA)).collect()) == list(range(1000, 1050))
 
 
