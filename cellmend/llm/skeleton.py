@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmend.session import Stages
+from cellmend.session import Stages, broadcast_if_small
 
 # fixed values: scripts whose letters are looked up
 SCRIPTS = ["Armenian", "Canadian_Aboriginal", "Carian", "Cherokee", "Coptic", "Cyrillic", "Deseret", "Greek", "Lisu", "Lycian", "Old_Italic", "Tifinagh"]
@@ -130,23 +130,33 @@ def consistent_form(text: Column, spark: SparkSession | None = None) -> Column:
     return F.when(other, of(F.when(other, text))).otherwise(text)
 
 
-def look_alikes(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, look, form, forms, links): documents whose look several different strings share.
+#: looks that several strings share, as digests, that may be broadcast, about 10 MB
+BROADCAST_LOOKS = 100_000
 
-    look identifies the skeleton, form the string; forms: the strings of that look, links: the rows of its
-    other strings. Null texts, rows without a key, texts without a visible character, and texts only met as
-    exact copies are left out. Repeated rows are repeated.
-    """
+
+def _looks(spark: SparkSession, documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: documents (_id, form, look), forms (look, form, n) and looks of several forms (look, forms, all)."""
     docs = documents.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_t")).where("_t is not null and _id is not null")
     look = consistent_form(F.col("_t"), spark)
     docs = docs.select("_id", F.sha2("_t", 256).alias("form"), look.alias("_s")).where(F.col("_s").rlike(r"\S")).select("_id", "form", F.sha2("_s", 256).alias("look"))
     stages = Stages(spark, "skeleton")
     docs = stages.keep(docs)
     per_form = stages.keep(docs.groupBy("look", "form").agg(F.count("*").alias("n")))
-    several = per_form.groupBy("look").agg(F.count("*").alias("forms"), F.sum("n").alias("all")).where("forms > 1")
+    several = stages.keep(per_form.groupBy("look").agg(F.count("*").alias("forms"), F.sum("n").alias("all")).where("forms > 1"))
+    return docs, per_form, several
+
+
+def look_alikes(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, look, form, forms, links): documents whose look several different strings share.
+
+    look identifies the skeleton, form the string; forms: the strings of that look, links: the rows of its
+    other strings. Null texts, rows without a key, texts without a visible character, and texts only met as
+    exact copies are left out. Repeated rows are repeated.
+    """
+    docs, per_form, several = _looks(spark, documents, key, text)
     # written tables on both sides let AQE split a look that a third of the documents share
-    links = stages.keep(per_form.join(several, "look").select("look", "form", "forms", (F.col("all") - F.col("n")).alias("links")))
-    return docs.join(links, ["look", "form"]).select(F.col("_id").alias(key), "look", "form", "forms", "links")
+    links = Stages(spark, "links").keep(per_form.join(broadcast_if_small(several, BROADCAST_LOOKS), "look").select("look", "form", "forms", (F.col("all") - F.col("n")).alias("links")))
+    return docs.join(broadcast_if_small(links, BROADCAST_LOOKS), ["look", "form"]).select(F.col("_id").alias(key), "look", "form", "forms", "links")
 
 
 def look_alike_pairs(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -156,10 +166,11 @@ def look_alike_pairs(spark: SparkSession, documents: DataFrame, key: str = "doc_
     exact copies never meet each other.
     """
     stages = Stages(spark, "look-alikes")
-    docs = stages.keep(look_alikes(spark, documents, key, text).select(F.col(key).alias("_id"), "look", "form"))
-    forms = docs.select("look", "form").distinct()
-    other = forms.withColumnRenamed("form", "other")
-    pairs = stages.keep(forms.join(other, "look").where("form < other").select("form", "other"))
-    left = pairs.join(docs.select(F.col("_id").alias("_a"), "form"), "form").select("other", "_a")
+    docs, per_form, several = _looks(spark, documents, key, text)
+    looks = broadcast_if_small(several.select("look"), BROADCAST_LOOKS)
+    forms = per_form.join(looks, "look").select("look", "form")
+    pairs = stages.keep(forms.join(forms.withColumnRenamed("form", "other"), "look").where("form < other").select("form", "other"))
+    docs = stages.keep(docs.join(looks, "look").select("_id", "form"))
+    left = pairs.join(docs.withColumnRenamed("_id", "_a"), "form").select("other", "_a")
     both = left.join(docs.select(F.col("_id").alias("_b"), F.col("form").alias("other")), "other")
     return both.select(F.least("_a", "_b").alias(f"{key}_a"), F.greatest("_a", "_b").alias(f"{key}_b"))
