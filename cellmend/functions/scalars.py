@@ -97,13 +97,13 @@ def row_cluster(cell: Column) -> Column:
 
 def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
     """All n-grams of the lower-cased text with single blanks, as one array."""
-    t = F.lower(collapse_blanks(text))
 
-    def of(n: int) -> Column:
+    def of(t: Column, n: int) -> Column:
         starts = F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - n + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.substring(t, i, F.lit(n)))
 
-    return F.flatten(F.array(*map(of, range(low, high + 1))))
+    # a variable of one value: the text is lower-cased once, not for every n-gram
+    return F.flatten(F.transform(F.array(F.lower(collapse_blanks(text))), lambda t: F.flatten(F.array(*(of(t, n) for n in range(low, high + 1))))))
 
 
 def price_period(at: Column) -> Column:

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellmend.functions.scalars import char_ngrams
-from cellmend.session import Stages
+from cellmend.session import Stages, broadcast_if_small, shuffle_width
 
-#: clusters whose distances to all others are held at once in a leaf order
-LINKAGE_ROWS = 256
+#: columns that at least one row in so many has are laid out as numbers in a leaf order
+LAID_OUT = 4
 
 
 def exact_windows(order: Column, k: int) -> Column:
@@ -107,12 +107,19 @@ def derangement(n: int, seed: int) -> list[int]:
     return order
 
 
-def term_weights(texts: DataFrame, key: str, text: str, low: int = 2, high: int = 5) -> DataFrame:
-    """(key, term, w) of character n-grams: 1 + ln tf times ln((1 + N) / (1 + df)) + 1."""
-    grams = texts.select(key, F.explode(char_ngrams(F.col(text), low, high)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    n = texts.select(key).distinct().count()
-    df = grams.groupBy("term").agg(F.count("*").alias("df"))
-    return grams.join(df, "term").select(key, "term", ((1 + F.log("tf")) * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)).alias("w"))
+def term_weights(texts: DataFrame, key: str, text: str, low: int = 2, high: int = 5, corpus: str | None = None, times: str | None = None) -> DataFrame:
+    """(key, term, w) of character n-grams: 1 + ln tf times ln((1 + N) / (1 + df)) + 1.
+
+    N and df are of the texts of one corpus, all being one unless told; a text counts as often as `times` says.
+    """
+    stages = Stages(texts.sparkSession, "terms")
+    of, often = F.col(corpus) if corpus else F.lit(""), F.col(times) if times else F.lit(1)
+    own = texts.select(key, text, of.alias("_of"), often.alias("_times")).repartition(shuffle_width(texts.sparkSession))  # a small table of texts is many n-grams
+    grams = own.select(key, "_of", "_times", F.explode(char_ngrams(F.col(text), low, high)).alias("term")).groupBy(key, "_of", "_times", "term").agg(F.count("*").alias("tf"))
+    grams = stages.keep(grams)
+    n = own.groupBy("_of").agg(F.sum("_times").alias("_all"))
+    df = stages.keep(grams.groupBy("_of", "term").agg(F.sum("_times").alias("df")).join(F.broadcast(n), "_of"))  # a corpus is one row
+    return grams.join(broadcast_if_small(df), ["_of", "term"]).select(key, "term", ((1 + F.log("tf")) * (F.log((1.0 + F.col("_all")) / (1 + F.col("df"))) + 1)).alias("w"))
 
 
 def unit_vectors(weighted: DataFrame, key: str) -> DataFrame:
@@ -143,80 +150,156 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((na == 0) & (nb == 0), 1.0).when((na == 0) | (nb == 0), 0.0).otherwise(both)
 
 
-def average_linkage_order(groups: list[list[str]], vectors: np.ndarray) -> list[str]:
-    """Leaves of average linkage under cosine distance; groups: the ids of each vector.
+def _alike_columns(n: int, row: np.ndarray, col: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries with columns of one value in the same rows put together: products of rows stay, with fewer entries."""
+    if not row.size:
+        return row, col, value
+    at = np.lexsort((row, col))
+    row, col, value = row[at], col[at], value[at]
+    start = np.flatnonzero(np.r_[True, col[1:] != col[:-1]])
+    many = np.diff(np.r_[start, col.size])
+    # a column's rows are told by two sums of 64 random bits
+    marks = np.random.default_rng(0).integers(0, 2**64, (2, n), dtype=np.uint64)
+    kind = np.column_stack([np.add.reduceat(m[row], start) for m in marks])
+    one = np.minimum.reduceat(value, start) == np.maximum.reduceat(value, start)
+    kind[~one] = np.column_stack([np.flatnonzero(~one), np.full((~one).sum(), -1)]).astype(np.uint64)
+    _, first, which = np.unique(kind, axis=0, return_index=True, return_inverse=True)
+    which = which.ravel()
+    length = np.sqrt(np.bincount(which, weights=value[start] ** 2))
+    kept = np.zeros(start.size, dtype=bool)
+    kept[first] = True
+    value = np.where(np.repeat(one, many), np.repeat(length[which], many), value)
+    entry = np.repeat(kept, many)
+    return row[entry], np.repeat(which, many)[entry], value[entry]
+
+
+def average_linkage_order(groups: list[list[str]], vectors) -> list[str]:
+    """Leaves of average linkage under cosine distance; groups: the ids of each vector; vectors: a matrix, or (row, column, value) of its entries.
 
     Of equally near clusters the pair with the smallest first ids merges first; a merge puts the nearer
     ends together, and of equals the order that compares smaller. So the ids of equal vectors follow each
     other by name, and only different vectors are linked. The mean cosine of two clusters is the product
-    of their sums of unit vectors over both sizes: what is held grows with the vectors, not with their
-    pairs, whose number the time grows with.
+    of their sums of unit vectors over both sizes: what is held grows with the vectors' entries, not with
+    their pairs. Clusters that are each other's nearest merge whenever they are met: with that order of
+    pairs no other merge comes between, so the tree is that of taking the nearest pair each time.
     """
-    x = np.asarray(vectors, dtype=float)
-    length = np.sqrt((x**2).sum(axis=1))
-    # vectors without length are alike, and unlike all others: a direction of their own
-    x = np.column_stack([x / np.where(length > 0, length, 1)[:, None], (length == 0).astype(float)])
-    same: dict[bytes, int] = {}
+    n = len(groups)
+    if isinstance(vectors, tuple):
+        dense, (row, col, value) = np.zeros((n, 0)), _alike_columns(n, *vectors)
+    else:
+        dense, row, col, value = np.asarray(vectors, dtype=float), np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    length = np.sqrt((dense**2).sum(axis=1) + np.bincount(row, weights=value**2, minlength=n))
+    unit = np.where(length > 0, length, 1)
+    value = value / unit[row]
+    # columns that many rows have are laid out; vectors without length are alike, and unlike all others: a direction of their own
+    often = np.bincount(col, minlength=1) * LAID_OUT >= n
+    place = np.cumsum(often) - 1
+    laid = np.zeros((n, int(often.sum())))
+    k = often[col] if col.size else np.zeros(0, bool)
+    laid[row[k], place[col[k]]] = value[k]
+    x = np.column_stack([dense / unit[:, None], laid, (length == 0).astype(float)])
+    row, col, value = row[~k], col[~k], value[~k]
+    at = np.lexsort((col, row))
+    cuts = np.searchsorted(row[at], np.arange(1, n))
+    cols, values = np.split(col[at], cuts), np.split(value[at], cuts)
+
+    same: dict[tuple[bytes, bytes, bytes], int] = {}
     members: list[list[str]] = []
     first = []
-    for i, v in enumerate(np.round(x, 12) + 0.0):
-        at = same.setdefault(v.tobytes(), len(members))
+    for i in range(n):
+        key = ((np.round(x[i], 12) + 0.0).tobytes(), cols[i].tobytes(), np.round(values[i], 12).tobytes())
+        at = same.setdefault(key, len(members))
         if at == len(members):
             members.append([])
             first.append(i)
         members[at].extend(groups[i])
     members = [sorted(m) for m in members]
     order = sorted(range(len(members)), key=lambda i: members[i][0])
-    members, unit = [members[i] for i in order], x[[first[i] for i in order]]
-    ends = [(i, i) for i in range(len(members))]
+    members, first = [members[i] for i in order], [first[i] for i in order]
+    x, leaf_cols, leaf_values = x[first], [cols[i] for i in first], [values[i] for i in first]
     n = len(members)
-    # place: the cluster of each row, named by its smallest member; rows of merged clusters go once half are gone
-    place, sums, size = np.arange(n), unit.copy(), np.array([float(len(m)) for m in members])
-    sums *= size[:, None]
-    near, far = np.full(n, -1), np.full(n, np.inf)
-    alive = np.ones(n, dtype=bool)
-
-    def distances(rows):
-        return np.where(alive, np.round(np.clip(1 - sums[rows] @ sums.T / (size[rows][:, None] * size), 0, 2), 12), np.inf)
-
-    def look(rows):
-        """Nearest later cluster of rows, of equals the first."""
-        for k in range(0, len(rows), LINKAGE_ROWS):
-            part = rows[k : k + LINKAGE_ROWS]
-            d = distances(part)
-            d[np.arange(len(sums)) <= part[:, None]] = np.inf
-            near[part] = d.argmin(axis=1)
-            far[part] = d[np.arange(len(part)), near[part]]
-
-    look(np.arange(n))
-    leaf = lambda p, q: round(float(np.clip(1 - unit[p] @ unit[q], 0, 2)), 12)
-    for left in range(n, 1, -1):
-        i = int(far.argmin())
-        j = int(near[i])
-        a, b = place[i], place[j]
-        (a0, a1), (b0, b1) = ends[a], ends[b]
+    if not n:
+        return []
+
+    size = np.array([float(len(m)) for m in members])
+    sums, own = x * size[:, None], [(c, v * s) for c, v, s in zip(leaf_cols, leaf_values, size)]
+    ends, follows = [(i, i) for i in range(n)], [-1] * n
+    wide = int(max((c[-1] for c in leaf_cols if c.size), default=-1)) + 1
+    buffer = np.zeros(wide)
+
+    def postings():
+        rows, all_cols = np.repeat(np.arange(len(own)), [len(c) for c, _ in own]), np.concatenate([c for c, _ in own])
+        by = np.argsort(all_cols, kind="stable")
+        return np.searchsorted(all_cols[by], np.arange(wide + 1)), rows[by], np.concatenate([v for _, v in own])[by]
+
+    def products(i):
+        out = sums @ sums[i]
+        some, weights = own[i]
+        lengths = starts[some + 1] - starts[some]
+        entries = np.repeat(starts[some] - np.cumsum(lengths) + lengths, lengths)
+        entries += np.arange(entries.size)
+        return out + np.bincount(now[post_row[entries]], weights=post_value[entries] * np.repeat(weights, lengths), minlength=len(out))
+
+    def leaf(p, q):
+        buffer[leaf_cols[p]] = leaf_values[p]
+        cosine = x[p] @ x[q] + buffer[leaf_cols[q]] @ leaf_values[q]
+        buffer[leaf_cols[p]] = 0
+        return round(float(np.clip(1 - cosine, 0, 2)), 12)
+
+    # rows of merged clusters go once half are gone; a row stays the cluster's that is named by the smaller member
+    starts, post_row, post_value = postings()
+    now, gone, left = np.arange(n), np.zeros(n), n
+    chain: list[int] = []
+    keys: list[tuple[float, int, int]] = []  # of each two neighbours in the chain: their distance and both rows
+    while left > 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(gone == 0)[0]))
+        i = chain[-1]
+        d = 1 - products(i) / (size[i] * size) + gone
+        d[i] = np.inf
+        near = np.flatnonzero(d <= d.min() + 2e-12)
+        rounded = np.round(np.clip(d[near], 0, 2), 12)
+        j = int(near[rounded.argmin()])
+        key = (float(rounded.min()), min(i, j), max(i, j))
+        if not keys or key < keys[-1]:
+            chain.append(j)
+            keys.append(key)
+            continue
+        i, j = sorted((chain.pop(), chain.pop()))
+        keys = keys[:-2]
+        (a0, a1), (b0, b1) = ends[i], ends[j]
         ab, ba = leaf(a1, b0), leaf(b1, a0)
-        forward = ab < ba or (ab == ba and members[a][0] < members[b][0])
-        members[a], ends[a] = (members[a] + members[b], (a0, b1)) if forward else (members[b] + members[a], (b0, a1))
-        members[b] = []
+        if ab < ba or (ab == ba and members[a0][0] < members[b0][0]):
+            follows[a1], ends[i] = b0, (a0, b1)
+        else:
+            follows[b1], ends[i] = a0, (b0, a1)
         sums[i] += sums[j]
+        sums[j] = 0
         size[i] += size[j]
-        alive[j], far[j] = False, np.inf
-        d = distances(np.array([i]))[0]
-        index = np.arange(len(sums))
-        lost = alive & (index < j) & (index != i) & ((near == i) | (near == j)) & ((index > i) | (d > far))
-        closer = alive & (index < i) & ~lost & ((d < far) | ((d == far) & (i <= near)))
-        near[closer], far[closer] = i, d[closer]
-        look(np.append(np.flatnonzero(lost), i))
-        if 2 * (left - 1) < len(sums) and left > 64:
-            moved = alive.cumsum() - 1
-            place, sums, size, near, far = place[alive], sums[alive], size[alive], moved[near[alive]], far[alive]
-            alive = np.ones(len(sums), dtype=bool)
-    return members[0] if members else []
+        (some, these), (more, those) = own[i], own[j]
+        buffer[some] = these
+        buffer[more] += those
+        both = np.union1d(some, more)
+        own[i], own[j] = (both, buffer[both]), (some[:0], these[:0])
+        buffer[both] = 0
+        now[now == j] = i
+        gone[j], left = np.inf, left - 1
+        if 2 * left < len(gone):
+            kept = np.flatnonzero(gone == 0)
+            moved = np.cumsum(gone == 0) - 1
+            chain, keys = [int(moved[c]) for c in chain], [(v, int(moved[p]), int(moved[q])) for v, p, q in keys]
+            sums, size, own, ends = sums[kept], size[kept], [own[c] for c in kept], [ends[c] for c in kept]
+            now, gone = np.arange(left), np.zeros(left)
+            starts, post_row, post_value = postings()
+    at, out = ends[int(np.flatnonzero(gone == 0)[0])][0], []
+    while at >= 0:
+        out += members[at]
+        at = follows[at]
+    return out
 
 
 def bucket_orders(vectors: DataFrame, bucket: list[str], key: str, dense, largest: int | None) -> DataFrame:
-    """(bucket..., part, ordered) of items (bucket..., key, _v); dense: makes a matrix of a series of vectors.
+    """(bucket..., part, ordered) of items (bucket..., key, _v); dense: makes vectors for average_linkage_order of a series.
 
     A bucket is one order. Only if `largest` is given, a bucket above it is cut into unrelated parts of about
     that size by the hash of the key. Keys of equal vectors travel as one row.
@@ -226,12 +309,17 @@ def bucket_orders(vectors: DataFrame, bucket: list[str], key: str, dense, larges
         n = vectors.groupBy(*bucket).agg(F.count("*").alias("_n"))
         vectors, part = vectors.join(n, bucket), F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / largest))
     alike = vectors.withColumn("part", part).groupBy(*bucket, "part", "_v").agg(F.sort_array(F.collect_list(F.col(key).cast("string"))).alias("_keys"))
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in vectors.select(*bucket).schema), "part bigint", "ordered array<string>"])
+    return linked(alike, [*bucket, "part"], dense)
+
+
+def linked(alike: DataFrame, bucket: list[str], dense) -> DataFrame:
+    """(bucket..., ordered) of (bucket..., _keys, _v): the ids of each vector."""
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in alike.select(*bucket).schema), "ordered array<string>"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*pdf[bucket].iloc[0], int(pdf.part.iloc[0]), average_linkage_order([list(k) for k in pdf["_keys"]], dense(pdf["_v"]))]], columns=[*bucket, "part", "ordered"])
+        return pd.DataFrame([[*pdf[bucket].iloc[0], average_linkage_order([list(k) for k in pdf["_keys"]], dense(pdf["_v"]))]], columns=[*bucket, "ordered"])
 
-    return alike.groupBy(*bucket, "part").applyInPandas(run, schema)
+    return alike.groupBy(*bucket).applyInPandas(run, schema)
 
 
 def leaf_orders(items: DataFrame, bucket: list[str], key: str, vector: str, largest: int | None = None) -> DataFrame:

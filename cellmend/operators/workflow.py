@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellmend.functions.scalars import format_signature, value_type
-from cellmend.operators.grouping import bucket_orders, derangement, exact_windows, first_of_equal, numbered, term_weights, unit_vectors
+from cellmend.operators.grouping import bucket_orders, derangement, exact_windows, first_of_equal, linked, numbered, term_weights
 from cellmend.operators.prompts import query_id
 from cellmend.operators.statistics import derived_seed
 
@@ -57,11 +57,49 @@ def dense_vectors(column: pd.Series) -> np.ndarray:
     return out
 
 
+def entries(column: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of sparse vectors, each a pair of arrays: terms and their weights."""
+    lengths = [len(v["terms"]) if v is not None else 0 for v in column]
+    both = [v for v in column if v is not None and len(v["terms"])]
+    if not both:
+        return np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0)
+    _, which = np.unique(np.concatenate([v["terms"] for v in both]), return_inverse=True)
+    return np.repeat(np.arange(len(column)), lengths), which, np.concatenate([v["weights"] for v in both]).astype(float)
+
+
+def packed(weighted: DataFrame, key: str, weight: str = "w") -> DataFrame:
+    """(key, _v): the terms of a key, as 64-bit hashes in order, their weights, and the length of these."""
+    one = F.struct(F.xxhash64("term").alias("term"), F.col(weight).alias("w"))
+    v = weighted.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("v"), F.sqrt(F.sum(F.col(weight) ** 2)).alias("length"))  # the terms of one value
+    return v.select(key, F.struct(F.col("v.term").alias("terms"), F.col("v.w").alias("weights"), "length").alias("_v"))
+
+
+def merged_packed(first: DataFrame, second: DataFrame, key: str, shares: tuple[float, float]) -> DataFrame:
+    """(key, _v) of two written tables of it that have no terms in common, each at unit length times its share."""
+    unit = lambda v, share: F.transform(v["weights"], lambda w: w * share / v["length"])
+    both = first.withColumnRenamed("_v", "_a").join(second.withColumnRenamed("_v", "_b"), key)
+    a, b = F.col("_a"), F.col("_b")
+    return both.select(key, F.struct(F.concat(a["terms"], b["terms"]).alias("terms"), F.concat(unit(a, shares[0]), unit(b, shares[1])).alias("weights")).alias("_v"))
+
+
 def sparse_leaf_orders(items: DataFrame, bucket: list[str], key: str, terms: DataFrame, largest: int | None = None) -> DataFrame:
     """(bucket..., part, ordered) by the cosine of sparse vectors (key, term, weight). Items without terms have no length."""
-    vectors = terms.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", F.round("weight", 12).alias("weight")))).alias("_v"))  # the terms of one value
+    vectors = packed(terms.withColumn("weight", F.round("weight", 12)), key, "weight")
+    alone = F.when(F.col("_v").isNotNull(), F.struct("_v.terms", "_v.weights")).alias("_v")  # of equal vectors one row
+    return bucket_orders(items.join(vectors, key, "left").select(*bucket, key, alone), bucket, key, entries, largest)
 
-    return bucket_orders(items.join(vectors, key, "left").select(*bucket, key, "_v"), bucket, key, dense_vectors, largest)
+
+def form_orders(items: DataFrame, bucket: list[str], key: str, form: str, vectors: DataFrame) -> DataFrame:
+    """(bucket..., ordered) of items (bucket..., key, form) by the cosine of the vectors (form, _v) of their forms.
+
+    Two items have one order, by name, whatever their vectors, so only forms of larger buckets travel.
+    """
+    n = items.groupBy(*bucket).agg(F.count("*").alias("_n"))
+    sized = items.join(n, bucket)
+    ids = F.sort_array(F.collect_list(F.col(key).cast("string")))  # two, or those of one form
+    few = sized.where("_n <= 2").groupBy(*bucket).agg(ids.alias("ordered"))
+    alike = sized.where("_n > 2").groupBy(*bucket, form).agg(ids.alias("_keys")).join(vectors, form, "left").select(*bucket, "_keys", "_v")
+    return few.unionByName(linked(alike, bucket, entries))
 
 
 def group_actions(cells: DataFrame, orders: list[tuple[str, DataFrame]], sizes: list[int]) -> DataFrame:
@@ -85,20 +123,32 @@ def signatures(cells: DataFrame) -> DataFrame:
     return cells.withColumns({f"{n}_{k}": f(F.col(f"{n}_value")) for n in ("dirty", "base") for k, f in (("type", value_type), ("format", format_signature))})
 
 
-def pattern_vectors(signed: DataFrame) -> DataFrame:
-    """(cell_id, term, weight): types and formats of the dirty and the base value and the signed log of the base value's support."""
+def cell_forms(signed: DataFrame, masked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells with pattern and form, forms with pattern, times and what they consist of).
+
+    Vectors depend on the signature alone, the pattern, or on the data set, column and masked row besides, the form: so they are made for these.
+    """
+    pattern = ["base_share", *SIGNATURE]
+    named = lambda *of: F.sha2(F.to_json(F.struct(*of)), 256)
+    cells = signed.join(masked, "cell_id").withColumns({"pattern": named(*pattern), "form": named("dataset", "column_name", "masked", *pattern)})
+    forms = cells.groupBy("form", "pattern", "dataset", "column_name", "masked", *pattern).agg(F.count("*").alias("times"))
+    return cells.drop("masked"), forms
+
+
+def pattern_vectors(patterns: DataFrame, key: str = "pattern") -> DataFrame:
+    """(pattern, term, w): types and formats of the dirty and the base value and the signed log of the base value's support."""
     terms = [F.struct(F.concat(F.lit(f"{c}="), c).alias("term"), F.lit(1.0).alias("w")) for c in SIGNATURE]
     support = F.struct(F.lit("support=base").alias("term"), (F.signum("base_share") * F.log1p(F.abs("base_share"))).alias("w"))
-    return unit_vectors(signed.select("cell_id", F.inline(F.array(*terms, support))), "cell_id")
+    return patterns.select(key, F.inline(F.array(*terms, support)))
 
 
-def semantic_vectors(signed: DataFrame, masked: DataFrame, weight: float = 1.5) -> DataFrame:
-    """(cell_id, term, weight): n-grams of the masked rows of one data set, with the cell's signature as further terms."""
+def semantic_vectors(forms: DataFrame, weight: float = 1.5) -> DataFrame:
+    """(form, term, w): n-grams of the masked rows of each data set, with the signature as further terms."""
     share = F.col("base_share")
     bucket = F.when(share == 0, "zero").when(share < 0.25, "low").when(share < 0.75, "medium").otherwise("high")
     tokens = [F.concat(F.lit("signature:column:"), "column_name"), *(F.concat(F.lit(f"signature:{c}:"), c) for c in SIGNATURE), F.concat(F.lit("signature:support:base:"), bucket)]
-    own = signed.select("cell_id", F.explode(F.array(*tokens)).alias("term"), F.lit(weight).alias("w"))
-    return unit_vectors(term_weights(masked, "cell_id", "masked").unionByName(own), "cell_id")
+    own = forms.select("form", F.explode(F.array(*tokens)).alias("term"), F.lit(weight).alias("w"))
+    return term_weights(forms, "form", "masked", corpus="dataset", times="times").unionByName(own)
 
 
 def row_orders(cells: DataFrame) -> DataFrame:

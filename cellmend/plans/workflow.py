@@ -58,27 +58,26 @@ def _view_actions(spark, d):
     base = O.base_values(spark, d).join(n, ["dataset", "col_idx", "base_value"]).join(total, ["dataset", "col_idx"])
     base = base.select("dataset", "col_idx", "base_value", (F.col("_n") / F.col("_all")).alias("base_share"))
     found = stages.keep(O.found(spark, d).join(F.broadcast(base), ["dataset", "col_idx"], "left").fillna({"base_value": "", "base_share": 0.0}))
-    signed = workflow.signatures(found)
     tables = [("part", O.dirty_part(spark, d), O.PART), ("customer", O.dirty_customer(spark, d), O.CUSTOMER)]
-    rows, semantic = None, None
+    rows = None
     for name, dirty, columns in tables:
-        own = F.col("dataset") == name
-        masked = stages.keep(cells.masked_rows(dirty, found.where(own), "row_idx", columns))
-        vectors = workflow.semantic_vectors(signed.where(own), masked)
-        rows, semantic = (masked, vectors) if rows is None else (rows.unionByName(masked), semantic.unionByName(vectors))
-    pattern, semantic = stages.keep(workflow.pattern_vectors(signed)), stages.keep(semantic)
-    both = stages.keep(grouping.merged_vectors([("pattern", pattern, 0.65), ("semantic", semantic, 0.35)], cell))
+        masked = cells.masked_rows(dirty, found.where(F.col("dataset") == name), "row_idx", columns)
+        rows = masked if rows is None else rows.unionByName(masked)
+    rows = stages.keep(rows)
+    formed, forms = map(stages.keep, workflow.cell_forms(workflow.signatures(found), rows))
+    pattern = stages.keep(workflow.packed(workflow.pattern_vectors(forms.dropDuplicates(["pattern"])), "pattern"))
+    semantic = stages.keep(workflow.packed(workflow.semantic_vectors(forms), "form"))
+    both = workflow.merged_packed(forms.select("form", "pattern").join(pattern, "pattern").drop("pattern"), semantic, "form", (0.65, 0.35))
     shared = found.groupBy("dataset", "row_idx").agg(F.count("*").alias("_k")).where("_k > 1").select("dataset", "row_idx")
-    in_rows = found.select("dataset", "row_idx", cell).join(shared, ["dataset", "row_idx"])
     broken = rules.violation_members(O.dirty_part(spark, d), found.where("dataset = 'part'"), "row_idx", ["brand"], "ptype", O.PART, "source", "part", "part_fd1")
-    in_rule = broken.select(F.lit("part").alias("dataset"), "component_id", cell)
+    in_rule = broken.select(F.lit("part").alias("dataset"), "component_id", cell).join(formed.select(cell, "form"), cell)
     views = [
-        ("row", in_rows, ["dataset", "row_idx"], both),
-        ("pattern", found.select(*place, cell), place, pattern),
-        ("public_fd", in_rule, ["dataset", "component_id"], both),
-        ("semantic", found.select(*place, cell), place, semantic),
+        ("row", formed.join(shared, ["dataset", "row_idx"]), ["dataset", "row_idx"], "form", both),
+        ("pattern", formed, place, "pattern", pattern),
+        ("public_fd", in_rule, ["dataset", "component_id"], "form", both),
+        ("semantic", formed, place, "form", semantic),
     ]
-    orders = [(view, stages.keep(workflow.sparse_leaf_orders(items, bucket, cell, vectors))) for view, items, bucket, vectors in views]
+    orders = [(view, stages.keep(workflow.form_orders(items, bucket, cell, form, vectors))) for view, items, bucket, form, vectors in views]
     return workflow.group_actions(found, orders, [2, 4, 8]), found, rows
 
 
