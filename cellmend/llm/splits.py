@@ -7,9 +7,8 @@ that label, and their members go to the split that still needs most of it. That
 at a time; where it leaves a split too large or too small, groups change places until every split is as
 near to its share as moving one group, or exchanging two, brings it, the labels deciding between equals.
 
-Classes are kept few: where there are more rows of class and label than `CLASS_ROWS`, or a table of both
-would have more than `CLASS_CELLS` cells, counts are taken to fewer binary digits, down to the size alone.
-Groups with at least 1/HEAD of all records always count exactly. Which members of a class go where is decided by their rank in hash order.
+Classes are exact whatever their number, so no result depends on the size of the input. What is held
+grows with the rows of class and label. Which members of a class go where is decided by their rank in hash order.
 """
 
 from __future__ import annotations
@@ -25,12 +24,11 @@ from cellmend.llm.components import hash_to_min
 from cellmend.operators.grouping import ranks
 from cellmend.session import Stages, broadcast_if_small
 
+#: former sizes from which counts were rounded; tests set them, nothing reads them
 HEAD = 4096
 CLASS_ROWS = 200_000
-#: classes times labels, which one task lays out as numbers
-CLASS_CELLS = 20_000_000
-#: binary digits that counts are taken to, from all of them to none
-DIGITS = [None, 6, 3, 1, 0]
+#: classes times labels that are laid out as numbers at once
+CLASS_CELLS = 2_000_000
 #: a split this near to its share, or by half of the smallest group, is not changed for its size alone
 NEAR = 0.002
 # fixed values: words that name no family
@@ -53,48 +51,95 @@ def _dealt(need: np.ndarray, in_all: np.ndarray, each: float, members: int) -> n
     return out
 
 
-def place(counts: np.ndarray, members: np.ndarray, shares: np.ndarray) -> np.ndarray:
-    """(class, split): members of each class per split. counts: (class, label) of one member; shares: of the splits, the first of equals preferred."""
-    wanted = shares[:, None] * (members @ counts)[None, :]
+class Counts:
+    """Counts above zero by class and label: entries in the order of classes."""
+
+    def __init__(self, start: np.ndarray, label: np.ndarray, n: np.ndarray, labels: int):
+        self.start, self.label, self.n, self.labels = start, label, n.astype(float), labels
+        self.row = np.repeat(np.arange(start.size - 1), np.diff(start))
+        self.size = np.bincount(self.row, weights=self.n, minlength=start.size - 1)
+
+    @staticmethod
+    def of(table: np.ndarray | Counts) -> Counts:
+        if isinstance(table, Counts):
+            return table
+        row, label = np.nonzero(table)
+        return Counts(np.searchsorted(row, np.arange(table.shape[0] + 1)), label, table[row, label], table.shape[1])
+
+    def one(self, c: int) -> tuple[np.ndarray, np.ndarray]:
+        k = slice(self.start[c], self.start[c + 1])
+        return self.label[k], self.n[k]
+
+    def total(self, members: np.ndarray) -> np.ndarray:
+        """Of each label, over so many members of each class."""
+        return np.bincount(self.label, weights=members[self.row] * self.n, minlength=self.labels)
+
+    def laid(self, classes: np.ndarray) -> np.ndarray:
+        """(class, label) of a few classes."""
+        classes, out = np.asarray(classes), np.zeros((len(classes), self.labels))
+        many = self.start[classes + 1] - self.start[classes]
+        at = np.repeat(self.start[classes] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        out[np.repeat(np.arange(len(classes)), many), self.label[at]] = self.n[at]
+        return out
+
+
+def place(counts: np.ndarray | Counts, members: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """(class, split): members of each class per split. counts: by class and label, of one member; shares: of the splits, the first of equals preferred."""
+    counts = Counts.of(counts)
+    left, size = counts.total(members), counts.size
+    wanted = shares[:, None] * left[None, :]
     in_all = wanted.sum(axis=1)
-    left = members @ counts
     out, open_ = np.zeros((members.size, shares.size), dtype=np.int64), np.ones(members.size, dtype=bool)
-    size = counts.sum(axis=1)
+    by = np.argsort(counts.label, kind="stable")
+    ends = np.searchsorted(counts.label[by], np.arange(counts.labels + 1))
     queue = [(n, label) for label, n in enumerate(left) if n > 0]
     heapq.heapify(queue)
     while queue:
         n, label = heapq.heappop(queue)
         if n != left[label]:
             continue
-        having = np.flatnonzero(open_ & (counts[:, label] > 0))
-        changed = np.zeros(counts.shape[1], dtype=bool)
-        for c in having[np.lexsort((having, -size[having], -counts[having, label]))]:
-            out[c] = _dealt(wanted[:, label], in_all, counts[c, label], int(members[c]))
-            wanted -= out[c][:, None] * counts[c][None, :]
+        own = by[ends[label] : ends[label + 1]]
+        own = own[open_[counts.row[own]]]
+        having, each, changed = counts.row[own], counts.n[own], []
+        for k in np.lexsort((having, -size[having], -each)):
+            c = having[k]
+            labels, numbers = counts.one(c)
+            out[c] = _dealt(wanted[:, label], in_all, each[k], int(members[c]))
+            wanted[:, labels] -= out[c][:, None] * numbers[None, :]
             in_all -= out[c] * size[c]
-            changed |= counts[c] > 0
+            left[labels] -= members[c] * numbers
+            changed.append(labels)
         open_[having] = False
-        left = np.where(changed, members[open_] @ counts[open_], left)
         left[label] = 0
-        for other in np.flatnonzero(changed & (left > 0)):
-            heapq.heappush(queue, (left[other], int(other)))
+        for other in np.unique(np.concatenate(changed)) if changed else ():
+            if left[other] > 0:
+                heapq.heappush(queue, (left[other], int(other)))
     return out
 
 
-def settle(placed: np.ndarray, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
+def settle(placed: np.ndarray, counts: np.ndarray | Counts, shares: np.ndarray) -> np.ndarray:
     """Changes places of groups until no move of one group and no exchange of two brings the splits nearer to their shares."""
-    placed, size = placed.copy(), counts.sum(axis=1)
-    total, all_of = float(size @ placed.sum(axis=1)), placed.sum(axis=1) @ counts
+    counts = Counts.of(counts)
+    placed, size = placed.copy(), counts.size
+    total, all_of = float(size @ placed.sum(axis=1)), counts.total(placed.sum(axis=1))
     if not total:
         return placed
     near = max(size[size > 0].min() / 2, NEAR * total)
     over = size @ placed - shares * total
-    labels = placed.T @ counts - shares[:, None] * all_of[None, :]
+    labels = np.stack([counts.total(own) for own in placed.T]) - shares[:, None] * all_of[None, :]
     weight = 1 / np.maximum(1, all_of)
 
     def far(dev):
         return np.maximum(0, np.abs(dev) - near) ** 2
 
+    def off(a, b, gives, number, takes):
+        """How far the labels of both splits are from their shares after each of the moves."""
+        parts, step = [], max(1, CLASS_CELLS // counts.labels)
+        for k in range(0, gives.size, step):
+            shift = number[k : k + step, None] * counts.laid(gives[k : k + step]) - (0 if takes is None else counts.laid(takes[k : k + step]))
+            parts.append(np.abs((labels[a] - shift) * weight).sum(axis=1) + np.abs((labels[b] + shift) * weight).sum(axis=1))
+        return np.concatenate(parts)
+
     while True:
         best = (-1e-6, None)
         for a in np.argsort(-over)[:4]:
@@ -122,17 +167,16 @@ def settle(placed: np.ndarray, counts: np.ndarray, shares: np.ndarray) -> np.nda
                         continue
                     if ready.size > 1:
                         # of equals the one that suits the labels best
-                        shift = number[ready, None] * counts[gives[ready]] - (0 if takes is None else counts[takes[ready]])
-                        i = ready[(np.abs((labels[a] - shift) * weight).sum(axis=1) + np.abs((labels[b] + shift) * weight).sum(axis=1)).argmin()]
+                        i = ready[off(a, b, gives[ready], number[ready], None if takes is None else takes[ready]).argmin()]
                     best = (gain[i], (a, b, gives[i], number[i], None if takes is None else takes[i]))
         if best[1] is None:
             return placed
         a, b, give, number, take = best[1]
-        shift = number * counts[give]
+        shift = number * counts.laid([give])[0]
         placed[give, a] -= number
         placed[give, b] += number
         if take is not None:
-            shift = shift - counts[take]
+            shift = shift - counts.laid([take])[0]
             placed[take, b] -= 1
             placed[take, a] += 1
         labels[a] -= shift
@@ -141,28 +185,12 @@ def settle(placed: np.ndarray, counts: np.ndarray, shares: np.ndarray) -> np.nda
         over[b] += shift.sum()
 
 
-def _classes(stages: Stages, counts: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """(groups (g, class), rows (class, members, label, n)), at most CLASS_ROWS rows: n of all members together."""
-    per = counts.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("label", "n"))).alias("v"), F.sum("n").alias("size"))  # a label once each
-    per = stages.keep(per)
-    exact = F.to_json(F.struct("v"))
-    for digits in DIGITS:
-        coarse = exact
-        if digits is not None:
-            bits = lambda n: F.greatest(F.lit(0), F.floor(F.log2(n)).cast("int") + 1 - (digits or 1))  # noqa: E731, B023
-            down = lambda n: F.floor(n / F.pow(F.lit(2.0), bits(n))).cast("long") * F.pow(F.lit(2.0), bits(n)).cast("long")  # noqa: E731, B023
-            kind = F.transform("v", lambda x: F.struct(x["label"], down(x["n"]))) if digits else F.lit(None).cast("string")  # noqa: B023
-            whole = F.to_json(F.struct("size")) if digits == 0 else exact
-            coarse = F.when(F.col("size") * HEAD >= total, whole).otherwise(F.to_json(F.struct(F.lit(digits).alias("d"), kind.alias("k"), down(F.col("size")).alias("s"))))
-        groups = per.select("g", F.sha2(coarse, 256).alias("class"), "v", "size")
-        label = F.array(F.struct(F.lit("").alias("label"), F.col("size").alias("n"))) if digits == 0 else F.col("v")
-        members = groups.groupBy("class").agg(F.count("*").alias("members"))
-        sums = groups.select("class", F.inline(label)).groupBy("class", "label").agg(F.sum("n").alias("n"))
-        rows = stages.keep(sums.join(members, "class"))
-        n, names, labels = rows.agg(F.count("*"), F.countDistinct("class"), F.countDistinct("label")).first()
-        if n <= CLASS_ROWS and names * labels <= CLASS_CELLS:
-            break
-    return groups.select("g", "class"), rows
+def _classes(stages: Stages, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(groups (g, class), classes (class, members, labels, ns)): groups of the same counts are a class, whatever their number."""
+    per = counts.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("label", "n"))).alias("v"))  # a label once each
+    per = stages.keep(per.withColumn("class", F.sha2(F.to_json(F.struct("v")), 256)))
+    classes = per.groupBy("class").agg(F.count("*").alias("members"), F.min("v").alias("v"))
+    return per.select("g", "class"), classes.select("class", "members", F.col("v.label").alias("labels"), F.col("v.n").alias("ns"))
 
 
 def stratified(spark: SparkSession, records: DataFrame, group: str, label: str, targets: dict[str, float]) -> DataFrame:
@@ -176,19 +204,18 @@ def stratified(spark: SparkSession, records: DataFrame, group: str, label: str,
     stages = Stages(spark, "splits")
     counts = records.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g"), F.coalesce(F.col(label).cast("string"), F.lit("\0")).alias("label")).agg(F.count("*").alias("n"))
     counts = stages.keep(counts)
-    groups, rows = _classes(stages, counts, counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    groups, classes = _classes(stages, counts)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, at = np.unique(pdf["class"].to_numpy(), return_inverse=True)
-        labels, which = np.unique(pdf["label"].to_numpy(), return_inverse=True)
-        members, table = np.zeros(names.size, dtype=np.int64), np.zeros((names.size, labels.size))
-        members[at] = pdf["members"].to_numpy()
-        table[at, which] = pdf["n"].to_numpy() / pdf["members"].to_numpy()
-        placed = settle(place(table, members, shares), table, shares)
-        return pd.DataFrame({"class": names, "upto": list(placed.cumsum(axis=1))}, columns=["class", "upto"])
-
-    # one task, over at most CLASS_ROWS rows
-    plan = stages.keep(rows.groupBy(F.lit(0).alias("all")).applyInPandas(choose, "class string, upto array<long>"))
+        pdf = pdf.sort_values("class")
+        which, labels = pd.factorize(np.concatenate(pdf["labels"].to_list()), sort=True)
+        start = np.concatenate([[0], pdf["ns"].map(len).to_numpy().cumsum()])
+        table = Counts(start, which, np.concatenate(pdf["ns"].to_list()), labels.size)
+        placed = settle(place(table, pdf["members"].to_numpy(), shares), table, shares)
+        return pd.DataFrame({"class": pdf["class"].to_numpy(), "upto": list(placed.cumsum(axis=1))}, columns=["class", "upto"])
+
+    # one task, over all classes, as the rule places each after the others
+    plan = stages.keep(classes.groupBy(F.lit(0).alias("all")).applyInPandas(choose, "class string, upto array<long>"))
     ranked = ranks(spark, groups.join(broadcast_if_small(plan), "class").withColumn("_h", F.xxhash64("g")), ["class"], ["_h", "g"])
     names = F.array(*map(F.lit, splits))
     return ranked.select(F.col("g").alias(group), F.element_at(names, F.size(F.filter("upto", lambda u: u < F.col("rank"))) + 1).alias("split"))
