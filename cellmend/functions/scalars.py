@@ -95,6 +95,11 @@ def row_cluster(cell: Column) -> Column:
     return F.regexp_extract(cell, r"^(.*:\d+):\d+$", 1)
 
 
+def plain_text(text: Column) -> Column:
+    """The lower-cased text with single blanks, whose n-grams are taken."""
+    return F.lower(collapse_blanks(text))
+
+
 def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
     """All n-grams of the lower-cased text with single blanks, as one array."""
 
@@ -103,7 +108,7 @@ def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
         return F.transform(starts, lambda i: F.substring(t, i, F.lit(n)))
 
     # a variable of one value: the text is lower-cased once, not for every n-gram
-    return F.flatten(F.transform(F.array(F.lower(collapse_blanks(text))), lambda t: F.flatten(F.array(*(of(t, n) for n in range(low, high + 1))))))
+    return F.flatten(F.transform(F.array(plain_text(text)), lambda t: F.flatten(F.array(*(of(t, n) for n in range(low, high + 1))))))
 
 
 def price_period(at: Column) -> Column:

@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cellmend.functions.scalars import char_ngrams
-from cellmend.session import Stages, broadcast_if_small, shuffle_width
+from cellmend.functions.scalars import plain_text
+from cellmend.session import BROADCAST_ROWS, Stages, broadcast_if_small, shuffle_width
 
 #: columns that at least one row in so many has are laid out as numbers in a leaf order
-LAID_OUT = 4
+LAID_OUT = 16
+#: numbers that a leaf order holds at once to find the nearest of some clusters
+BLOCK = 1_000_000
+#: searches a merge, on average, up to which clusters are searched together
+SEARCHES = 16
 
 
 def exact_windows(order: Column, k: int) -> Column:
@@ -107,19 +115,74 @@ def derangement(n: int, seed: int) -> list[int]:
     return order
 
 
+def _counted(texts: DataFrame, key: str, text: str, low: int, high: int, corpus: str | None, times: str | None) -> tuple[DataFrame, DataFrame]:
+    """(texts (key, _of, _grams), terms (_of, term, idf)), both written: of each text the terms in order with 1 + ln tf."""
+    stages = Stages(texts.sparkSession, "terms")
+    of, often = F.col(corpus) if corpus else F.lit(""), F.col(times) if times else F.lit(1)
+    own = texts.select(key, of.alias("_of"), often.alias("_times"), plain_text(F.col(text)).alias("_text"))
+    own = own.groupBy(key, "_of", "_times").agg(F.count("*").alias("_rows"), F.collect_list("_text").alias("_texts"))  # the rows of one key
+    own = own.repartition(shuffle_width(texts.sparkSession))  # a small table of texts is many n-grams
+    counted = T.StructType([*own.drop("_texts").schema, T.StructField("_grams", T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])))])
+
+    def run(batches):
+        for batch in batches:
+            counts = [sorted(Counter(t[i : i + k] for t in of for k in range(low, high + 1) for i in range(len(t) - k + 1)).items()) for of in batch.column(4).to_pylist()]
+            terms, tf = pa.array([g for c in counts for g, _ in c], pa.string()), pa.array([n for c in counts for _, n in c], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], _lists(map(len, counts), pa.StructArray.from_arrays([terms, tf], ["term", "tf"]))], counted.names)
+
+    # counted where the text lies, so that its n-grams don't travel to meet
+    grams = own.mapInArrow(run, counted).withColumn("_grams", F.transform("_grams", lambda g: F.struct(g["term"], (1 + F.log(g["tf"])).alias("w"))))
+    grams = stages.keep(grams)
+    n = grams.groupBy("_of").agg(F.sum(F.col("_times") * F.col("_rows")).alias("_all"))
+    df = grams.select("_of", "_times", F.explode("_grams.term").alias("term")).groupBy("_of", "term").agg(F.sum("_times").alias("df")).join(F.broadcast(n), "_of")  # a corpus is one row
+    return grams.drop("_times", "_rows"), stages.keep(df.select("_of", "term", (F.log((1.0 + F.col("_all")) / (1 + F.col("df"))) + 1).alias("idf")))
+
+
+def _lists(lengths, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), values)
+
+
 def term_weights(texts: DataFrame, key: str, text: str, low: int = 2, high: int = 5, corpus: str | None = None, times: str | None = None) -> DataFrame:
     """(key, term, w) of character n-grams: 1 + ln tf times ln((1 + N) / (1 + df)) + 1.
 
-    N and df are of the texts of one corpus, all being one unless told; a text counts as often as `times` says.
+    Texts of one key are counted together. N and df are of the texts of one corpus, all being one unless told; a text counts as
+    often as `times` says.
     """
-    stages = Stages(texts.sparkSession, "terms")
-    of, often = F.col(corpus) if corpus else F.lit(""), F.col(times) if times else F.lit(1)
-    own = texts.select(key, text, of.alias("_of"), often.alias("_times")).repartition(shuffle_width(texts.sparkSession))  # a small table of texts is many n-grams
-    grams = own.select(key, "_of", "_times", F.explode(char_ngrams(F.col(text), low, high)).alias("term")).groupBy(key, "_of", "_times", "term").agg(F.count("*").alias("tf"))
-    grams = stages.keep(grams)
-    n = own.groupBy("_of").agg(F.sum("_times").alias("_all"))
-    df = stages.keep(grams.groupBy("_of", "term").agg(F.sum("_times").alias("df")).join(F.broadcast(n), "_of"))  # a corpus is one row
-    return grams.join(broadcast_if_small(df), ["_of", "term"]).select(key, "term", ((1 + F.log("tf")) * (F.log((1.0 + F.col("_all")) / (1 + F.col("df"))) + 1)).alias("w"))
+    grams, df = _counted(texts, key, text, low, high, corpus, times)
+    return grams.select(key, "_of", F.inline("_grams")).join(broadcast_if_small(df), ["_of", "term"]).select(key, "term", (F.col("w") * F.col("idf")).alias("w"))
+
+
+def term_lists(texts: DataFrame, key: str, text: str, low: int = 2, high: int = 5, corpus: str | None = None, times: str | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """(key, terms, weights): the terms and weights of term_weights, one row per text, terms as 64-bit hashes.
+
+    Up to `limit` terms of all corpora go to the texts; more meet them by a join. The numbers are the same.
+    """
+    grams, df = _counted(texts, key, text, low, high, corpus, times)
+    df = df.withColumn("hash", F.xxhash64("term"))
+    if df.count() > limit:
+        each = grams.select(key, "_of", F.inline("_grams")).join(df, ["_of", "term"])
+        lists = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term", "hash", (F.col("w") * F.col("idf")).alias("w")))).alias("_l"))  # the terms of one text
+        lists = lists.select(key, F.col("_l.hash").alias("terms"), F.col("_l.w").alias("weights"))
+        return grams.select(key).join(lists, key, "left").select(key, *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("terms", "array<bigint>"), ("weights", "array<double>"))))
+    known = {of: (pa.array(x["term"], pa.string()), x["hash"].to_numpy(), x["idf"].to_numpy()) for of, x in df.toPandas().groupby("_of")}
+
+    def run(batches):
+        for batch in batches:
+            for of in batch.column(1).unique().to_pylist():
+                part = batch.filter(pc.equal(batch.column(1), of))
+                lists = part.column(2)
+                flat = lists.flatten()
+                if not len(flat):
+                    none = [0] * len(part)
+                    yield pa.RecordBatch.from_arrays([part.column(0), _lists(none, pa.array([], pa.int64())), _lists(none, pa.array([], pa.float64()))], [key, "terms", "weights"])
+                    continue
+                terms, hashes, idf = known[of]
+                at = pc.index_in(flat.field("term"), value_set=terms).to_numpy(zero_copy_only=False)
+                lengths = pc.list_value_length(lists).to_pylist()
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(lengths, pa.array(hashes[at])), _lists(lengths, pa.array(flat.field("w").to_numpy() * idf[at]))], [key, "terms", "weights"])
+
+    schema = T.StructType([*grams.select(key).schema, T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])
+    return grams.select(key, "_of", "_grams").mapInArrow(run, schema)
 
 
 def unit_vectors(weighted: DataFrame, key: str) -> DataFrame:
@@ -181,7 +244,10 @@ def average_linkage_order(groups: list[list[str]], vectors) -> list[str]:
     other by name, and only different vectors are linked. The mean cosine of two clusters is the product
     of their sums of unit vectors over both sizes: what is held grows with the vectors' entries, not with
     their pairs. Clusters that are each other's nearest merge whenever they are met: with that order of
-    pairs no other merge comes between, so the tree is that of taking the nearest pair each time.
+    pairs no other merge comes between, so the tree is that of taking the nearest pair each time. The
+    nearest of all whose own has merged are searched together; where that takes too many searches, as
+    next to a cluster that is the nearest of most, a chain of nearest ones goes on, with at most three a
+    cluster. Columns that become frequent as clusters merge are laid out too.
     """
     n = len(groups)
     if isinstance(vectors, tuple):
@@ -227,18 +293,49 @@ def average_linkage_order(groups: list[list[str]], vectors) -> list[str]:
     wide = int(max((c[-1] for c in leaf_cols if c.size), default=-1)) + 1
     buffer = np.zeros(wide)
 
+    def laid_out(sums, own):
+        """(sums, own) with the columns that have become frequent among clusters laid out."""
+        lengths, cols = [len(c) for c, _ in own], np.concatenate([c for c, _ in own])
+        often = np.bincount(cols, minlength=wide) * LAID_OUT >= len(own)
+        k, place, rows = often[cols], np.cumsum(often) - 1, np.repeat(np.arange(len(own)), lengths)
+        if not k.any():
+            return sums, own
+        more = np.zeros((len(own), int(often.sum())))
+        more[rows[k], place[cols[k]]] = np.concatenate([v for _, v in own])[k]
+        return np.column_stack([sums, more]), [(c[~often[c]], v[~often[c]]) for c, v in own]
+
     def postings():
         rows, all_cols = np.repeat(np.arange(len(own)), [len(c) for c, _ in own]), np.concatenate([c for c, _ in own])
         by = np.argsort(all_cols, kind="stable")
         return np.searchsorted(all_cols[by], np.arange(wide + 1)), rows[by], np.concatenate([v for _, v in own])[by]
 
-    def products(i):
-        out = sums @ sums[i]
-        some, weights = own[i]
-        lengths = starts[some + 1] - starts[some]
-        entries = np.repeat(starts[some] - np.cumsum(lengths) + lengths, lengths)
-        entries += np.arange(entries.size)
-        return out + np.bincount(now[post_row[entries]], weights=post_value[entries] * np.repeat(weights, lengths), minlength=len(out))
+    def nearest(some):
+        """(distances, rows) of the clusters nearest to some; of equally near ones the first."""
+        distance, row = np.zeros(len(some)), np.zeros(len(some), int)
+        lengths = np.array([len(own[i][0]) for i in some])
+        cols = np.concatenate([own[i][0] for i in some])
+        found = np.bincount(np.repeat(np.arange(len(some)), lengths), weights=starts[cols + 1] - starts[cols], minlength=len(some))
+        blocks = np.cumsum(np.maximum(found, len(size))) // BLOCK
+        for part in np.split(np.arange(len(some)), np.flatnonzero(np.diff(blocks)) + 1):
+            which = some[part]
+            cols, weights = (np.concatenate([own[i][k] for i in which]) for k in (0, 1))
+            many = starts[cols + 1] - starts[cols]
+            entries = np.repeat(starts[cols] - np.cumsum(many) + many, many)
+            entries += np.arange(entries.size)
+            place = np.repeat(np.repeat(np.arange(len(part)) * len(size), lengths[part]), many)
+            place += now[post_row[entries]]
+            cosine = sums[which] @ sums.T
+            cosine += np.bincount(place, weights=post_value[entries] * np.repeat(weights, many), minlength=cosine.size).reshape(cosine.shape)
+            cosine /= size
+            cosine /= size[which][:, None]
+            cosine[:, np.flatnonzero(gone)] = -np.inf
+            cosine[np.arange(len(part)), which] = -np.inf
+            at, near = np.nonzero(cosine >= cosine.max(axis=1)[:, None] - 2e-12)
+            d = np.round(np.clip(1 - cosine[at, near], 0, 2), 12)
+            best = np.lexsort((near, d, at))
+            best = best[np.diff(at[best], prepend=-1) > 0]
+            distance[part], row[part] = d[best], near[best]
+        return distance, row
 
     def leaf(p, q):
         buffer[leaf_cols[p]] = leaf_values[p]
@@ -246,27 +343,7 @@ def average_linkage_order(groups: list[list[str]], vectors) -> list[str]:
         buffer[leaf_cols[p]] = 0
         return round(float(np.clip(1 - cosine, 0, 2)), 12)
 
-    # rows of merged clusters go once half are gone; a row stays the cluster's that is named by the smaller member
-    starts, post_row, post_value = postings()
-    now, gone, left = np.arange(n), np.zeros(n), n
-    chain: list[int] = []
-    keys: list[tuple[float, int, int]] = []  # of each two neighbours in the chain: their distance and both rows
-    while left > 1:
-        if not chain:
-            chain.append(int(np.flatnonzero(gone == 0)[0]))
-        i = chain[-1]
-        d = 1 - products(i) / (size[i] * size) + gone
-        d[i] = np.inf
-        near = np.flatnonzero(d <= d.min() + 2e-12)
-        rounded = np.round(np.clip(d[near], 0, 2), 12)
-        j = int(near[rounded.argmin()])
-        key = (float(rounded.min()), min(i, j), max(i, j))
-        if not keys or key < keys[-1]:
-            chain.append(j)
-            keys.append(key)
-            continue
-        i, j = sorted((chain.pop(), chain.pop()))
-        keys = keys[:-2]
+    def merge(i, j):
         (a0, a1), (b0, b1) = ends[i], ends[j]
         ab, ba = leaf(a1, b0), leaf(b1, a0)
         if ab < ba or (ab == ba and members[a0][0] < members[b0][0]):
@@ -283,15 +360,54 @@ def average_linkage_order(groups: list[list[str]], vectors) -> list[str]:
         own[i], own[j] = (both, buffer[both]), (some[:0], these[:0])
         buffer[both] = 0
         now[now == j] = i
-        gone[j], left = np.inf, left - 1
-        if 2 * left < len(gone):
-            kept = np.flatnonzero(gone == 0)
-            moved = np.cumsum(gone == 0) - 1
-            chain, keys = [int(moved[c]) for c in chain], [(v, int(moved[p]), int(moved[q])) for v, p, q in keys]
-            sums, size, own, ends = sums[kept], size[kept], [own[c] for c in kept], [ends[c] for c in kept]
-            now, gone = np.arange(left), np.zeros(left)
+        gone[j] = True
+
+    # a row stays the cluster's that is named by the smaller member; one is open while its nearest isn't known
+    starts, post_row, post_value = postings()
+    now, gone = np.arange(n), np.zeros(n, bool)
+    far, near, opened = np.zeros(n), np.zeros(n, int), np.ones(n, bool)
+    left, searched = n, 0
+    chain: list[int] = []
+    while left > 1:
+        some = np.flatnonzero(opened)
+        if len(some) and searched + len(some) <= SEARCHES * (n - left) + n:
+            searched, chain = searched + len(some), []
+            far[some], near[some] = nearest(some)
+            opened[some] = False
+            pairs = np.flatnonzero((near[near] == np.arange(len(near))) & (near > np.arange(len(near))))
+            if not len(pairs):  # only if sums of another order round otherwise
+                continue
+        else:
+            if not chain:
+                chain.append(int(np.flatnonzero(~gone)[0]))
+            i = chain[-1]
+            if opened[i]:
+                far[i : i + 1], near[i : i + 1] = nearest(np.array([i]))
+                opened[i] = False
+            key = lambda k: (far[k], min(k, near[k]), max(k, near[k]))
+            if len(chain) < 2 or key(i) < key(chain[-2]):
+                chain.append(int(near[i]))
+                continue
+            pairs = np.array([min(chain[-2:])])
+            near[pairs[0]] = max(chain[-2:])
+            chain = chain[:-2]
+        touched = np.zeros(len(near), bool)
+        touched[pairs] = touched[near[pairs]] = True
+        opened |= touched[near] & ~gone
+        for i, j in zip(pairs, near[pairs]):
+            merge(i, j)
+            near[j] = j
+        opened[pairs], left = True, left - len(pairs)
+        opened &= ~gone
+        if 4 * left < 3 * len(gone):
+            kept, moved = np.flatnonzero(~gone), np.cumsum(~gone) - 1
+            sums, own = laid_out(sums[kept], [own[c] for c in kept])
+            size, ends = size[kept], [ends[c] for c in kept]
+            far, near, opened = far[kept], moved[near[kept]], opened[kept]
+            chain = [int(moved[c]) for c in chain]
+            now, gone = np.arange(left), np.zeros(left, bool)
             starts, post_row, post_value = postings()
-    at, out = ends[int(np.flatnonzero(gone == 0)[0])][0], []
+    at, out = ends[int(np.flatnonzero(~gone)[0])][0], []
     while at >= 0:
         out += members[at]
         at = follows[at]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellmend.functions.scalars import format_signature, value_type
-from cellmend.operators.grouping import bucket_orders, derangement, exact_windows, first_of_equal, linked, numbered, term_weights
+from cellmend.operators.grouping import bucket_orders, derangement, exact_windows, first_of_equal, linked, numbered, term_lists
 from cellmend.operators.prompts import query_id
 from cellmend.operators.statistics import derived_seed
 
@@ -23,6 +23,7 @@ REUSABLE = {
 }
 
 SIGNATURE = ["dirty_type", "dirty_format", "base_type", "base_format"]
+PATTERN = ["base_share", *SIGNATURE]
 #: terms of sparse vectors that are laid out at once
 TERMS = 4096
 
@@ -111,8 +112,8 @@ def group_actions(cells: DataFrame, orders: list[tuple[str, DataFrame]], sizes:
     alone = cells.select(F.lit("singleton").alias("view"), "dataset", F.array("cell_id").alias("cell_ids"))
     parts = [alone]
     for view, order in orders:
-        for k in sizes:
-            parts.append(order.select(F.lit(view).alias("view"), "dataset", F.explode(exact_windows(F.col("ordered"), k)).alias("cell_ids")))
+        windows = F.concat(*(exact_windows(F.col("ordered"), k) for k in sizes))
+        parts.append(order.select(F.lit(view).alias("view"), "dataset", F.explode(windows).alias("cell_ids")))
     x = reduce(DataFrame.unionByName, parts).withColumn("cell_ids", F.array_sort("cell_ids"))
     x = x.withColumns({"size": F.size("cell_ids"), "query_id": query_id(F.col("dataset"), F.col("cell_ids"))})
     return first_of_equal(x, ["query_id"], ["view"])
@@ -123,16 +124,18 @@ def signatures(cells: DataFrame) -> DataFrame:
     return cells.withColumns({f"{n}_{k}": f(F.col(f"{n}_value")) for n in ("dirty", "base") for k, f in (("type", value_type), ("format", format_signature))})
 
 
-def cell_forms(signed: DataFrame, masked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cells with pattern and form, forms with pattern, times and what they consist of).
+def cell_forms(signed: DataFrame, masked: DataFrame) -> DataFrame:
+    """Cells with masked row, pattern and form.
 
     Vectors depend on the signature alone, the pattern, or on the data set, column and masked row besides, the form: so they are made for these.
     """
-    pattern = ["base_share", *SIGNATURE]
     named = lambda *of: F.sha2(F.to_json(F.struct(*of)), 256)
-    cells = signed.join(masked, "cell_id").withColumns({"pattern": named(*pattern), "form": named("dataset", "column_name", "masked", *pattern)})
-    forms = cells.groupBy("form", "pattern", "dataset", "column_name", "masked", *pattern).agg(F.count("*").alias("times"))
-    return cells.drop("masked"), forms
+    return signed.join(masked, "cell_id").withColumns({"pattern": named(*PATTERN), "form": named("dataset", "column_name", "masked", *PATTERN)})
+
+
+def forms_of(cells: DataFrame) -> DataFrame:
+    """Forms of such cells with pattern, times and what they consist of."""
+    return cells.groupBy("form", "pattern", "dataset", "column_name", "masked", *PATTERN).agg(F.count("*").alias("times"))
 
 
 def pattern_vectors(patterns: DataFrame, key: str = "pattern") -> DataFrame:
@@ -143,12 +146,15 @@ def pattern_vectors(patterns: DataFrame, key: str = "pattern") -> DataFrame:
 
 
 def semantic_vectors(forms: DataFrame, weight: float = 1.5) -> DataFrame:
-    """(form, term, w): n-grams of the masked rows of each data set, with the signature as further terms."""
+    """(form, _v), as packed gives: n-grams of the masked rows of each data set, with the signature as further terms."""
     share = F.col("base_share")
     bucket = F.when(share == 0, "zero").when(share < 0.25, "low").when(share < 0.75, "medium").otherwise("high")
     tokens = [F.concat(F.lit("signature:column:"), "column_name"), *(F.concat(F.lit(f"signature:{c}:"), c) for c in SIGNATURE), F.concat(F.lit("signature:support:base:"), bucket)]
-    own = forms.select("form", F.explode(F.array(*tokens)).alias("term"), F.lit(weight).alias("w"))
-    return term_weights(forms, "form", "masked", corpus="dataset", times="times").unionByName(own)
+    own = forms.select("form", F.array(*map(F.xxhash64, tokens)).alias("_own"))
+    both = term_lists(forms, "form", "masked", corpus="dataset", times="times").join(own, "form")
+    terms, weights = F.concat("terms", "_own"), F.concat("weights", F.array_repeat(F.lit(weight), len(tokens)))
+    both = both.select("form", terms.alias("terms"), weights.alias("weights"))
+    return both.select("form", F.struct("terms", "weights", F.sqrt(F.aggregate("weights", F.lit(0.0), lambda s, w: s + w * w)).alias("length")).alias("_v"))
 
 
 def row_orders(cells: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,22 +65,24 @@ def _view_actions(spark, d):
     for name, dirty, columns in tables:
         masked = cells.masked_rows(dirty, found.where(F.col("dataset") == name), "row_idx", columns)
         rows = masked if rows is None else rows.unionByName(masked)
-    rows = stages.keep(rows)
-    formed, forms = map(stages.keep, workflow.cell_forms(workflow.signatures(found), rows))
+    formed = stages.keep(workflow.cell_forms(workflow.signatures(found), rows))
+    forms = stages.keep(workflow.forms_of(formed))
     pattern = stages.keep(workflow.packed(workflow.pattern_vectors(forms.dropDuplicates(["pattern"])), "pattern"))
-    semantic = stages.keep(workflow.packed(workflow.semantic_vectors(forms), "form"))
+    semantic = stages.keep(workflow.semantic_vectors(forms))
     both = workflow.merged_packed(forms.select("form", "pattern").join(pattern, "pattern").drop("pattern"), semantic, "form", (0.65, 0.35))
     shared = found.groupBy("dataset", "row_idx").agg(F.count("*").alias("_k")).where("_k > 1").select("dataset", "row_idx")
     broken = rules.violation_members(O.dirty_part(spark, d), found.where("dataset = 'part'"), "row_idx", ["brand"], "ptype", O.PART, "source", "part", "part_fd1")
     in_rule = broken.select(F.lit("part").alias("dataset"), "component_id", cell).join(formed.select(cell, "form"), cell)
     views = [
+        ("semantic", formed, place, "form", semantic),
+        ("public_fd", in_rule, ["dataset", "component_id"], "form", both),
         ("row", formed.join(shared, ["dataset", "row_idx"]), ["dataset", "row_idx"], "form", both),
         ("pattern", formed, place, "pattern", pattern),
-        ("public_fd", in_rule, ["dataset", "component_id"], "form", both),
-        ("semantic", formed, place, "form", semantic),
     ]
-    orders = [(view, stages.keep(workflow.form_orders(items, bucket, cell, form, vectors))) for view, items, bucket, form, vectors in views]
-    return workflow.group_actions(found, orders, [2, 4, 8]), found, rows
+    # orders of all views in one run, those of the largest buckets first, so that these don't wait for one another
+    of = [workflow.form_orders(items, bucket, cell, form, vectors).select(F.lit(view).alias("view"), "dataset", "ordered") for view, items, bucket, form, vectors in views]
+    orders = stages.keep(reduce(DataFrame.unionByName, of), ["view"])
+    return workflow.group_actions(found, [(view[0], orders.where(F.col("view") == view[0]).drop("view")) for view in views], [2, 4, 8]), found, formed.select(cell, "masked")
 
 
 @query()
@@ -91,9 +95,10 @@ def pattern_view_actions(spark, d):
 def prompt_requests(spark, d):
     """Prompts of all single cells and groups of both tables with their ids and costs; tested for stability and leaks."""
     actions, found, rows = _view_actions(spark, d)
-    x = prompts.one_per_prompt(prompts.with_prompts(actions, found, rows))
+    x = prompts.with_prompts(actions, found, rows).withColumn("leaks", prompts.leaks(F.col("payload")))
+    x = prompts.one_per_prompt(x.drop("view", "dataset", "cell_ids", "size", "payload"))  # payloads stay where they are made
     hashed = prompts.request_hash(F.lit("gen-small"), F.col("prompt_hash"), F.col("completion_ceiling"))
-    return x.select("query_id", "prompt_hash", hashed.alias("request_hash"), "prompt_tokens", "completion_ceiling", prompts.leaks(F.col("payload")).alias("leaks"))
+    return x.select("query_id", "prompt_hash", hashed.alias("request_hash"), "prompt_tokens", "completion_ceiling", "leaks")
 
 
 @query("SELECT delivery_id, regexp_matches(lower(response_text), '\"(" + "|".join(prompts.FORBIDDEN_KEYS) + ")\"\\s*:') leaks FROM group_checkpoint")

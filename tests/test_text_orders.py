@@ -23,6 +23,19 @@ def test_entries_give_the_order_of_the_contract(seed):
         assert grouping.average_linkage_order([[i] for i in ids], vectors) == want
 
 
+@pytest.mark.parametrize("searches", [0, 1, 16])
+@pytest.mark.parametrize("seed", range(6))
+def test_searched_together_or_along_a_chain(monkeypatch, seed, searches):
+    """Clusters searched together in small blocks, or one by one once there were too many searches, make the same tree."""
+    monkeypatch.setattr(grouping, "SEARCHES", searches)
+    monkeypatch.setattr(grouping, "BLOCK", 200)
+    rng = np.random.default_rng(seed)
+    x = (rng.random((60, 150)) < 0.05) * rng.choice([1.0, 2.0], 150)
+    ids = [f"k{i:02d}" for i in rng.permutation(60)]
+    row, col = np.nonzero(x)
+    assert grouping.average_linkage_order([[i] for i in ids], (row, col, x[row, col])) == _leaf_order_plain(ids, dict(zip(ids, x)))
+
+
 def test_time_of_many_texts():
     texts = [f"name=customer#{i:09d} | segment=x | nation={i % 25}" for i in range(0, 21000, 7)]
     grams = [Counter(t[i : i + k] for k in range(2, 6) for i in range(len(t) - k + 1)) for t in texts]
@@ -36,6 +49,35 @@ def test_time_of_many_texts():
     assert sorted(got) == texts and time.process_time() - began < 30  # with distances to all others in all terms: minutes
 
 
+def test_texts_are_searched_together(monkeypatch):
+    """Fewer sums of products than texts; one by one there were three a text."""
+    texts = [f"name=customer#{i:09d} | segment=x | nation={i % 25}" for i in range(0, 7000, 7)]
+    grams = [sorted({t[i : i + k] for k in range(2, 6) for i in range(len(t) - k + 1)}) for t in texts]
+    place = {g: i for i, g in enumerate(sorted({g for own in grams for g in own}))}
+    row, col = np.repeat(np.arange(len(texts)), [len(own) for own in grams]), np.array([place[g] for own in grams for g in own])
+    weight, calls, real = np.random.default_rng(0).random(len(place)) + 0.1, [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: (calls.append(1), real(*a, **k))[1])
+    got = grouping.average_linkage_order([[t] for t in texts], (row, col, weight[col]))
+    assert sorted(got) == texts and len(calls) < len(texts)
+
+
+@pytest.mark.parametrize("limit", [0, 300_000])
+def test_lists_hold_the_weights_of_the_terms(spark, limit):
+    """Whether the terms go to the texts or meet them by a join; a text without terms, and two corpora in one batch."""
+    df = spark.createDataFrame([("a", "ab cd ab", "p", 2), ("b", "Ab", "q", 1), ("c", "", "p", 1), ("d", None, "q", 1), ("e", "né ab", "p", 1)], "key string, text string, of string, times int").coalesce(1)
+    want = {(r.key, r.h): r.w for r in grouping.term_weights(df, "key", "text", corpus="of", times="times").withColumn("h", F.xxhash64("term")).collect()}
+    got = grouping.term_lists(df, "key", "text", corpus="of", times="times", limit=limit).collect()
+    assert {r.key for r in got} == set("abcde") and not any(len(r.terms) for r in got if r.key in "cd")
+    assert {(r.key, t): w for r in got for t, w in zip(r.terms, r.weights)} == want
+
+
+def test_texts_of_one_key_are_counted_together(spark):
+    df = spark.createDataFrame([("a", "abab"), ("a", "ab"), ("b", "abc")], "key string, text string")
+    got = {(r.key, r.term): r.w for r in grouping.term_weights(df, "key", "text", 2, 2).collect()}
+    assert set(got) == {("a", "ab"), ("a", "ba"), ("b", "ab"), ("b", "bc")}
+    assert got["a", "ab"] == pytest.approx((1 + np.log(3)) * (np.log(4 / 3) + 1)) and got["b", "bc"] == pytest.approx(np.log(4 / 2) + 1)
+
+
 def test_equal_texts_count_as_often_as_they_are(spark):
     texts = [("a", "ab cd", "p"), ("b", "ab cd", "p"), ("c", "abc", "p"), ("d", "abc", "q")]
     each = spark.createDataFrame(texts, "key string, text string, of string")
