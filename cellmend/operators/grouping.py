@@ -22,6 +22,10 @@ LAID_OUT = 16
 BLOCK = 1_000_000
 #: searches a merge, on average, up to which clusters are searched together
 SEARCHES = 16
+#: columns are rare that at most one cluster in so many has
+RARE = 64
+#: clusters from which rare columns are used, and how many that share none, and in all, are compared with one at most
+LEAST, BESIDES, COMPARED = 12_000, 64, 512
 
 
 def exact_windows(order: Column, k: int) -> Column:
@@ -245,7 +249,8 @@ def average_linkage_order(groups: list[list[str]], vectors) -> list[str]:
     of their sums of unit vectors over both sizes: what is held grows with the vectors' entries, not with
     their pairs. Clusters that are each other's nearest merge whenever they are met: with that order of
     pairs no other merge comes between, so the tree is that of taking the nearest pair each time. The
-    nearest of all whose own has merged are searched together; where that takes too many searches, as
+    nearest of all whose own has merged are searched together, of many clusters among those that share a
+    rare column as far as no other can be nearer; where that takes too many searches, as
     next to a cluster that is the nearest of most, a chain of nearest ones goes on, with at most three a
     cluster. Columns that become frequent as clusters merge are laid out too.
     """
@@ -309,6 +314,96 @@ def average_linkage_order(groups: list[list[str]], vectors) -> list[str]:
         by = np.argsort(all_cols, kind="stable")
         return np.searchsorted(all_cols[by], np.arange(wide + 1)), rows[by], np.concatenate([v for _, v in own])[by]
 
+    def without_rare():
+        """(rare columns, lengths of the mean vectors in all others). A merged cluster's is at most the larger of both."""
+        rare = np.diff(starts) * RARE <= len(own)
+        often = ~rare[np.repeat(np.arange(wide), np.diff(starts))]
+        return rare, np.sqrt((sums**2).sum(axis=1) + np.bincount(post_row[often], weights=post_value[often] ** 2, minlength=len(own))) / size
+
+    def expanded(cols):
+        """(entries, how many of each) of the postings of columns."""
+        many = starts[cols + 1] - starts[cols]
+        entries = np.repeat(starts[cols] - np.cumsum(many) + many, many)
+        entries += np.arange(entries.size)
+        return entries, many
+
+    def first_of_nearest(of, cosine, rows, n):
+        """(distances, rows): for each of n, named by `of`, the nearest; of equally near ones the first."""
+        top = np.full(n, -np.inf)
+        np.maximum.at(top, of, cosine)
+        k = cosine >= top[of] - 2e-12
+        of, d, rows = of[k], np.round(np.clip(1 - cosine[k], 0, 2), 12), rows[k]
+        best = np.lexsort((rows, d, of))
+        best = best[np.diff(of[best], prepend=-1) > 0]
+        return d[best], rows[best]
+
+    def compared(laid, which, of, rows):
+        """Cosines of pairs: clusters which[of], whose entries are laid out, and rows."""
+        out = np.zeros(len(of))
+        for low in range(0, len(of), 8192):
+            i, j = of[low : low + 8192], rows[low : low + 8192]
+            these = [own[r] for r in j]
+            pair = np.repeat(np.arange(len(j)), [len(c) for c, _ in these])
+            products = laid[i[pair], np.concatenate([c for c, _ in these])] * np.concatenate([v for _, v in these])
+            out[low : low + 8192] = (np.einsum("ij,ij->i", sums[which[i]], sums[j]) + np.bincount(pair, weights=products, minlength=len(j))) / size[j] / size[which[i]]
+        return out
+
+    def nearest_by_rare(some):
+        """(known, distances, rows) of the clusters nearest to some, as `nearest` gives, where few need to be compared.
+
+        The cosine of two clusters is at most the product of their rare columns plus that of the lengths of all others, so
+        only those are compared that share a rare column and may be nearer by this than one that was compared, and the ones
+        with so much length in the others that they may be nearer without a shared one.
+        """
+        known, distance, row = np.zeros(len(some), bool), np.zeros(len(some)), np.zeros(len(some), int)
+        by_length = np.argsort(-rest)
+        lengths = -rest[by_length]
+        own_cols = [own[i][0] for i in some]
+        found = np.array([(starts[c + 1] - starts[c])[rare[c]].sum() for c in own_cols])
+        blocks = np.cumsum(np.maximum(found, max(1, wide // 8))) // BLOCK
+        parts = np.split(np.arange(len(some)), np.flatnonzero(np.diff(blocks)) + 1)
+        laid = np.zeros((max(map(len, parts)), wide))
+        for part in parts:
+            which = some[part]
+            cols, weights = (np.concatenate([own[i][k] for i in which]) for k in (0, 1))
+            of, k = np.repeat(np.arange(len(part)), [len(own_cols[p]) for p in part]), rare[cols]
+            entries, many = expanded(cols[k])
+            place = np.repeat(of[k] * len(size), many) + now[post_row[entries]]
+            by = np.argsort(place)
+            place = place[by]
+            start = np.flatnonzero(np.diff(place, prepend=-1))
+            if not len(start):
+                continue
+            of, rows = np.divmod(place[start], len(size))
+            most = np.add.reduceat((post_value[entries] * np.repeat(weights[k], many))[by], start) / size[rows] / size[which[of]] + rest[which[of]] * rest[rows]
+            k = (rows != which[of]) & ~gone[rows]
+            of, rows, most = of[k], rows[k], most[k]
+            if not len(of):
+                continue
+            at = np.repeat(np.arange(len(part)), [len(own_cols[p]) for p in part]), cols
+            laid[at] = weights
+            start = np.flatnonzero(np.diff(of, prepend=-1))
+            top = np.full(len(part), -np.inf)
+            top[of[start]] = np.maximum.reduceat(most, start)
+            first = np.flatnonzero(most == top[of])
+            first = first[np.diff(of[first], prepend=-1) > 0]
+            least = np.full(len(part), np.inf)
+            least[of[first]] = compared(laid, which, of[first], rows[first]) - 4e-12
+            # those that may be nearer without a shared column, as many from the longest on
+            besides = np.searchsorted(lengths, -least / np.maximum(rest[which], 1e-300), side="right")
+            k = most >= least[of]
+            sure = np.isfinite(least) & (least > 0) & (besides <= BESIDES) & (np.bincount(of[k], minlength=len(part)) <= COMPARED)
+            k &= sure[of]
+            besides = np.where(sure, besides, 0)
+            more = by_length[np.arange(besides.sum()) - np.repeat(np.cumsum(besides) - besides, besides)]
+            of, rows = np.r_[of[k], np.repeat(np.arange(len(part)), besides)], np.r_[rows[k], more]
+            k = (rows != which[of]) & ~gone[rows]
+            of, rows = of[k], rows[k]
+            distance[part[sure]], row[part[sure]] = first_of_nearest(of, compared(laid, which, of, rows), rows, len(part))
+            known[part] = sure
+            laid[at] = 0
+        return known, distance, row
+
     def nearest(some):
         """(distances, rows) of the clusters nearest to some; of equally near ones the first."""
         distance, row = np.zeros(len(some)), np.zeros(len(some), int)
@@ -319,22 +414,20 @@ def average_linkage_order(groups: list[list[str]], vectors) -> list[str]:
         for part in np.split(np.arange(len(some)), np.flatnonzero(np.diff(blocks)) + 1):
             which = some[part]
             cols, weights = (np.concatenate([own[i][k] for i in which]) for k in (0, 1))
-            many = starts[cols + 1] - starts[cols]
-            entries = np.repeat(starts[cols] - np.cumsum(many) + many, many)
-            entries += np.arange(entries.size)
+            entries, many = expanded(cols)
             place = np.repeat(np.repeat(np.arange(len(part)) * len(size), lengths[part]), many)
             place += now[post_row[entries]]
-            cosine = sums[which] @ sums.T
+            weights /= np.repeat(size[which], lengths[part])
+            cosine = (sums[which] / size[which][:, None]) @ sums.T
             cosine += np.bincount(place, weights=post_value[entries] * np.repeat(weights, many), minlength=cosine.size).reshape(cosine.shape)
             cosine /= size
-            cosine /= size[which][:, None]
-            cosine[:, np.flatnonzero(gone)] = -np.inf
             cosine[np.arange(len(part)), which] = -np.inf
-            at, near = np.nonzero(cosine >= cosine.max(axis=1)[:, None] - 2e-12)
-            d = np.round(np.clip(1 - cosine[at, near], 0, 2), 12)
-            best = np.lexsort((near, d, at))
-            best = best[np.diff(at[best], prepend=-1) > 0]
-            distance[part], row[part] = d[best], near[best]
+            top = cosine.max(axis=1)
+            if top.min() <= 2e-12:  # else those that are gone, at 0, aren't the nearest
+                cosine[:, np.flatnonzero(gone)] = -np.inf
+                top = cosine.max(axis=1)
+            at, near = np.divmod(np.flatnonzero(cosine >= top[:, None] - 2e-12), len(size))
+            distance[part], row[part] = first_of_nearest(at, cosine[at, near], near, len(part))
         return distance, row
 
     def leaf(p, q):
@@ -353,6 +446,7 @@ def average_linkage_order(groups: list[list[str]], vectors) -> list[str]:
         sums[i] += sums[j]
         sums[j] = 0
         size[i] += size[j]
+        rest[i], rest[j] = max(rest[i], rest[j]), 0
         (some, these), (more, those) = own[i], own[j]
         buffer[some] = these
         buffer[more] += those
@@ -364,6 +458,8 @@ def average_linkage_order(groups: list[list[str]], vectors) -> list[str]:
 
     # a row stays the cluster's that is named by the smaller member; one is open while its nearest isn't known
     starts, post_row, post_value = postings()
+    by_rare = True
+    rare, rest = without_rare()
     now, gone = np.arange(n), np.zeros(n, bool)
     far, near, opened = np.zeros(n), np.zeros(n, int), np.ones(n, bool)
     left, searched = n, 0
@@ -372,8 +468,13 @@ def average_linkage_order(groups: list[list[str]], vectors) -> list[str]:
         some = np.flatnonzero(opened)
         if len(some) and searched + len(some) <= SEARCHES * (n - left) + n:
             searched, chain = searched + len(some), []
-            far[some], near[some] = nearest(some)
             opened[some] = False
+            if by_rare and left >= LEAST:
+                known, far[some], near[some] = nearest_by_rare(some)
+                by_rare = 4 * known.sum() >= len(some)  # else these take time and spare little
+                some = some[~known]
+            if len(some):
+                far[some], near[some] = nearest(some)
             pairs = np.flatnonzero((near[near] == np.arange(len(near))) & (near > np.arange(len(near))))
             if not len(pairs):  # only if sums of another order round otherwise
                 continue
@@ -407,6 +508,7 @@ def average_linkage_order(groups: list[list[str]], vectors) -> list[str]:
             chain = [int(moved[c]) for c in chain]
             now, gone = np.arange(left), np.zeros(left, bool)
             starts, post_row, post_value = postings()
+            rare, rest = without_rare()
     at, out = ends[int(np.flatnonzero(~gone)[0])][0], []
     while at >= 0:
         out += members[at]

@@ -6,11 +6,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellmend.functions.scalars import format_signature, value_type
-from cellmend.operators.grouping import bucket_orders, derangement, exact_windows, first_of_equal, linked, numbered, term_lists
+from cellmend.operators.grouping import bucket_orders, derangement, exact_windows, linked, numbered, term_lists
 from cellmend.operators.prompts import query_id
 from cellmend.operators.statistics import derived_seed
 
@@ -95,8 +95,7 @@ def form_orders(items: DataFrame, bucket: list[str], key: str, form: str, vector
 
     Two items have one order, by name, whatever their vectors, so only forms of larger buckets travel.
     """
-    n = items.groupBy(*bucket).agg(F.count("*").alias("_n"))
-    sized = items.join(n, bucket)
+    sized = items.withColumn("_n", F.count("*").over(Window.partitionBy(*bucket)))  # a bucket is one order in one task
     ids = F.sort_array(F.collect_list(F.col(key).cast("string")))  # two, or those of one form
     few = sized.where("_n <= 2").groupBy(*bucket).agg(ids.alias("ordered"))
     alike = sized.where("_n > 2").groupBy(*bucket, form).agg(ids.alias("_keys")).join(vectors, form, "left").select(*bucket, "_keys", "_v")
@@ -107,16 +106,18 @@ def group_actions(cells: DataFrame, orders: list[tuple[str, DataFrame]], sizes:
     """(query_id, view, dataset, cell_ids, size): every cell alone, and windows of each size over the orders of each view.
 
     orders: (view, table with dataset and `ordered` cell ids). The same set of cells is one query, under
-    the view that comes first by name.
+    the view that comes first by name. Sets meet as they are, under numbers of views, and are named once.
     """
-    alone = cells.select(F.lit("singleton").alias("view"), "dataset", F.array("cell_id").alias("cell_ids"))
-    parts = [alone]
+    names = sorted({"singleton", *(view for view, _ in orders)})
+    numbered_as = lambda view: F.lit(names.index(view)).alias("_view")
+    parts = [cells.select(numbered_as("singleton"), "dataset", F.array("cell_id").alias("cell_ids"))]
     for view, order in orders:
         windows = F.concat(*(exact_windows(F.col("ordered"), k) for k in sizes))
-        parts.append(order.select(F.lit(view).alias("view"), "dataset", F.explode(windows).alias("cell_ids")))
+        parts.append(order.select(numbered_as(view), "dataset", F.explode(windows).alias("cell_ids")))
     x = reduce(DataFrame.unionByName, parts).withColumn("cell_ids", F.array_sort("cell_ids"))
-    x = x.withColumns({"size": F.size("cell_ids"), "query_id": query_id(F.col("dataset"), F.col("cell_ids"))})
-    return first_of_equal(x, ["query_id"], ["view"])
+    x = x.groupBy("dataset", "cell_ids").agg(F.min("_view").alias("_view"))
+    view = F.element_at(F.array(*map(F.lit, names)), F.col("_view") + 1)
+    return x.select(view.alias("view"), "dataset", "cell_ids", F.size("cell_ids").alias("size"), query_id(F.col("dataset"), F.col("cell_ids")).alias("query_id"))
 
 
 def signatures(cells: DataFrame) -> DataFrame:

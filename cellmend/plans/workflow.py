@@ -55,11 +55,12 @@ def _view_actions(spark, d):
     """
     stages = Stages(spark, "views")
     cell, place = "cell_id", ["dataset", "column_name"]
-    n = O.sound(spark, d).groupBy("dataset", "col_idx", F.col("dirty_value").alias("base_value")).agg(F.count("*").alias("_n"))
-    total = n.groupBy("dataset", "col_idx").agg(F.sum("_n").alias("_all"))
-    base = O.base_values(spark, d).join(n, ["dataset", "col_idx", "base_value"]).join(total, ["dataset", "col_idx"])
-    base = base.select("dataset", "col_idx", "base_value", (F.col("_n") / F.col("_all")).alias("base_share"))
-    found = stages.keep(O.found(spark, d).join(F.broadcast(base), ["dataset", "col_idx"], "left").fillna({"base_value": "", "base_share": 0.0}))
+    both = stages.keep(O.pairs(spark, d).drop(cell))  # tables meet once
+    n = both.where("dirty_value = clean_value").groupBy("dataset", "col_idx", F.col("dirty_value").alias("base_value")).agg(F.count("*").alias("_n"))
+    base = n.groupBy("dataset", "col_idx").agg(F.min_by(F.struct("base_value", "_n"), F.struct(-F.col("_n"), "base_value")).alias("_b"), F.sum("_n").alias("_all"))  # a column is one row
+    base = base.select("dataset", "col_idx", "_b.base_value", (F.col("_b._n") / F.col("_all")).alias("base_share"))
+    errors = cells.errors(both).withColumn(cell, S.cell_id(F.col("suite"), F.col("dataset"), F.col("row_idx"), F.col("col_idx")))
+    found = stages.keep(errors.join(F.broadcast(base), ["dataset", "col_idx"], "left").fillna({"base_value": "", "base_share": 0.0}))
     tables = [("part", O.dirty_part(spark, d), O.PART), ("customer", O.dirty_customer(spark, d), O.CUSTOMER)]
     rows = None
     for name, dirty, columns in tables:
@@ -69,14 +70,14 @@ def _view_actions(spark, d):
     forms = stages.keep(workflow.forms_of(formed))
     pattern = stages.keep(workflow.packed(workflow.pattern_vectors(forms.dropDuplicates(["pattern"])), "pattern"))
     semantic = stages.keep(workflow.semantic_vectors(forms))
-    both = workflow.merged_packed(forms.select("form", "pattern").join(pattern, "pattern").drop("pattern"), semantic, "form", (0.65, 0.35))
+    merged = workflow.merged_packed(forms.select("form", "pattern").join(pattern, "pattern").drop("pattern"), semantic, "form", (0.65, 0.35))
     shared = found.groupBy("dataset", "row_idx").agg(F.count("*").alias("_k")).where("_k > 1").select("dataset", "row_idx")
     broken = rules.violation_members(O.dirty_part(spark, d), found.where("dataset = 'part'"), "row_idx", ["brand"], "ptype", O.PART, "source", "part", "part_fd1")
     in_rule = broken.select(F.lit("part").alias("dataset"), "component_id", cell).join(formed.select(cell, "form"), cell)
     views = [
         ("semantic", formed, place, "form", semantic),
-        ("public_fd", in_rule, ["dataset", "component_id"], "form", both),
-        ("row", formed.join(shared, ["dataset", "row_idx"]), ["dataset", "row_idx"], "form", both),
+        ("public_fd", in_rule, ["dataset", "component_id"], "form", merged),
+        ("row", formed.join(shared, ["dataset", "row_idx"]), ["dataset", "row_idx"], "form", merged),
         ("pattern", formed, place, "pattern", pattern),
     ]
     # orders of all views in one run, those of the largest buckets first, so that these don't wait for one another

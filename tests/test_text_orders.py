@@ -91,3 +91,41 @@ def test_forms_of_large_and_small_buckets(spark):
     items = spark.createDataFrame([("x", "k2", "f"), ("x", "k1", "g"), ("y", "k1", "f"), ("y", "k3", "g"), ("y", "k2", "f")], "b string, k string, form string")
     vectors = workflow.packed(spark.createDataFrame([("f", "s", 1.0), ("g", "t", 1.0)], "form string, term string, w double"), "form")
     assert {r.b: r.ordered for r in workflow.form_orders(items, ["b"], "k", "form", vectors).collect()} == {"x": ["k1", "k2"], "y": ["k1", "k2", "k3"]}
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_nearest_by_rare_columns(monkeypatch, seed):
+    """The order of the contract where the nearest are looked for among clusters that share a rare column, whatever the limits."""
+    monkeypatch.setattr(grouping, "LEAST", 2)
+    monkeypatch.setattr(grouping, "RARE", [4, 8][seed % 2])
+    monkeypatch.setattr(grouping, "BESIDES", [2, 64][seed // 2 % 2])
+    monkeypatch.setattr(grouping, "BLOCK", [200, 1_000_000][seed // 4])
+    rng = np.random.default_rng(seed)
+    x = (rng.random((80, 200)) < 0.05) * rng.choice([1.0, 2.0, 9.0], 200)
+    x[40:] = x[:40] * (rng.random((40, 200)) < 0.9)  # near ones, and some rows without length
+    ids = [f"k{i:02d}" for i in rng.permutation(80)]
+    row, col = np.nonzero(x)
+    assert grouping.average_linkage_order([[i] for i in ids], (row, col, x[row, col])) == _leaf_order_plain(ids, dict(zip(ids, x)))
+
+
+def test_texts_with_rare_grams_are_not_compared_with_all(monkeypatch):
+    """The first search lays out few cosines of all with all."""
+    monkeypatch.setattr(grouping, "LEAST", 1000)
+    texts = [f"name={i:06x}{i * 7919 % 999983:06d} | {c}" for i in range(0, 7000, 7) for c in ("a", "b")]
+    grams = [sorted({t[i : i + k] for k in range(2, 6) for i in range(len(t) - k + 1)}) for t in texts]
+    df = Counter(g for own in grams for g in own)
+    place = {g: i for i, g in enumerate(df)}
+    row, col = np.repeat(np.arange(len(texts)), [len(own) for own in grams]), np.array([place[g] for own in grams for g in own])
+    weight = np.log((1 + len(texts)) / (1 + np.array(list(df.values())))) + 1
+    laid, real = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: (laid.append(k.get("minlength", 0)), real(*a, **k))[1])
+    got = grouping.average_linkage_order([[t] for t in texts], (row, col, weight[col]))
+    assert sorted(got) == sorted(texts) and sum(laid) < len(texts) ** 2  # all with all once, and more, before
+
+
+def test_sets_of_cells_meet_without_sorting(spark):
+    cells = spark.createDataFrame([("d", "a"), ("d", "b"), ("d", "c")], "dataset string, cell_id string")
+    orders = [(view, spark.createDataFrame([("d", of)], "dataset string, ordered array<string>")) for view, of in (("z", ["b", "a", "c"]), ("row", ["a", "b"]))]
+    got = workflow.group_actions(cells, orders, [2])
+    assert {(r.view, *r.cell_ids): r.size for r in got.collect()} == {("singleton", "a"): 1, ("singleton", "b"): 1, ("singleton", "c"): 1, ("row", "a", "b"): 2, ("z", "a", "c"): 2}
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
