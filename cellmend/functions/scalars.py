@@ -69,7 +69,7 @@ _WIDE = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\
 
 def token_estimate(text: Column) -> Column:
     """Characters of East Asian scripts, and a quarter of the bytes of the rest, rounded up; 1 at least."""
-    rest = F.regexp_replace(text, _WIDE, "")
+    rest = F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(text, _WIDE, ""))  # nothing to look for in ASCII
     return F.greatest(F.lit(1), (F.length(text) - F.length(rest)) + F.ceil(F.octet_length(rest) / 4)).cast("long")
 
 

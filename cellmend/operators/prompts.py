@@ -40,17 +40,19 @@ def request_hash(model: Column, prompt_hash: Column, ceiling: Column) -> Column:
 
 
 def with_prompts(actions: DataFrame, cells: DataFrame, masked: DataFrame) -> DataFrame:
-    """actions (query_id, dataset, cell_ids) with payload, prompt_hash, prompt_tokens and completion_ceiling.
+    """actions (query_id, dataset, cell_ids) with payload, prompt_hash, prompt_tokens and completion_ceiling instead of the cell ids.
 
     cells: cell_id, column_name, dirty_value; masked: cell_id, masked. Members come in the order of their
-    ids; a query has at most a few members, so their list is short by construction.
+    ids; a query has at most a few members, so their list is short by construction. Actions are read once:
+    what else they hold goes along with their members.
     """
-    members = actions.select("query_id", F.explode("cell_ids").alias("cell_id")).join(cells.select("cell_id", "column_name", bounded(F.col("dirty_value")).alias("dirty_value")), "cell_id").join(masked, "cell_id")
+    each = cells.select("cell_id", "column_name", bounded(F.col("dirty_value")).alias("dirty_value")).join(masked, "cell_id")
     shown = F.struct("cell_id", F.col("column_name").alias("column"), "dirty_value", F.col("masked").alias("row"))
-    lists = members.groupBy("query_id").agg(F.array_sort(F.collect_list(shown)).alias("cells"))
-    x = actions.join(lists, "query_id").withColumn("payload", canonical_json(query_id=F.col("query_id"), dataset=F.col("dataset"), cells=F.col("cells"))).drop("cells")
+    kept = [*(c for c in actions.columns if c != "cell_ids"), "_k"]
+    members = actions.withColumn("_k", F.size("cell_ids")).select(*kept, F.explode("cell_ids").alias("cell_id")).join(each.select("cell_id", shown.alias("_shown")), "cell_id")
+    x = members.groupBy(*kept).agg(F.array_sort(F.collect_list("_shown")).alias("cells")).withColumn("payload", canonical_json(query_id=F.col("query_id"), dataset=F.col("dataset"), cells=F.col("cells"))).drop("cells")
     messages = F.concat_ws("\n", F.lit(SYSTEM), "payload")
-    return x.withColumns({"prompt_hash": F.sha2(messages, 256), "prompt_tokens": token_estimate(messages), "completion_ceiling": completion_ceiling(F.size("cell_ids"))})
+    return x.withColumns({"prompt_hash": F.sha2(messages, 256), "prompt_tokens": token_estimate(messages), "completion_ceiling": completion_ceiling(F.col("_k"))}).drop("_k")
 
 
 def one_per_prompt(actions: DataFrame) -> DataFrame:

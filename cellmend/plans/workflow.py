@@ -96,8 +96,8 @@ def pattern_view_actions(spark, d):
 def prompt_requests(spark, d):
     """Prompts of all single cells and groups of both tables with their ids and costs; tested for stability and leaks."""
     actions, found, rows = _view_actions(spark, d)
-    x = prompts.with_prompts(actions, found, rows).withColumn("leaks", prompts.leaks(F.col("payload")))
-    x = prompts.one_per_prompt(x.drop("view", "dataset", "cell_ids", "size", "payload"))  # payloads stay where they are made
+    # a prompt holds the id of its query, so no two have one prompt
+    x = prompts.with_prompts(actions.select("query_id", "dataset", "cell_ids"), found, rows).withColumn("leaks", prompts.leaks(F.col("payload")))
     hashed = prompts.request_hash(F.lit("gen-small"), F.col("prompt_hash"), F.col("completion_ceiling"))
     return x.select("query_id", "prompt_hash", hashed.alias("request_hash"), "prompt_tokens", "completion_ceiling", "leaks")
 
